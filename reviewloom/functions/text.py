@@ -1,7 +1,5 @@
 """Text features used for language identification."""
 
-import re
-
 from pyspark.sql import functions as F
 
 # Frequent function words that tell the two candidates apart.
@@ -22,11 +20,9 @@ def char_ngrams(text, n):
 
 
 def marker_hits(text, words):
-    """How many whitespace-separated words of the text are marker words."""
+    """The marker words among the whitespace-separated words of the text, in order."""
     text = F.col(text) if isinstance(text, str) else text
-    alternatives = "|".join(re.escape(word) for word in words)
-    pattern = r"(?<!\S)(?:" + alternatives + r")(?!\S)"
-    return F.regexp_count(F.lower(text), F.lit(pattern))
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda word: word.isin(*words))
 
 
 def best_language(scores):
@@ -44,10 +40,24 @@ def best_language(scores):
 
 
 def marker_language(text, markers=None):
-    """Language by marker words, ``unknown`` when there is none."""
+    """Language by marker words, ``unknown`` when there is none.
+
+    The text is searched once for the words of all languages; the few hits are
+    then counted per language.
+    """
     markers = markers or MARKER_WORDS
-    hits = {language: marker_hits(text, words) for language, words in markers.items()}
-    total = sum(hits.values(), F.lit(0))
-    return F.when(total == 0, F.lit("unknown")).otherwise(
-        F.coalesce(best_language(hits), F.lit("unknown"))
-    )
+    hits = marker_hits(text, sorted({word for words in markers.values() for word in words}))
+    none = F.struct(*[F.lit(0).alias(language) for language in markers])
+
+    def count(counts, word):
+        return F.struct(*[
+            (counts[language] + word.isin(*words).cast("int")).alias(language)
+            for language, words in markers.items()
+        ])
+
+    def name(counts):
+        scores = {language: counts[language] for language in markers}
+        found = sum(scores.values(), F.lit(0)) > 0
+        return F.when(found, best_language(scores)).otherwise("unknown")
+
+    return F.coalesce(F.aggregate(hits, none, count, name), F.lit("unknown"))

@@ -6,7 +6,9 @@ from .filters import (
     by_key,
     by_polarity,
     complete_rows,
+    is_polarity,
     non_empty,
+    only_if,
     over_count,
     playtime_stat,
 )
@@ -43,8 +45,10 @@ __all__ = [
     "game_review_counts",
     "game_review_counts_by_union",
     "gram_counts",
+    "is_polarity",
     "latest_names",
     "non_empty",
+    "only_if",
     "only_listed",
     "over_count",
     "paired",

@@ -17,23 +17,37 @@ def by_decade(games, decade, year="release_year", date_text=None):
     return games.filter(year_in_decade(year, decade))
 
 
-def by_polarity(reviews, polarity, negative="not_positive", score="score"):
-    """Positive or negative reviews.
+def is_polarity(polarity, negative="not_positive", score="score"):
+    """Condition for positive or negative reviews.
 
     Positive means a score of 1. Negative means any other score, or only -1 with
     ``negative='minus_one'``.
     """
     if polarity == "positive":
-        return reviews.filter(F.col(score) == POSITIVE)
+        return F.col(score) == POSITIVE
     if polarity != "negative":
         raise ValueError(f"unknown polarity: {polarity}")
     if negative == "not_positive":
-        return reviews.filter(F.col(score) != POSITIVE)
+        return F.col(score) != POSITIVE
     if negative == "minus_one":
-        return reviews.filter(F.col(score) == NEGATIVE)
+        return F.col(score) == NEGATIVE
     raise ValueError(f"unknown negative rule: {negative}")
 
 
+def by_polarity(reviews, polarity, negative="not_positive", score="score"):
+    """Reviews of one polarity."""
+    return reviews.filter(is_polarity(polarity, negative, score))
+
+
+def only_if(cheap, costly):
+    """Both conditions hold, and the costly one is evaluated for no other row.
+
+    Two separate conditions would be pushed towards their tables one by one, and a
+    costly one on the texts would then run before a join brings in the cheap one.
+    """
+    return F.when(cheap, costly).otherwise(F.lit(False))
+
+
 def by_key(df, value, key="app_id"):
     return df.filter(F.col(key) == value)
 

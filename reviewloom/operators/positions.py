@@ -3,18 +3,20 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
-LEVELS = 3
+BLOCK_BITS = 20
+TOP_BITS = 24
 
 
-def running_total(df, key, weight=None, by=(), out="upto"):
+def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
     """Add the sum of ``weight`` over all rows of the ``by`` group up to this key.
 
     ``key`` is an integer column that is unique within ``by``; without ``weight``
     the total is the row's 1-based position. The key range is cut into nested
-    blocks of 2**16 values: totals of blocks, of blocks of blocks, and so on give
-    each block the total before it. As keys are unique, no window ever holds more
-    than 2**16 rows, whatever the size or the distribution of the table.
+    blocks of 2**20 values: totals of blocks, and of blocks of blocks, give each
+    block the total before it. As keys are unique, a window holds at most 2**20
+    rows, and the one over the outermost blocks 2**24 pairs of numbers, whatever
+    the size or the distribution of the table. Where keys are known to stay below
+    2**key_bits, a smaller ``key_bits`` saves levels; the totals do not depend on it.
     """
     by = list(by)
     rows = df.withColumns({
@@ -22,7 +24,7 @@ def running_total(df, key, weight=None, by=(), out="upto"):
         "_sum": F.lit(1).cast("bigint") if weight is None else F.col(weight),
     })
     levels = [rows]
-    for _ in range(LEVELS):
+    while len(levels) == 1 or key_bits - BLOCK_BITS * (len(levels) - 1) > TOP_BITS:
         blocks = levels[-1].groupBy(*by, F.col("_block").alias("_inner")).agg(
             F.sum("_sum").alias("_sum")
         )

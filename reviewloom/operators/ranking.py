@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from .positions import running_total
 
+# A count of reviews stays below 2**40, about 10**12.
+STAT_BITS = 40
+
 
 def top_n(stats, n, by=(), stat="stat", key="app_id"):
     """The n rows with the largest stat; ties go to the smaller key.
@@ -47,7 +50,8 @@ def percentile_cut(
     by = list(by)
     histogram = stats.groupBy(*by, F.col(stat).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = histogram.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranked = _attach(running_total(histogram, "_value", "_n", by, out="_upto"), sizes, by)
+    upto = running_total(histogram, "_value", "_n", by, out="_upto", key_bits=STAT_BITS)
+    ranked = _attach(upto, sizes, by)
 
     if method == "linear":
         cut = _linear_cut(ranked, p, by)

@@ -17,6 +17,8 @@ from ..operators import (
     by_polarity,
     count_flags,
     game_review_counts,
+    is_polarity,
+    only_if,
     over_count,
     percentile_cut,
     playtime_stat,
@@ -75,5 +77,5 @@ def percentile_question(
 def _counts(games, reviews, genre, polarity, match, negative, names, seq, condition=None):
     wanted = by_polarity(reviews, polarity, negative)
     if condition is not None:
-        wanted = wanted.filter(condition)
+        wanted = wanted.filter(only_if(is_polarity(polarity, negative), condition))
     return game_review_counts(by_genre(games, genre, match), wanted, names, seq)

@@ -38,6 +38,17 @@ def stream_reviews(spark, path, width=REVIEW_WIDTH, multi_line=True, **options):
     return _fields(reader.csv(path), REVIEW_FIELDS, width)
 
 
+def spread(table, key):
+    """Use all cores on a table stored in few pieces, before costly work per row.
+
+    A table that is already read by enough tasks, which any large one is, comes
+    back as it is. For tables as read: asking a frame that holds joins or
+    aggregations for its tasks would run them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def _configured(reader, width, multi_line):
     names = [f"_f{i}" for i in range(width)] + [RAW_RECORD]
     schema = T.StructType([T.StructField(name, T.StringType()) for name in names])

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import marker_language
-from ..operators import by_polarity
+from ..operators import is_polarity, only_if
 from ..schema import GAME_FIELDS
 from ..session import shared_dir
 from ..sources import (
@@ -221,8 +221,9 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(score AS VARCHAR) AS score,
 FROM reviews WHERE score = -1 AND {IS_ENGLISH_SQL}""")
 def english_negative_copy(spark, sf_dir):
     """Whole original rows of the English reviews with score -1, as a CSV copy."""
-    chosen = by_polarity(text_reviews(spark, sf_dir), "negative", "minus_one")
-    chosen = chosen.filter(marker_language("text") == "en")
+    rows = text_reviews(spark, sf_dir)
+    negative = is_polarity("negative", "minus_one")
+    chosen = rows.filter(negative).filter(only_if(negative, marker_language("text") == "en"))
     path = shared_dir(spark, "english-negative")
     write_copy(chosen.select("doc_id", "lang", "text", "score"), path)
     copy = spark.read.options(header=True, multiLine=True, quote='"', escape='"').schema(

@@ -9,7 +9,7 @@ from ..session import shared_dir
 from ..sources import as_result
 from .questions import predicted_sql
 from .registry import query
-from .tables import TEXT_GAMES_SQL, TEXT_REVIEWS_SQL, load, text_games, text_reviews
+from .tables import TEXT_GAMES_SQL, TEXT_REVIEWS_SQL, text_games, text_reviews, texts
 
 MARKER_SQL = f"SELECT doc_id, lang, {predicted_sql()} AS predicted FROM documents"
 
@@ -43,20 +43,20 @@ classified AS (
 def stored_profiles(spark, sf_dir):
     """Profiles fitted on the labelled documents, as a table."""
     path = shared_dir(spark, "profiles")
-    counts = op.gram_counts(load(spark, sf_dir, "documents"))
+    counts = op.gram_counts(texts(spark, sf_dir))
     op.fit_profiles(counts).write.parquet(path)
     return spark.read.parquet(path)
 
 
 def _marked(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", "lang", marker_language("text").alias("predicted")
     )
 
 
 def _classified(spark, sf_dir):
     return op.classify(
-        load(spark, sf_dir, "documents"), stored_profiles(spark, sf_dir), keys=("doc_id", "lang")
+        texts(spark, sf_dir), stored_profiles(spark, sf_dir), keys=("doc_id", "lang")
     )
 
 
@@ -67,7 +67,7 @@ def lang_marker(spark, sf_dir):
 
 @query("lang_profile", f"WITH {GRAMS_SQL} SELECT lang, gram, n FROM counts")
 def lang_profile(spark, sf_dir):
-    return op.gram_counts(load(spark, sf_dir, "documents"))
+    return op.gram_counts(texts(spark, sf_dir))
 
 
 @query("lang_classify", f"WITH {CLASSIFIED_SQL} SELECT doc_id, lang, predicted FROM classified")

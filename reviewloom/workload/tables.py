@@ -14,6 +14,8 @@ a ``WITH`` fragment that builds the same rows in SQL.
 
 from pyspark.sql import functions as F
 
+from ..sources import spread
+
 BATCH_ROWS = 100
 
 
@@ -21,6 +23,11 @@ def load(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark, sf_dir):
+    """The documents, spread over all cores for work on their texts."""
+    return spread(load(spark, sf_dir, "documents"), "doc_id")
+
+
 GAMES_SQL = """
 games AS (
   SELECT p_partkey AS app_id, p_name AS name, string_split(p_name, ' ') AS genres,
@@ -104,7 +111,7 @@ reviews AS (
 
 def text_reviews(spark, sf_dir):
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
-    return load(spark, sf_dir, "documents").join(labels, "doc_id").select(
+    return texts(spark, sf_dir).join(labels, "doc_id").select(
         "doc_id",
         F.substring("source", 4, 20).cast("bigint").alias("app_id"),
         "text",
