@@ -20,34 +20,33 @@ def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
     """
     by = list(by)
     rows = df.withColumns({
-        "_block": F.shiftright(F.col(key).cast("bigint"), BLOCK_BITS),
-        "_sum": F.lit(1).cast("bigint") if weight is None else F.col(weight),
+        "_total_block": F.shiftright(F.col(key).cast("bigint"), BLOCK_BITS),
+        "_total_sum": F.lit(1).cast("bigint") if weight is None else F.col(weight),
     })
     levels = [rows]
     while len(levels) == 1 or key_bits - BLOCK_BITS * (len(levels) - 1) > TOP_BITS:
-        blocks = levels[-1].groupBy(*by, F.col("_block").alias("_inner")).agg(
-            F.sum("_sum").alias("_sum")
+        blocks = levels[-1].groupBy(*by, F.col("_total_block").alias("_total_inner")).agg(
+            F.sum("_total_sum").alias("_total_sum")
         )
-        levels.append(blocks.withColumn("_block", F.shiftright("_inner", BLOCK_BITS)))
+        levels.append(blocks.withColumn("_total_block", F.shiftright("_total_inner", BLOCK_BITS)))
 
-    top = levels.pop()
-    before = top.select(*by, F.col("_inner").alias("_block"), _before(by, "_inner").alias("_before"))
+    before = _before(levels.pop(), by, F.lit(0))
     while len(levels) > 1:
-        blocks = levels.pop().join(before, [*by, "_block"])
-        before = blocks.select(
-            *by,
-            F.col("_inner").alias("_block"),
-            (F.col("_before") + _before([*by, "_block"], "_inner")).alias("_before"),
-        )
-    inside = W.partitionBy(*by, "_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+        blocks = levels.pop().join(before, [*by, "_total_block"])
+        before = _before(blocks, [*by, "_total_block"], F.col("_total_before"))
+    inside = W.partitionBy(*by, "_total_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     return (
-        rows.join(before, [*by, "_block"])
-        .withColumn(out, F.col("_before") + F.sum("_sum").over(inside))
+        rows.join(before, [*by, "_total_block"])
+        .withColumn(out, F.col("_total_before") + F.sum("_total_sum").over(inside))
         .select(*df.columns, out)
     )
 
 
-def _before(group, order):
-    """Sum over the earlier blocks of the group, this one excluded."""
-    window = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return F.sum("_sum").over(window) - F.col("_sum")
+def _before(blocks, group, offset):
+    """Per inner block: the sum over all blocks before it."""
+    window = W.partitionBy(*group).orderBy("_total_inner").rowsBetween(W.unboundedPreceding, 0)
+    earlier = F.sum("_total_sum").over(window) - F.col("_total_sum")
+    by = [name for name in group if name != "_total_block"]
+    return blocks.select(
+        *by, F.col("_total_inner").alias("_total_block"), (offset + earlier).alias("_total_before")
+    )

@@ -24,6 +24,7 @@ from ..operators import (
     playtime_stat,
     top_n,
 )
+from ..session import stored
 
 
 def platform_counts(games):
@@ -69,8 +70,13 @@ def percentile_question(
     games, reviews, genre="Action", p=90, method="nearest", ties="cut",
     match="exact", negative="not_positive", names="last", seq=None,
 ):
-    """5: games at or above a percentile of the number of negative reviews."""
+    """5: games at or above a percentile of the number of negative reviews.
+
+    The counts are read several times to find the cut, so they are stored first:
+    one row per game, and the reviews are scanned once.
+    """
     counts = _counts(games, reviews, genre, "negative", match, negative, names, seq)
+    counts = stored(counts, "negative-counts")
     return ascending(percentile_cut(counts, p, method=method, ties=ties))
 
 

@@ -13,7 +13,7 @@ GAMES = T.StructType([
     T.StructField("mac", T.BooleanType()),
     T.StructField("linux", T.BooleanType()),
     T.StructField("avg_playtime", T.LongType()),
-    T.StructField("genres", T.ArrayType(T.StringType())),
+    T.StructField("genres", T.ArrayType(T.StringType(), containsNull=False)),
 ])
 
 REVIEWS = T.StructType([

@@ -43,3 +43,14 @@ def shared_dir(spark, label):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="reviewloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df, label):
+    """Write a frame to a new table in the shared folder and read it from there.
+
+    For an intermediate result that several later steps read: what it was made
+    from is then scanned once, also when executors are lost later on.
+    """
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,10 +3,12 @@
 The readers return untouched text fields plus ``n_fields``, the number of fields
 the record had; ``cleaning`` turns them into typed rows.
 
-Records may hold quoted line breaks. A file with such records can only be parsed
-from its start, so Spark's parallelism is one task per file: export the data as
-many files, read it once and keep the clean rows as Parquet. Where the exporter
-writes one record per line, pass ``multi_line=False`` and large files are split.
+Records may hold quoted line breaks, so Spark cannot cut a file anywhere. The
+``layout`` says how to read in parallel:
+
+* ``files``   one task per file; for exports of many files of moderate size
+* ``blocks``  files of any size, cut into blocks whose records are put together
+* ``lines``   files of any size without quoted line breaks
 """
 
 from pyspark.sql import functions as F
@@ -14,28 +16,31 @@ from pyspark.sql import types as T
 
 from ..functions import field_count
 from ..schema import GAME_FIELDS, GAME_WIDTH, REVIEW_FIELDS, REVIEW_WIDTH
+from .records import read_records
 
 RAW_RECORD = "_raw_record"
+CSV_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": RAW_RECORD,
+}
 
 
-def read_games(spark, path, width=None, multi_line=True):
-    width = width or _header_width(spark, path, GAME_WIDTH)
-    return _fields(_configured(spark.read, width, multi_line).csv(path), GAME_FIELDS, width)
+def read_games(spark, path, width=None, layout="files"):
+    return _read(spark, path, GAME_FIELDS, GAME_WIDTH, width, layout)
 
 
-def read_reviews(spark, path, width=None, multi_line=True):
-    width = width or _header_width(spark, path, REVIEW_WIDTH)
-    return _fields(_configured(spark.read, width, multi_line).csv(path), REVIEW_FIELDS, width)
+def read_reviews(spark, path, width=None, layout="files"):
+    return _read(spark, path, REVIEW_FIELDS, REVIEW_WIDTH, width, layout)
 
 
-def stream_games(spark, path, width=GAME_WIDTH, multi_line=True, **options):
-    reader = _configured(spark.readStream, width, multi_line).options(**options)
-    return _fields(reader.csv(path), GAME_FIELDS, width)
+def stream_games(spark, path, width=GAME_WIDTH, layout="files", **options):
+    return _stream(spark, path, GAME_FIELDS, width, layout, options)
 
 
-def stream_reviews(spark, path, width=REVIEW_WIDTH, multi_line=True, **options):
-    reader = _configured(spark.readStream, width, multi_line).options(**options)
-    return _fields(reader.csv(path), REVIEW_FIELDS, width)
+def stream_reviews(spark, path, width=REVIEW_WIDTH, layout="files", **options):
+    return _stream(spark, path, REVIEW_FIELDS, width, layout, options)
 
 
 def spread(table, key):
@@ -49,20 +54,34 @@ def spread(table, key):
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
 
 
-def _configured(reader, width, multi_line):
-    names = [f"_f{i}" for i in range(width)] + [RAW_RECORD]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    return reader.schema(schema).options(
-        header=True,
-        enforceSchema=True,
-        multiLine=multi_line,
-        quote='"',
-        escape='"',
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=RAW_RECORD,
+def _read(spark, path, fields, least, width, layout):
+    width = width or _header_width(spark, path, least)
+    if layout == "blocks":
+        parsed = F.from_csv("record", _schema(width).simpleString(), CSV_OPTIONS)
+        raw = read_records(spark, path).select(parsed.alias("_parsed")).select("_parsed.*")
+    else:
+        raw = _reader(spark.read, width, layout).csv(path)
+    return _fields(raw, fields, width)
+
+
+def _stream(spark, path, fields, width, layout, options):
+    raw = _reader(spark.readStream, width, layout).options(**options).csv(path)
+    return _fields(raw, fields, width)
+
+
+def _reader(reader, width, layout):
+    if layout not in ("files", "lines"):
+        raise ValueError(f"unknown layout: {layout}")
+    return reader.schema(_schema(width)).options(
+        header=True, enforceSchema=True, multiLine=layout == "files", **CSV_OPTIONS
     )
 
 
+def _schema(width):
+    names = [f"_f{i}" for i in range(width)] + [RAW_RECORD]
+    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+
+
 def _header_width(spark, path, least):
     """Columns of the header line, so that only ragged records are kept raw."""
     header = spark.read.options(header=True, quote='"', escape='"').csv(path)

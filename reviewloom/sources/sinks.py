@@ -18,7 +18,10 @@ def write_copy(df, path, fmt="csv"):
     """Write whole rows, with a header line in every CSV part."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.options(header=True, quote='"', escape='"')
+        writer = writer.options(
+            header=True, quote='"', escape='"',
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
     writer.format(fmt).save(path)
 
 

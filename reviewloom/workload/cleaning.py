@@ -215,6 +215,25 @@ def csv_reviews(spark, sf_dir):
     )
 
 
+@query("csv_review_blocks", f"""
+WITH {TEXT_REVIEWS_SQL}
+SELECT doc_id AS app_id, md5(text) AS digest, length(text) AS n_chars,
+       CAST(score AS TINYINT) AS score
+FROM reviews""")
+def csv_review_blocks(spark, sf_dir):
+    """The same file, cut into blocks whose records are put together."""
+    path = shared_dir(spark, "reviews-csv")
+    raw = text_reviews(spark, sf_dir).select("doc_id", "lang", "text", "score")
+    write_copy(raw, path)
+    clean, _ = clean_reviews(read_reviews(spark, path, layout="blocks"))
+    return clean.select(
+        "app_id",
+        F.md5("text").alias("digest"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        "score",
+    )
+
+
 @query("english_negative_copy", f"""
 WITH {TEXT_REVIEWS_SQL}
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(score AS VARCHAR) AS score, md5(text) AS digest

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from .. import plans
 from ..functions import marker_language
-from ..session import shared_dir
+from ..session import stored
 from ..sources import as_result
 from .questions import predicted_sql
 from .registry import query
@@ -42,10 +42,8 @@ classified AS (
 
 def stored_profiles(spark, sf_dir):
     """Profiles fitted on the labelled documents, as a table."""
-    path = shared_dir(spark, "profiles")
-    counts = op.gram_counts(texts(spark, sf_dir))
-    op.fit_profiles(counts).write.parquet(path)
-    return spark.read.parquet(path)
+    counts = stored(op.gram_counts(texts(spark, sf_dir)), "gram-counts")
+    return stored(op.fit_profiles(counts), "profiles")
 
 
 def _marked(spark, sf_dir):
