@@ -13,9 +13,11 @@ from .filters import (
     playtime_stat,
 )
 from .joins import (
+    for_listed,
     game_review_counts,
     game_review_counts_by_union,
     only_listed,
+    prefilter,
     without_listed,
 )
 from .language import classify, confusion, fit_profiles, gram_counts
@@ -42,6 +44,7 @@ __all__ = [
     "confusion",
     "count_flags",
     "fit_profiles",
+    "for_listed",
     "game_review_counts",
     "game_review_counts_by_union",
     "gram_counts",
@@ -54,6 +57,7 @@ __all__ = [
     "paired",
     "percentile_cut",
     "playtime_stat",
+    "prefilter",
     "reduced_games",
     "reduced_reviews",
     "renumber",

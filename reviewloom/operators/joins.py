@@ -9,7 +9,7 @@ is broadcast is left to its measured size (AQE, autoBroadcastJoinThreshold).
 from pyspark.sql import functions as F
 
 from .aggregates import latest_names, review_counts
-from .filters import non_empty
+from .filters import non_empty, only_if
 
 
 def game_review_counts(games, reviews, names="last", seq=None):
@@ -59,3 +59,26 @@ def only_listed(df, ids, key="app_id"):
 def without_listed(df, ids, key="client_id"):
     """Rows whose key is not in the id list, e.g. of tenants that are done."""
     return df.join(ids.select(key), key, "left_anti")
+
+
+def prefilter(df, ids, key="app_id", most=1_000_000, mark="_listings"):
+    """Drop rows early whose key a later join with ``ids`` would drop anyway.
+
+    Done only where the list has at most ``most`` keys: such a list is small enough
+    to be broadcast. For a longer one the rows stay, because restricting them here
+    would shuffle them whole. Adds the column ``mark``, always positive.
+    """
+    keys = ids.groupBy(key).agg(F.count(F.lit(1)).alias(mark))
+    if keys.limit(most + 1).count() > most:
+        return df.withColumn(mark, F.lit(1).cast("bigint"))
+    return df.join(F.broadcast(keys), key).select(*df.columns, mark)
+
+
+def for_listed(df, ids, cheap, costly, key="app_id", most=1_000_000):
+    """Rows that satisfy both conditions, for a later join with ``ids``.
+
+    The costly condition is evaluated last: after the cheap one and ``prefilter``.
+    """
+    known = prefilter(df.filter(cheap), ids, key, most)
+    # With a value of the list in it, the condition cannot be checked before the join.
+    return known.filter(only_if(cheap & (F.col("_listings") > 0), costly)).select(*df.columns)

@@ -16,9 +16,9 @@ from ..operators import (
     by_genre,
     by_polarity,
     count_flags,
+    for_listed,
     game_review_counts,
     is_polarity,
-    only_if,
     over_count,
     percentile_cut,
     playtime_stat,
@@ -57,8 +57,8 @@ def over_threshold(
 ):
     """4: games with more than n negative reviews in a language.
 
-    ``in_language`` is a condition on the reviews. It is applied after the score,
-    so the texts of positive reviews are never examined.
+    ``in_language`` is a condition on the reviews. It is applied after the score and
+    the genre, so the texts of other reviews are never examined.
     """
     counts = _counts(
         games, reviews, genre, "negative", match, negative, names, seq, in_language
@@ -81,7 +81,9 @@ def percentile_question(
 
 
 def _counts(games, reviews, genre, polarity, match, negative, names, seq, condition=None):
-    wanted = by_polarity(reviews, polarity, negative)
-    if condition is not None:
-        wanted = wanted.filter(only_if(is_polarity(polarity, negative), condition))
-    return game_review_counts(by_genre(games, genre, match), wanted, names, seq)
+    chosen = by_genre(games, genre, match)
+    if condition is None:
+        wanted = by_polarity(reviews, polarity, negative)
+    else:
+        wanted = for_listed(reviews, chosen, is_polarity(polarity, negative), condition)
+    return game_review_counts(chosen, wanted, names, seq)

@@ -1,6 +1,6 @@
 from .cleaning import clean_games, clean_reviews, judge_games, judge_reviews, reason_counts
 from .readers import read_games, read_reviews, spread, stream_games, stream_reviews
-from .sinks import as_result, write_buckets, write_copy, write_result
+from .sinks import as_result, save_bucketed, write_buckets, write_copy, write_result
 
 __all__ = [
     "as_result",
@@ -11,6 +11,7 @@ __all__ = [
     "read_games",
     "read_reviews",
     "reason_counts",
+    "save_bucketed",
     "spread",
     "stream_games",
     "stream_reviews",

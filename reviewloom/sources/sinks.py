@@ -34,3 +34,17 @@ def write_buckets(df, path, key, buckets, fmt="parquet"):
         .format(fmt)
         .save(path)
     )
+
+
+def save_bucketed(df, table, key, buckets):
+    """Save a table partitioned and sorted by key, for repeated keyed joins.
+
+    Tables saved with the same number of buckets are joined without a shuffle.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .saveAsTable(table)
+    )

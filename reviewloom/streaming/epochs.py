@@ -15,9 +15,12 @@ def start_log(spark, path, schema):
     empty.write.mode("ignore").parquet(f"{path}/epoch=-1")
 
 
-def log_view(spark, path, schema, before=None):
-    """All rows of an epoch log, or those of the epochs before a given one."""
+def log_view(spark, path, schema, before=None, only=None):
+    """All rows of an epoch log, those of the epochs before one, or those of one."""
     with_epoch = T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])
+    if only is not None:
+        one = spark.read.schema(schema).parquet(f"{path}/epoch={only}")
+        return one.withColumn("epoch", F.lit(only).cast("bigint"))
     rows = spark.read.schema(with_epoch).parquet(path)
     return rows if before is None else rows.filter(F.col("epoch") < before)
 

@@ -48,7 +48,7 @@ def run_top(counts, n, path, checkpoint, schema=COUNTS, **options):
     start_log(counts.sparkSession, path, schema)
 
     def handle(rows, epoch):
-        old = top_view(rows.sparkSession, path, schema, before=epoch)
+        old = log_view(rows.sparkSession, path, schema, only=epoch - 1).drop("epoch")
         both = old.withColumn("epoch", F.lit(0)).unionByName(
             rows.select(*old.columns).withColumn("epoch", F.lit(1))
         )
@@ -59,9 +59,9 @@ def run_top(counts, n, path, checkpoint, schema=COUNTS, **options):
     return run_epochs(counts, handle, path, checkpoint, mode="update", **options)
 
 
-def top_view(spark, path, schema=COUNTS, before=None):
+def top_view(spark, path, schema=COUNTS):
     """The rows of the newest epoch of a log that holds a whole answer per epoch."""
-    rows = log_view(spark, path, schema, before)
+    rows = log_view(spark, path, schema)
     newest = rows.agg(F.max("epoch").alias("epoch")).scalar()
     return rows.filter(F.col("epoch") == newest).drop("epoch")
 

@@ -28,11 +28,10 @@ def first_delivery(rows, arrival, keys=BATCH_KEYS):
     aggregated. The list of repeated deliveries is what is joined back, so a
     stream with few repeats never shuffles its rows.
     """
-    deliveries = rows.groupBy(*keys, arrival).agg(F.lit(1).alias("_one")).drop("_one")
-    firsts = rows.groupBy(*keys).agg(
-        F.min(arrival).alias("_first"), F.max(arrival).alias("_last")
-    )
-    repeated = firsts.filter(F.col("_first") < F.col("_last"))
+    deliveries = rows.groupBy(*keys, arrival).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = deliveries.groupBy(*keys).agg(
+        F.min(arrival).alias("_first"), F.count(F.lit(1)).alias("_times")
+    ).filter(F.col("_times") > 1)
     surplus = deliveries.join(repeated, list(keys)).filter(F.col(arrival) > F.col("_first"))
     return rows.join(surplus.select(*keys, arrival), [*keys, arrival], "left_anti")
 

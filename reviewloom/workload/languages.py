@@ -94,12 +94,12 @@ FROM games JOIN reviews USING (app_id) JOIN classified USING (doc_id)
 WHERE list_contains(genres, 'es') AND score <> 1 AND predicted = 'en'
 GROUP BY app_id, name HAVING count(*) > 2""")
 def over_threshold_profile(spark, sf_dir):
-    """Question 4 with the fitted detector; only negative reviews are classified."""
+    """Question 4 with the fitted detector, asked only about reviews that may count."""
+    games = text_games(spark, sf_dir)
     negative = op.by_polarity(text_reviews(spark, sf_dir), "negative")
+    asked = op.prefilter(negative, op.by_genre(games, "es"))
     classified = op.classify(
-        negative, stored_profiles(spark, sf_dir), keys=("doc_id", "app_id", "score")
-    )
-    answer = plans.over_threshold(
-        text_games(spark, sf_dir), classified, "es", 2, F.col("predicted") == "en"
+        asked, stored_profiles(spark, sf_dir), keys=("doc_id", "app_id", "score")
     )
+    answer = plans.over_threshold(games, classified, "es", 2, F.col("predicted") == "en")
     return as_result(answer, 4)

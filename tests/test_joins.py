@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import operators as op
 from reviewloom import plans
+from reviewloom.sources import save_bucketed
 
 
 def rows(frame):
@@ -121,3 +122,42 @@ def test_answers_do_not_depend_on_partitioning(spark, world):
     packed = (catalogue.coalesce(1), written.coalesce(1))
     for ask in (plans.top_reviewed, plans.over_threshold, plans.percentile_question):
         assert ask(*spread).collect() == ask(*packed).collect()
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_prefilter_changes_no_answer(spark, games, reviews, most):
+    """A long list is not broadcast; either way the later join gives the same."""
+    catalogue = games(*[(i, str(i), []) for i in range(5)])
+    written = reviews({(i, -1): i + 1 for i in range(10)})
+    early = op.prefilter(written, catalogue, most=most)
+    assert early.count() == (15 if most > 5 else 55)
+    kept = op.for_listed(written, catalogue, F.col("score") < 0, F.col("app_id") > 1, most=most)
+    assert kept.columns == written.columns
+    assert rows(op.game_review_counts(catalogue, kept)) == [(2, "2", 3), (3, "3", 4), (4, "4", 5)]
+
+
+def test_costly_condition_sees_only_listed_rows(spark, games):
+    """It is checked at or above the join with the list, never below."""
+    texts = spark.createDataFrame([(1, "x", 1), (2, "y", -1)], "app_id bigint, text string, score int")
+    costly = F.regexp_replace("text", "y", "z") == "z"
+    kept = op.for_listed(texts, games((2, "b", [])), op.is_polarity("negative"), costly)
+    assert rows(kept) == [(2, "y", -1)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert "regexp_replace" not in plan[plan.index("Join"):].split("\n", 1)[1]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, games, reviews):
+    save_bucketed(games(*[(i, str(i), []) for i in range(20)]), "bucketed_games", "app_id", 4)
+    save_bucketed(reviews({(i, 1): 2 for i in range(20)}), "bucketed_reviews", "app_id", 4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        counts = op.game_review_counts(
+            spark.table("bucketed_games"), spark.table("bucketed_reviews")
+        )
+        assert counts.count() == 20
+        assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for table in ("bucketed_games", "bucketed_reviews"):
+            spark.sql(f"DROP TABLE {table}")

@@ -112,6 +112,12 @@ def test_stream_equals_batch(feed):
     assert sorted(tuple(row) for row in whole.collect()) == counted(feed)
 
 
+def test_a_game_reviewed_only_in_the_last_batch_counts(feed):
+    feed.add(batch(1, 0, [(7, "seven", 1), (8, "eight", 2), review(8)]))
+    feed.add(batch(1, 1, [review(7)], eof=True))
+    assert counted(feed) == [(1, 7, "seven", 1), (1, 8, "eight", 1)]
+
+
 def test_restart_from_checkpoint(feed):
     """Stopping after every file and going on gives the uninterrupted answer."""
     for rows in SCRIPT:
