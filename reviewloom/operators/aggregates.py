@@ -19,18 +19,19 @@ def stage_counts(df, stages):
     return counts.select(F.inline(F.array(*pairs)))
 
 
-def review_counts(reviews, key="app_id"):
-    """Reviews per key. A hot key shrinks to one row per task before the shuffle."""
-    return reviews.groupBy(key).agg(F.count(F.lit(1)).alias("stat"))
+def review_counts(reviews, by=()):
+    """Reviews per game. A hot game shrinks to one row per task before the shuffle."""
+    return reviews.groupBy(*by, "app_id").agg(F.count(F.lit(1)).alias("stat"))
 
 
-def latest_names(games, seq=None):
+def latest_names(games, seq=None, by=()):
     """One name per app_id: the one with the largest ``seq``.
 
     Rows have no arrival order in Spark, so the order must be a column. Names
     that tie, or all of them where ``seq`` is not given, go to the larger name.
     """
+    keys = [*by, "app_id"]
     if seq is None:
-        return games.groupBy("app_id").agg(F.max("name").alias("name"))
+        return games.groupBy(*keys).agg(F.max("name").alias("name"))
     newest = F.max(F.struct(F.col(seq), F.col("name")))
-    return games.groupBy("app_id").agg(newest["name"].alias("name"))
+    return games.groupBy(*keys).agg(newest["name"].alias("name"))

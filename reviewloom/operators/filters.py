@@ -62,8 +62,8 @@ def non_empty(stats):
     return stats.filter((F.col("stat") != 0) & (F.coalesce("name", F.lit("")) != ""))
 
 
-def playtime_stat(games):
-    return games.select("app_id", "name", F.col("avg_playtime").alias("stat"))
+def playtime_stat(games, by=()):
+    return games.select(*by, "app_id", "name", F.col("avg_playtime").alias("stat"))
 
 
 def complete_rows(df, columns):

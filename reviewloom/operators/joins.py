@@ -12,39 +12,41 @@ from .aggregates import latest_names, review_counts
 from .filters import non_empty, only_if
 
 
-def game_review_counts(games, reviews, names="last", seq=None):
+def game_review_counts(games, reviews, names="last", seq=None, by=()):
     """(app_id, name, stat) for every game with at least one review.
 
     ``names='last'``: several catalogue rows of one app_id are one game, named by
     the newest row. ``names='concat'``: they multiply its reviews, and the
-    distinct names are joined by commas in ascending order.
+    distinct names are joined by commas in ascending order. ``by`` names columns,
+    such as the tenant, that keep catalogues and reviews apart.
     """
-    counts = review_counts(reviews)
+    keys = [*by, "app_id"]
+    counts = review_counts(reviews, by)
     if names == "last":
-        return latest_names(games, seq).join(counts, "app_id").select("app_id", "name", "stat")
+        return latest_names(games, seq, by).join(counts, keys).select(*keys, "name", "stat")
     if names == "concat":
-        per_name = games.groupBy("app_id", "name").agg(F.count(F.lit(1)).alias("copies"))
-        merged = per_name.groupBy("app_id").agg(
+        per_name = games.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("copies"))
+        merged = per_name.groupBy(*keys).agg(
             F.array_join(F.array_sort(F.collect_list("name")), ",").alias("name"),
             F.sum("copies").alias("copies"),
         )
-        return merged.join(counts, "app_id").select(
-            "app_id", "name", (F.col("stat") * F.col("copies")).alias("stat")
+        return merged.join(counts, keys).select(
+            *keys, "name", (F.col("stat") * F.col("copies")).alias("stat")
         )
     raise ValueError(f"unknown names rule: {names}")
 
 
-def game_review_counts_by_union(games, reviews, seq=None):
+def game_review_counts_by_union(games, reviews, seq=None, by=()):
     """The same answer as ``names='last'`` from one keyed upsert over both inputs.
 
     Names and counts meet in one aggregation, whichever side arrives first. Useful
     where the inputs come as one tagged stream.
     """
+    keys = [*by, "app_id"]
     order = F.col(seq) if seq else F.lit(0)
-    named = games.select("app_id", F.struct(order.alias("seq"), "name").alias("named"))
-    counted = review_counts(reviews)
-    both = named.unionByName(counted, allowMissingColumns=True)
-    merged = both.groupBy("app_id").agg(
+    named = games.select(*keys, F.struct(order.alias("seq"), "name").alias("named"))
+    both = named.unionByName(review_counts(reviews, by), allowMissingColumns=True)
+    merged = both.groupBy(*keys).agg(
         F.max("named")["name"].alias("name"),
         F.coalesce(F.sum("stat"), F.lit(0)).cast("bigint").alias("stat"),
     )
@@ -61,24 +63,25 @@ def without_listed(df, ids, key="client_id"):
     return df.join(ids.select(key), key, "left_anti")
 
 
-def prefilter(df, ids, key="app_id", most=1_000_000, mark="_listings"):
-    """Drop rows early whose key a later join with ``ids`` would drop anyway.
+def prefilter(df, ids, by=(), most=1_000_000, mark="_listings"):
+    """Drop rows early whose app_id a later join with ``ids`` would drop anyway.
 
     Done only where the list has at most ``most`` keys: such a list is small enough
     to be broadcast. For a longer one the rows stay, because restricting them here
     would shuffle them whole. Adds the column ``mark``, always positive.
     """
-    keys = ids.groupBy(key).agg(F.count(F.lit(1)).alias(mark))
-    if keys.limit(most + 1).count() > most:
+    keys = [*by, "app_id"]
+    listed = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias(mark))
+    if listed.limit(most + 1).count() > most:
         return df.withColumn(mark, F.lit(1).cast("bigint"))
-    return df.join(F.broadcast(keys), key).select(*df.columns, mark)
+    return df.join(F.broadcast(listed), keys).select(*df.columns, mark)
 
 
-def for_listed(df, ids, cheap, costly, key="app_id", most=1_000_000):
+def for_listed(df, ids, cheap, costly, by=(), most=1_000_000):
     """Rows that satisfy both conditions, for a later join with ``ids``.
 
     The costly condition is evaluated last: after the cheap one and ``prefilter``.
     """
-    known = prefilter(df.filter(cheap), ids, key, most)
+    known = prefilter(df.filter(cheap), ids, by, most)
     # With a value of the list in it, the condition cannot be checked before the join.
     return known.filter(only_if(cheap & (F.col("_listings") > 0), costly)).select(*df.columns)

@@ -14,6 +14,14 @@ from .ledger import (
     missing_batches,
     senders_complete,
 )
+from .questions import (
+    stream_over_threshold,
+    stream_percentile_question,
+    stream_platform_counts,
+    stream_top_playtime,
+    stream_top_reviewed,
+    tagged_rows,
+)
 from .results import first_result, progress, with_finish_rows
 from .tenants import drop_done, live_rows, purged_ids, rewrite_without
 
@@ -39,6 +47,12 @@ __all__ = [
     "senders_complete",
     "start_log",
     "stateful_handlers",
+    "stream_over_threshold",
+    "stream_percentile_question",
+    "stream_platform_counts",
+    "stream_top_playtime",
+    "stream_top_reviewed",
+    "tagged_rows",
     "top_view",
     "with_finish_rows",
 ]

@@ -39,24 +39,25 @@ def running_flags(stream, flags):
     return count_flags(stream, flags, by=("client_id",))
 
 
-def run_top(counts, n, path, checkpoint, schema=COUNTS, **options):
-    """Keep the top n per tenant of an update-mode stream of growing counts.
+def run_top(stats, n, path, checkpoint, schema=COUNTS, growing=True, **options):
+    """Keep the top n per tenant of a stream.
 
-    Counts only grow, so a key that neither changed nor was in the last top n
-    cannot enter it: the new one is drawn from the old one and the changed keys.
+    ``growing``: an update-mode stream of counts. They only grow, so a key that
+    neither changed nor was in the last top n cannot enter it: the new one is drawn
+    from the old one and the changed keys. Otherwise every row stands for itself.
     """
-    start_log(counts.sparkSession, path, schema)
+    start_log(stats.sparkSession, path, schema)
+    columns = schema.fieldNames()
+    values = [name for name in columns if name not in KEYS]
 
     def handle(rows, epoch):
-        old = log_view(rows.sparkSession, path, schema, only=epoch - 1).drop("epoch")
-        both = old.withColumn("epoch", F.lit(0)).unionByName(
-            rows.select(*old.columns).withColumn("epoch", F.lit(1))
-        )
-        values = [name for name in old.columns if name not in KEYS]
-        merged = latest(both, KEYS, values)
-        return top_n(merged, n, by=("client_id",)).select(*old.columns)
-
-    return run_epochs(counts, handle, path, checkpoint, mode="update", **options)
+        old = log_view(rows.sparkSession, path, schema, only=epoch - 1).withColumn("epoch", F.lit(0))
+        both = old.unionByName(rows.select(*columns).withColumn("epoch", F.lit(1)))
+        candidates = latest(both, KEYS, values) if growing else both
+        return top_n(candidates, n, by=("client_id",)).select(*columns)
+
+    mode = "update" if growing else "append"
+    return run_epochs(stats, handle, path, checkpoint, mode, **options)
 
 
 def top_view(spark, path, schema=COUNTS):

@@ -12,7 +12,20 @@ from ..session import shared_dir
 from ..streaming.keyed import COUNTS, KEYS
 from ..streaming.ledger import LEDGER
 from .registry import query
-from .tables import EVENT_ROWS_SQL, streamed_event_rows
+from .tables import (
+    EVENT_ROWS_SQL,
+    load_stream,
+    streamed_event_rows,
+    tenant_games,
+    tenant_reviews,
+)
+from .tenants import (
+    TENANT_OVER_SQL,
+    TENANT_PERCENTILE_SQL,
+    TENANT_PLATFORMS_SQL,
+    TENANT_PLAYTIME_SQL,
+    TENANT_TOP_SQL,
+)
 
 COUNTS_SQL = f"""
 WITH {EVENT_ROWS_SQL}, stats AS (
@@ -184,3 +197,38 @@ def stream_stateful_user(spark, sf_dir):
     return lanes.groupBy("client_id").agg(
         F.sum("n").alias("n"), F.max("last_batch").alias("last_batch")
     )
+
+
+def _streams(spark, sf_dir):
+    games = tenant_games(load_stream(spark, sf_dir, "part"))
+    return games, tenant_reviews(load_stream(spark, sf_dir, "lineitem"))
+
+
+@query("stream_question_platforms", TENANT_PLATFORMS_SQL)
+def stream_question_platforms(spark, sf_dir):
+    games, _ = _streams(spark, sf_dir)
+    return st.stream_platform_counts(games, shared_dir(spark, "platforms"))
+
+
+@query("stream_question_playtime", TENANT_PLAYTIME_SQL)
+def stream_question_playtime(spark, sf_dir):
+    games, _ = _streams(spark, sf_dir)
+    return st.stream_top_playtime(games, shared_dir(spark, "playtime"), "small", 2010, 10)
+
+
+@query("stream_question_top", TENANT_TOP_SQL)
+def stream_question_top(spark, sf_dir):
+    folder = shared_dir(spark, "top-reviewed")
+    return st.stream_top_reviewed(*_streams(spark, sf_dir), folder, "small", n=5)
+
+
+@query("stream_question_over", TENANT_OVER_SQL)
+def stream_question_over(spark, sf_dir):
+    folder = shared_dir(spark, "over")
+    return st.stream_over_threshold(*_streams(spark, sf_dir), folder, "large", 8)
+
+
+@query("stream_question_percentile", TENANT_PERCENTILE_SQL)
+def stream_question_percentile(spark, sf_dir):
+    folder = shared_dir(spark, "percentile-question")
+    return st.stream_percentile_question(*_streams(spark, sf_dir), folder, "large", 90)

@@ -75,6 +75,54 @@ def reviews(spark, sf_dir):
     )
 
 
+TENANTS_SQL = """
+games AS (
+  SELECT p_size % 3 + 1 AS client_id, p_partkey AS app_id, p_name AS name,
+         string_split(p_name, ' ') AS genres, CAST(p_size AS BIGINT) AS avg_playtime,
+         1990 + p_size AS release_year,
+         p_size % 2 = 0 AS windows, p_size % 3 = 0 AS mac, p_size % 5 = 0 AS linux
+  FROM part),
+reviews AS (
+  SELECT l_linenumber % 3 + 1 AS client_id, l_partkey AS app_id,
+         CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END AS score
+  FROM lineitem)"""
+
+
+def tenant_games(part):
+    """Parts as the catalogues of three tenants; ``part`` may be a stream."""
+    size = F.col("p_size")
+    return part.select(
+        (size % 3 + 1).cast("bigint").alias("client_id"),
+        F.col("p_partkey").alias("app_id"),
+        F.col("p_name").alias("name"),
+        F.split("p_name", " ").alias("genres"),
+        size.cast("bigint").alias("avg_playtime"),
+        (size + 1990).alias("release_year"),
+        (size % 2 == 0).alias("windows"),
+        (size % 3 == 0).alias("mac"),
+        (size % 5 == 0).alias("linux"),
+        F.lit(1).cast("bigint").alias("seq"),
+    )
+
+
+def tenant_reviews(lineitem):
+    """Line items as reviews; those of a part in another tenant's catalogue do not count."""
+    flag = F.col("l_returnflag")
+    return lineitem.select(
+        (F.col("l_linenumber") % 3 + 1).cast("bigint").alias("client_id"),
+        F.col("l_partkey").alias("app_id"),
+        F.when(flag == "R", 1).when(flag == "A", -1).otherwise(0).cast("tinyint").alias("score"),
+    )
+
+
+def load_stream(spark, sf_dir, table):
+    """A file stream over a table."""
+    schema = load(spark, sf_dir, table).schema
+    # A pattern, so that both a single file and a folder of files can be streamed.
+    pattern = f"{table[:-1]}[{table[-1]}].parquet"
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{pattern}")
+
+
 ORDER_GAMES_SQL = """
 games AS (
   SELECT o_orderkey AS app_id, o_orderstatus AS name, [o_orderpriority] AS genres,
@@ -172,8 +220,5 @@ def streamed_event_rows(spark, sf_dir):
 
     A stream does not know its end; where it stops is read from the stored table.
     """
-    stored = load(spark, sf_dir, "events")
-    last_id = stored.agg(F.max("event_id")).first()[0]
-    # A pattern, so that both a single file and a folder of files can be streamed.
-    stream = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/event[s].parquet")
-    return event_rows(stream, F.lit(last_id).cast("bigint"))
+    last_id = load(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    return event_rows(load_stream(spark, sf_dir, "events"), F.lit(last_id).cast("bigint"))

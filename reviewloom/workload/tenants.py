@@ -1,10 +1,19 @@
-"""Batch numbers and tenants over the stored events."""
+"""Batch numbers and tenants over the stored events, and the questions by tenant."""
 
 from pyspark.sql import functions as F
 
+from .. import plans
 from .. import streaming as st
+from ..session import shared_dir
 from .registry import query
-from .tables import EVENT_ROWS_SQL, stored_event_rows
+from .tables import (
+    EVENT_ROWS_SQL,
+    TENANTS_SQL,
+    load,
+    stored_event_rows,
+    tenant_games,
+    tenant_reviews,
+)
 
 
 def _tenant_rows(spark, sf_dir):
@@ -93,7 +102,10 @@ WITH {EVENT_ROWS_SQL}
 SELECT client_id, app_id, count(*) AS n FROM event_rows WHERE client_id > 2
 GROUP BY client_id, app_id""")
 def tenant_purge_upto(spark, sf_dir):
-    rows = st.live_rows(_tenant_rows(spark, sf_dir), _control(spark, "upto", 2))
+    """The table is rewritten without the purged tenants."""
+    path = shared_dir(spark, "purged")
+    st.rewrite_without(_tenant_rows(spark, sf_dir), _control(spark, "upto", 2), path)
+    rows = spark.read.parquet(path).withColumn("client_id", F.col("client_id").cast("bigint"))
     return rows.groupBy("client_id", "app_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,3 +127,77 @@ def first_result(spark, sf_dir):
         "client_id", number.alias("query_no"), "seq", "value"
     )
     return st.first_result(results, "seq")
+
+
+def _catalogues(spark, sf_dir):
+    games = tenant_games(load(spark, sf_dir, "part"))
+    return games, tenant_reviews(load(spark, sf_dir, "lineitem"))
+
+
+TENANT = ("client_id",)
+
+TENANT_PLATFORMS_SQL = f"""
+WITH {TENANTS_SQL}
+SELECT CAST(client_id AS BIGINT) AS client_id, count(*) FILTER (linux) AS "Linux",
+       count(*) FILTER (mac) AS "Mac", count(*) FILTER (windows) AS "Windows"
+FROM games GROUP BY client_id"""
+
+
+@query("tenant_platform_counts", TENANT_PLATFORMS_SQL)
+def tenant_platform_counts(spark, sf_dir):
+    games, _ = _catalogues(spark, sf_dir)
+    return plans.platform_counts(games, TENANT)
+
+
+TENANT_PLAYTIME_SQL = f"""
+WITH {TENANTS_SQL}
+SELECT CAST(client_id AS BIGINT) AS client_id, app_id, name, avg_playtime AS stat FROM games
+WHERE list_contains(genres, 'small') AND contains(CAST(release_year AS VARCHAR), '201')
+QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY avg_playtime DESC, app_id) <= 10"""
+
+
+@query("tenant_top_playtime", TENANT_PLAYTIME_SQL)
+def tenant_top_playtime(spark, sf_dir):
+    games, _ = _catalogues(spark, sf_dir)
+    return plans.top_playtime(games, "small", 2010, 10, by=TENANT)
+
+
+def tenant_counts_sql(genre, condition):
+    return f"""
+WITH {TENANTS_SQL}, stats AS (
+  SELECT CAST(client_id AS BIGINT) AS client_id, app_id, name, count(*) AS stat
+  FROM games JOIN reviews USING (client_id, app_id)
+  WHERE list_contains(genres, '{genre}') AND {condition}
+  GROUP BY client_id, app_id, name)"""
+
+
+TENANT_TOP_SQL = f"""{tenant_counts_sql("small", "score = 1")}
+SELECT client_id, app_id, name, stat FROM stats
+QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY stat DESC, app_id) <= 5"""
+
+
+@query("tenant_top_reviewed", TENANT_TOP_SQL)
+def tenant_top_reviewed(spark, sf_dir):
+    return plans.top_reviewed(*_catalogues(spark, sf_dir), "small", n=5, by=TENANT)
+
+
+TENANT_OVER_SQL = f"""{tenant_counts_sql("large", "score <> 1")}
+SELECT client_id, app_id, name, stat FROM stats WHERE stat > 8"""
+
+
+@query("tenant_over_threshold", TENANT_OVER_SQL)
+def tenant_over_threshold(spark, sf_dir):
+    return plans.over_threshold(*_catalogues(spark, sf_dir), "large", 8, by=TENANT)
+
+
+TENANT_PERCENTILE_SQL = f"""{tenant_counts_sql("large", "score <> 1")}, placed AS (
+  SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY stat, app_id DESC) AS place,
+         count(*) OVER (PARTITION BY client_id) AS n
+  FROM stats)
+SELECT client_id, app_id, name, stat FROM placed
+WHERE place > greatest(0, CAST(ceil(CAST(90 AS DOUBLE) / 100 * n) AS BIGINT) - 1)"""
+
+
+@query("tenant_percentile", TENANT_PERCENTILE_SQL)
+def tenant_percentile(spark, sf_dir):
+    return plans.percentile_question(*_catalogues(spark, sf_dir), "large", 90, by=TENANT)
