@@ -1,11 +1,14 @@
 import os
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewloom import plans
 from reviewloom import streaming as st
+from reviewloom.functions import marker_language
 from reviewloom.operators import percentile_cut, top_n
 from reviewloom.streaming.keyed import COUNTS, KEYS
 from reviewloom.streaming.ledger import LEDGER
@@ -20,7 +23,7 @@ class Feed:
     def __init__(self, spark, folder, schema):
         self.spark, self.folder, self.files = spark, folder, 0
         self.schema = T.StructType.fromDDL(schema)
-        os.makedirs(folder / "in")
+        os.makedirs(folder / "in", exist_ok=True)
 
     def add(self, rows):
         path = self.folder / "in" / f"{self.files:04d}.parquet"
@@ -349,3 +352,61 @@ def test_stateful_handler_over_micro_batches(feed):
                       ["batches", "n"])
     rows = lanes.groupBy("client_id").agg(F.sum("batches"), F.sum("n")).collect()
     assert sorted(map(tuple, rows)) == [(1, 4, 13), (2, 2, 4)]
+
+
+GAME_ROWS = ("client_id bigint, app_id bigint, name string, seq bigint, release_year bigint, "
+             "avg_playtime bigint, linux boolean, mac boolean, windows boolean, genre string")
+REVIEW_ROWS = "client_id bigint, app_id bigint, text string, score bigint"
+
+
+def test_questions_over_streams_equal_the_batch(spark, tmp_path):
+    """Random tenants, in several micro-batches of either input, asked after each."""
+    pick = random.Random(21)
+    game_feed = Feed(spark, tmp_path / "games", GAME_ROWS)
+    review_feed = Feed(spark, tmp_path / "reviews", REVIEW_ROWS)
+    texts = ["the cat is here", "el gato de la casa", "xyz"]
+
+    def games_of(rows):
+        return rows.withColumn("genres", F.split("genre", ",")).drop("genre")
+
+    english = marker_language("text") == "en"
+    seq = 0
+    for step in range(3):
+        rows = []
+        for _ in range(15):
+            seq += 1
+            rows.append((
+                pick.randint(1, 3), pick.randint(1, 25), f"name {seq}", seq,
+                pick.choice([2009, 2010, 2015, 2020]), seq, pick.random() < 0.5,
+                pick.random() < 0.2, True, pick.choice(["Indie", "Action", "Indie,Action", "RPG"]),
+            ))
+        game_feed.add(rows)
+        review_feed.add([
+            (pick.randint(1, 3), pick.randint(1, 30), pick.choice(texts), pick.choice([1, 1, -1, 0]))
+            for _ in range(400)
+        ])
+        games = games_of(game_feed.stream())
+        reviews = review_feed.stream()
+        stored_games = games_of(spark.read.schema(game_feed.schema).parquet(game_feed.path("in")))
+        stored_reviews = spark.read.schema(review_feed.schema).parquet(review_feed.path("in"))
+        both = (stored_games, stored_reviews)
+        by = ("client_id",)
+
+        def folder(name):
+            return str(tmp_path / name)
+
+        def same(got, want):
+            columns = want.columns
+            assert sorted(map(tuple, got.select(*columns).collect())) == sorted(
+                map(tuple, want.collect()))
+            assert want.count() > 0
+
+        same(st.stream_platform_counts(games, folder("q1")), plans.platform_counts(stored_games, by))
+        same(st.stream_top_playtime(games, folder("q2"), n=3),
+             plans.top_playtime(stored_games, n=3, by=by))
+        same(st.stream_top_reviewed(games, reviews, folder("q3"), n=2),
+             plans.top_reviewed(*both, n=2, seq="seq", by=by))
+        same(st.stream_over_threshold(games, reviews, folder("q4"), n=0, in_language=english),
+             plans.over_threshold(*both, n=0, in_language=english, seq="seq", by=by))
+        same(st.stream_percentile_question(games, reviews, folder("q5"), p=60),
+             plans.percentile_question(*both, p=60, seq="seq", by=by))
