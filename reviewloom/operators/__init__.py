@@ -16,6 +16,7 @@ from .joins import (
     for_listed,
     game_review_counts,
     game_review_counts_by_union,
+    named_counts,
     only_listed,
     prefilter,
     without_listed,
@@ -50,6 +51,7 @@ __all__ = [
     "gram_counts",
     "is_polarity",
     "latest_names",
+    "named_counts",
     "non_empty",
     "only_if",
     "only_listed",

@@ -20,8 +20,12 @@ def game_review_counts(games, reviews, names="last", seq=None, by=()):
     distinct names are joined by commas in ascending order. ``by`` names columns,
     such as the tenant, that keep catalogues and reviews apart.
     """
+    return named_counts(games, review_counts(reviews, by), names, seq, by)
+
+
+def named_counts(games, counts, names="last", seq=None, by=()):
+    """The same from counts per game, for counts that serve several questions."""
     keys = [*by, "app_id"]
-    counts = review_counts(reviews, by)
     if names == "last":
         return latest_names(games, seq, by).join(counts, keys).select(*keys, "name", "stat")
     if names == "concat":

@@ -192,3 +192,60 @@ QUALIFY row_number() OVER (PARTITION BY name ORDER BY stat DESC, app_id) <= 3"""
 def top_n_by_group(spark, sf_dir):
     stats = op.game_review_counts(games(spark, sf_dir), reviews(spark, sf_dir))
     return op.top_n(stats, 3, by=("name",))
+
+
+TOGETHER_SQL = f"""
+WITH {GAMES_SQL},
+reviews AS (
+  SELECT l_partkey AS app_id, l_linestatus AS text,
+         CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -1 ELSE 0 END AS score
+  FROM lineitem),
+dated AS (
+  SELECT *, 1990 + avg_playtime AS release_year FROM games),
+rated AS (
+  SELECT app_id, name, genres, count(*) FILTER (score = 1) AS positive,
+         count(*) FILTER (score <> 1) AS negative,
+         count(*) FILTER (score <> 1 AND text = 'F') AS in_language
+  FROM games JOIN reviews USING (app_id) GROUP BY app_id, name, genres),
+best AS (
+  SELECT app_id, name, positive AS stat FROM rated
+  WHERE list_contains(genres, 'small') AND positive > 0 ORDER BY stat DESC, app_id LIMIT 5),
+longest AS (
+  SELECT app_id, name, avg_playtime AS stat FROM dated
+  WHERE list_contains(genres, 'small') AND contains(CAST(release_year AS VARCHAR), '201')
+  ORDER BY stat DESC, app_id LIMIT 10),
+placed AS (
+  SELECT app_id, name, negative AS stat, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY negative, app_id DESC) AS place
+  FROM rated WHERE list_contains(genres, 'large') AND negative > 0)
+SELECT 1 AS question, NULL::BIGINT AS app_id, 'Linux' AS name, count(*) FILTER (linux) AS stat
+FROM games
+UNION ALL SELECT 1, NULL, 'Mac', count(*) FILTER (mac) FROM games
+UNION ALL SELECT 1, NULL, 'Windows', count(*) FILTER (windows) FROM games
+UNION ALL SELECT 2, app_id, name, stat FROM longest
+UNION ALL SELECT 3, app_id, name, stat FROM best
+UNION ALL SELECT 4, app_id, name, in_language FROM rated
+  WHERE list_contains(genres, 'large') AND in_language > 12
+UNION ALL SELECT 5, app_id, name, stat FROM placed
+  WHERE place > greatest(0, CAST(ceil(CAST(90 AS DOUBLE) / 100 * n) AS BIGINT) - 1)"""
+
+
+@query("all_answers", TOGETHER_SQL)
+def all_answers(spark, sf_dir):
+    """The five answers in one table; the line status stands for the language."""
+    catalogue = games(spark, sf_dir).withColumn(
+        "release_year", (F.col("avg_playtime") + 1990).cast("int")
+    )
+    rated = reviews(spark, sf_dir, text="l_linestatus")
+    answers = plans.all_answers(
+        catalogue, rated, F.col("text") == "F", "small", "large", more_than=12
+    )
+    platforms = answers.pop(1)
+    pairs = [F.struct(F.lit(name).alias("name"), F.col(name).alias("stat"))
+             for name in platforms.columns]
+    table = platforms.select(F.inline(F.array(*pairs))).select(
+        F.lit(1).alias("question"), F.lit(None).cast("bigint").alias("app_id"), "name", "stat"
+    )
+    for number, answer in answers.items():
+        table = table.unionByName(answer.withColumn("question", F.lit(number)))
+    return table

@@ -67,11 +67,12 @@ reviews AS (
   FROM lineitem)"""
 
 
-def reviews(spark, sf_dir):
+def reviews(spark, sf_dir, text=None):
     flag = F.col("l_returnflag")
     return load(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("app_id"),
         F.when(flag == "R", 1).when(flag == "A", -1).otherwise(0).cast("tinyint").alias("score"),
+        *([F.col(text).alias("text")] if text else []),
     )
 
 

@@ -99,6 +99,41 @@ def test_percentile_question(world):
     assert rows(linear) == [(3, "c", 6)]
 
 
+def test_all_answers_equal_the_single_questions(spark, world, tmp_path):
+    catalogue, written = world
+    catalogue = catalogue.withColumns({
+        "release_year": (F.col("app_id") + 2008).cast("int"),
+        "avg_playtime": F.col("app_id") * 10,
+        **{flag: F.col("app_id") > 2 for flag in ("linux", "mac", "windows")},
+    })
+    written = written.withColumn("lang", F.when(F.col("app_id") == 4, "es").otherwise("en"))
+    english = F.col("lang") == "en"
+    together = plans.all_answers(catalogue, written, english, more_than=2, p=50)
+    single = {
+        1: plans.platform_counts(catalogue),
+        2: plans.top_playtime(catalogue),
+        3: plans.top_reviewed(catalogue, written),
+        4: plans.over_threshold(catalogue, written, n=2, in_language=english),
+        5: plans.percentile_question(catalogue, written, p=50),
+    }
+    for number, answer in together.items():
+        assert answer.collect() == single[number].collect(), number
+        assert answer.columns == single[number].columns
+    plans.write_answers(together, str(tmp_path))
+    assert sorted(path.name for path in tmp_path.iterdir()) == ["1", "2", "3", "4", "5"]
+
+
+def test_the_score_is_filtered_in_the_scan_and_texts_are_not_read(spark, games, tmp_path):
+    rows = [(1, "text", 1), (1, "text", -1)]
+    frame = spark.createDataFrame(rows, "app_id bigint, text string, score tinyint")
+    frame.write.parquet(str(tmp_path / "reviews"))
+    stored = spark.read.parquet(str(tmp_path / "reviews"))
+    answer = plans.top_reviewed(games((1, "a", ["Indie"])), stored)
+    plan = answer._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(score,1)" in plan
+    assert "ReadSchema: struct<app_id:bigint,score:tinyint>" in plan
+
+
 def test_platforms_and_playtime(spark):
     schema = ("app_id bigint, name string, release_year int, linux boolean, mac boolean, "
               "windows boolean, avg_playtime bigint, genres array<string>")
