@@ -1,4 +1,4 @@
-from .epochs import latest, log_view, run_epochs, start_log
+from .epochs import compact_log, latest, log_view, run_epochs, start_log
 from .handlers import handle_batches, stateful_handlers
 from .keyed import (
     keyed_counts,
@@ -12,6 +12,7 @@ from .ledger import (
     completeness,
     first_delivery,
     missing_batches,
+    once,
     senders_complete,
 )
 from .questions import (
@@ -27,6 +28,7 @@ from .tenants import drop_done, live_rows, purged_ids, rewrite_without
 
 __all__ = [
     "accept_new_batches",
+    "compact_log",
     "completeness",
     "drop_done",
     "first_delivery",
@@ -37,6 +39,7 @@ __all__ = [
     "live_rows",
     "log_view",
     "missing_batches",
+    "once",
     "progress",
     "purged_ids",
     "rewrite_without",

@@ -25,15 +25,20 @@ def log_view(spark, path, schema, before=None, only=None):
     return rows if before is None else rows.filter(F.col("epoch") < before)
 
 
-def run_epochs(stream, handle, path, checkpoint, mode="append", available_now=True):
+def run_epochs(
+    stream, handle, path, checkpoint, mode="append", available_now=True, after=None
+):
     """Run ``handle(rows, epoch) -> DataFrame`` per micro-batch into an epoch log.
 
-    With ``available_now`` the call processes what is there and returns; a later
-    call with the same checkpoint continues. Otherwise the running query is
-    returned.
+    ``after(spark, epoch)`` is called when the epoch's folder is written, within
+    the same micro-batch. With ``available_now`` the call processes what is there
+    and returns; a later call with the same checkpoint continues. Otherwise the
+    running query is returned.
     """
     def write(rows, epoch):
         handle(rows, epoch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if after is not None:
+            after(rows.sparkSession, epoch)
 
     writer = (
         stream.writeStream.outputMode(mode)
@@ -53,3 +58,12 @@ def latest(rows, keys, values):
     return rows.groupBy(*keys).agg(newest).select(
         *keys, *[F.col("_newest")[name].alias(name) for name in values]
     )
+
+
+def compact_log(rows, keys, values, path):
+    """Start a new log with only the newest version of every key.
+
+    A log of a long stream holds many versions. Stop the query, compact its log to
+    a new folder, and go on with that folder and the same checkpoint.
+    """
+    latest(rows, keys, values).write.parquet(f"{path}/epoch=-1")

@@ -36,32 +36,45 @@ def first_delivery(rows, arrival, keys=BATCH_KEYS):
     return rows.join(surplus.select(*keys, arrival), [*keys, arrival], "left_anti")
 
 
+def once(rows, row_no="row_no", keys=BATCH_KEYS):
+    """Each row of a batch once, where copies of a batch cannot be told apart.
+
+    Batches that come more than once are looked for by number, so that the rows of
+    all others need no shuffle.
+    """
+    numbered = rows.groupBy(*keys, row_no).agg(F.count(F.lit(1)).alias("_copies"))
+    repeated = numbered.filter(F.col("_copies") > 1).select(*keys).distinct()
+    single = rows.join(repeated, list(keys), "left_anti")
+    several = rows.join(repeated, list(keys), "left_semi").dropDuplicates([*keys, row_no])
+    return single.unionByName(several)
+
+
 def accept_new_batches(stream, path, ledger, checkpoint, row_no="row_no", **options):
     """Append each batch of a stream once, and keep a ledger of batch numbers.
 
     A batch must arrive whole within one micro-batch. Numbers that an earlier
-    epoch accepted are dropped by an anti-join with the ledger; repeats inside
-    the micro-batch by (batch, row number). The ledger has one row per batch, not
-    per row, and is read only within the number range of the micro-batch.
+    epoch accepted are dropped by an anti-join with the ledger, repeats inside the
+    micro-batch by ``once``. The ledger has one row per batch, not per row, and is
+    read only within the number range of the micro-batch.
     """
-    spark = stream.sparkSession
     schema = stream.schema
-    start_log(spark, path, schema)
-    start_log(spark, ledger, LEDGER)
+    start_log(stream.sparkSession, path, schema)
+    start_log(stream.sparkSession, ledger, LEDGER)
 
     def handle(rows, epoch):
-        spark = rows.sparkSession
-        span = rows.agg(F.min("batch_id").alias("low"), F.max("batch_id").alias("high"))
-        low, high = span.first()
-        seen = log_view(spark, ledger, LEDGER, before=epoch)
-        if low is not None:
-            seen = seen.filter(F.col("batch_id").between(low, high))
-        fresh = rows.join(seen.select(*BATCH_KEYS).distinct(), BATCH_KEYS, "left_anti")
-        numbers = fresh.groupBy(*BATCH_KEYS).agg(F.bool_or("eof").alias("eof"))
+        seen = log_view(rows.sparkSession, ledger, LEDGER, before=epoch)
+        span = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
+        if span[0] is not None:
+            seen = seen.filter(F.col("batch_id").between(*span))
+        seen = seen.select(*BATCH_KEYS).distinct()
+        return once(rows.join(seen, BATCH_KEYS, "left_anti"), row_no)
+
+    def note(spark, epoch):
+        accepted = log_view(spark, path, schema, only=epoch)
+        numbers = accepted.groupBy(*BATCH_KEYS).agg(F.bool_or("eof").alias("eof"))
         numbers.write.mode("overwrite").parquet(f"{ledger}/epoch={epoch}")
-        return fresh.dropDuplicates([*BATCH_KEYS, row_no])
 
-    return run_epochs(stream, handle, path, checkpoint, **options)
+    return run_epochs(stream, handle, path, checkpoint, after=note, **options)
 
 
 def completeness(rows, by=("client_id", "input")):

@@ -88,7 +88,7 @@ def counted(feed, name="counts"):
     st.start_log(feed.spark, feed.path(name), COUNTS)
     st.run_epochs(
         st.keyed_counts(feed.stream()), lambda rows, epoch: rows,
-        feed.path(name), feed.path(f"ck-{name}"), "update",
+        feed.path(name), feed.path("ck-counts"), "update",
     )
     rows = st.latest(st.log_view(feed.spark, feed.path(name), COUNTS), KEYS, ["name", "stat"])
     rows = rows.filter("stat > 0 and coalesce(name, '') <> ''")
@@ -129,6 +129,18 @@ def test_restart_from_checkpoint(feed):
     assert answer == FINAL
 
 
+def test_going_on_with_a_compacted_log(feed):
+    for rows in SCRIPT[:3]:
+        feed.add(rows)
+    counted(feed)
+    log = st.log_view(feed.spark, feed.path("counts"), COUNTS)
+    st.compact_log(log, KEYS, ["name", "stat"], feed.path("compact"))
+    compact = st.log_view(feed.spark, feed.path("compact"), COUNTS)
+    assert compact.count() == log.select(*KEYS).distinct().count() < log.count()
+    feed.add(SCRIPT[3])
+    assert counted(feed, "compact") == FINAL
+
+
 def test_a_failed_epoch_is_written_again(feed):
     """The output of a failed attempt is replaced, not added to."""
     for rows in SCRIPT:
@@ -198,6 +210,14 @@ def test_first_delivery(spark):
     assert sorted(row.v for row in kept.collect()) == ["input", "other", "x", "y", "z"]
 
 
+def test_once(spark):
+    rows = [(1, "a", 0, 0, "x"), (1, "a", 0, 1, "y"), (1, "a", 0, 0, "x"), (1, "a", 0, 1, "y"),
+            (1, "a", 1, 0, "z"), (2, "a", 0, 0, "x")]
+    frame = spark.createDataFrame(
+        rows, "client_id bigint, input string, batch_id bigint, row_no bigint, v string")
+    assert sorted(map(tuple, st.once(frame).collect())) == sorted(set(rows))
+
+
 def test_senders(spark):
     rows = [(1, 1), (1, 2), (1, 2), (1, 3), (2, 1), (2, 1)]
     frame = spark.createDataFrame(rows, "client_id bigint, sender int")
