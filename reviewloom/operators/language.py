@@ -26,8 +26,7 @@ def gram_counts(docs, languages=CANDIDATES, n=3, text="text", language="lang"):
 def fit_profiles(counts, languages=CANDIDATES):
     """(gram, one weight per language): log((n + 1) / (total + distinct grams)).
 
-    Write the profile to a table and hand ``classify`` the table: it is then
-    fitted once, and its stored size decides whether it is broadcast.
+    Store the profile before it is used: it is then fitted once.
     """
     wide = counts.groupBy("gram").agg(*[
         F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(name)
@@ -45,37 +44,48 @@ def fit_profiles(counts, languages=CANDIDATES):
     ])
 
 
-def classify(docs, profiles, languages=CANDIDATES, n=3, text="text", keys=("doc_id",)):
+def classify(
+    docs, profiles, languages=CANDIDATES, n=3, text="text", keys=("doc_id",), most=5_000_000
+):
     """(keys, predicted) for every document, ``unknown`` if no gram is known.
 
-    Extra ``keys`` ride along with the document id.
-
-    The profile is joined without a hint. Spark broadcasts a stored profile below
-    autoBroadcastJoinThreshold; a larger one is joined by sort-merge on the gram,
-    where adaptive execution splits the frequent grams.
+    Extra ``keys`` ride along with the document id. A profile of at most ``most``
+    grams, some hundred megabytes, is broadcast. For a larger one the grams are
+    counted per document first and then shuffled to the profile by gram, where
+    adaptive execution splits the frequent ones.
     """
-    grams = docs.select(*keys, F.explode_outer(char_ngrams(text, n)).alias("_gram")).withColumn(
-        "_hash", F.xxhash64("_gram")
-    )
-    known = profiles.withColumn("_known_hash", F.xxhash64("gram"))
-    # Joining on a number is several times faster than on text. The text decides;
-    # it is compared by order, as an equality would become a join key again.
-    same = (
-        (F.col("_hash") == F.col("_known_hash"))
-        & (F.col("_gram") <= F.col("gram"))
-        & (F.col("_gram") >= F.col("gram"))
-    )
-    scores = (
-        grams.join(known, same, "left")
-        .groupBy(*keys)
-        .agg(*[F.sum(name).alias(name) for name in languages])
+    grams = docs.select(*keys, F.explode_outer(char_ngrams(text, n)).alias("_gram"))
+    known = profiles.select(
+        F.xxhash64("gram").alias("_known_hash"), F.col("gram").alias("_known_gram"), *languages
     )
+    if profiles.limit(most + 1).count() <= most:
+        weighed = _weigh(grams, F.broadcast(known)).withColumn("_times", F.lit(1))
+    else:
+        counted = grams.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_times"))
+        weighed = _weigh(counted, known)
+    scores = weighed.groupBy(*keys).agg(*[
+        F.sum(F.col(name) * F.col("_times")).alias(name) for name in languages
+    ])
     predicted = best_language({name: F.col(name) for name in languages})
     return scores.select(
         *keys, F.coalesce(predicted, F.lit("unknown")).alias("predicted")
     )
 
 
+def _weigh(grams, known):
+    """Add the weights of each gram, NULL for an unknown one.
+
+    Joining on a number is several times faster than on text. The text decides; it
+    is compared by order, as an equality would become a join key again.
+    """
+    same = (
+        (F.col("_hash") == F.col("_known_hash"))
+        & (F.col("_gram") <= F.col("_known_gram"))
+        & (F.col("_gram") >= F.col("_known_gram"))
+    )
+    return grams.withColumn("_hash", F.xxhash64("_gram")).join(known, same, "left")
+
+
 def confusion(labelled, gold="lang", predicted="predicted"):
     """Documents per (gold, predicted)."""
     return labelled.groupBy(gold, predicted).agg(F.count(F.lit(1)).alias("n"))

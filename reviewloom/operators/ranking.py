@@ -41,7 +41,8 @@ def percentile_cut(
     interpolates between the two nearest ranks and keeps every row ``>=`` that.
 
     Only a histogram (one row per distinct stat) is ranked, by running totals of
-    bounded blocks; the rows themselves are compared with the cut.
+    bounded blocks; the rows themselves are compared with the cut. ``stats`` is read
+    several times: store it where it is costly to compute.
     """
     if method not in ("nearest", "linear"):
         raise ValueError(f"unknown method: {method}")
