@@ -6,6 +6,7 @@ the record had; ``cleaning`` turns them into typed rows.
 Records may hold quoted line breaks, so Spark cannot cut a file anywhere. The
 ``layout`` says how to read in parallel:
 
+* ``auto``    ``blocks`` if a file is larger than LARGE_FILE, else ``files``
 * ``files``   one task per file; for exports of many files of moderate size
 * ``blocks``  files of any size, cut into blocks whose records are put together
 * ``lines``   files of any size without quoted line breaks
@@ -19,6 +20,7 @@ from ..schema import GAME_FIELDS, GAME_WIDTH, REVIEW_FIELDS, REVIEW_WIDTH
 from .records import read_records
 
 RAW_RECORD = "_raw_record"
+LARGE_FILE = 1 << 30
 CSV_OPTIONS = {
     "quote": '"',
     "escape": '"',
@@ -27,11 +29,11 @@ CSV_OPTIONS = {
 }
 
 
-def read_games(spark, path, width=None, layout="files"):
+def read_games(spark, path, width=None, layout="auto"):
     return _read(spark, path, GAME_FIELDS, GAME_WIDTH, width, layout)
 
 
-def read_reviews(spark, path, width=None, layout="files"):
+def read_reviews(spark, path, width=None, layout="auto"):
     return _read(spark, path, REVIEW_FIELDS, REVIEW_WIDTH, width, layout)
 
 
@@ -56,6 +58,8 @@ def spread(table, key):
 
 def _read(spark, path, fields, least, width, layout):
     width = width or _header_width(spark, path, least)
+    if layout == "auto":
+        layout = "blocks" if _largest_file(spark, path) > LARGE_FILE else "files"
     if layout == "blocks":
         parsed = F.from_csv("record", _schema(width).simpleString(), CSV_OPTIONS)
         raw = read_records(spark, path).select(parsed.alias("_parsed")).select("_parsed.*")
@@ -82,6 +86,12 @@ def _schema(width):
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
+def _largest_file(spark, path):
+    """Bytes; the contents are not read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+
+
 def _header_width(spark, path, least):
     """Columns of the header line, so that only ragged records are kept raw."""
     header = spark.read.options(header=True, quote='"', escape='"').csv(path)

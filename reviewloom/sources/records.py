@@ -33,7 +33,8 @@ def read_records(spark, path):
         ((F.col("_block") == 0) & (F.row_number().over(ordered) == 1)).alias("_header"),
     )
     # A record is named by the block and line it starts in.
-    start = F.when(F.col("_starts"), F.struct(F.col("_block").alias("b"), F.col("_line").alias("l")))
+    here = F.struct(F.col("_block").alias("b"), F.col("_line").alias("l"))
+    start = F.when(F.col("_starts"), here)
     marked = marked.withColumn("_start", F.max(start).over(so_far))
 
     whole = marked.filter(F.col("_starts") & F.col("_ends"))

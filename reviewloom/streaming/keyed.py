@@ -51,8 +51,10 @@ def run_top(stats, n, path, checkpoint, schema=COUNTS, growing=True, **options):
     values = [name for name in columns if name not in KEYS]
 
     def handle(rows, epoch):
-        old = log_view(rows.sparkSession, path, schema, only=epoch - 1).withColumn("epoch", F.lit(0))
-        both = old.unionByName(rows.select(*columns).withColumn("epoch", F.lit(1)))
+        old = log_view(rows.sparkSession, path, schema, only=epoch - 1)
+        both = old.unionByName(
+            rows.select(*columns).withColumn("epoch", F.lit(epoch).cast("bigint"))
+        )
         candidates = latest(both, KEYS, values) if growing else both
         return top_n(candidates, n, by=("client_id",)).select(*columns)
 

@@ -78,7 +78,8 @@ def _raw_games(spark, sf_dir):
         F.when(size % 3 == 0, "true").otherwise("True").alias("mac"),
         F.when(size % 5 == 0, "True").alias("linux"),
         F.when(size == 16, "12.5").otherwise(size.cast("string")).alias("avg_playtime"),
-        F.when(size == 17, "").otherwise(F.replace("p_name", F.lit(" "), F.lit(","))).alias("genres"),
+        F.when(size == 17, "")
+        .otherwise(F.replace("p_name", F.lit(" "), F.lit(","))).alias("genres"),
         F.when(size == 18, 36).otherwise(39).alias("n_fields"),
     )
 
@@ -87,7 +88,8 @@ RAW_REVIEWS_SQL = """
 raw_reviews AS (
   SELECT CASE CAST(l_quantity AS INTEGER) WHEN 3 THEN l_partkey || ' ' WHEN 4 THEN NULL
               ELSE CAST(l_partkey AS VARCHAR) END AS app_id,
-         CASE CAST(l_quantity AS INTEGER) WHEN 5 THEN '' ELSE l_linestatus || l_quantity END AS text,
+         CASE CAST(l_quantity AS INTEGER) WHEN 5 THEN ''
+              ELSE l_linestatus || l_quantity END AS text,
          CASE CAST(l_quantity AS INTEGER) WHEN 6 THEN '257' WHEN 7 THEN '' ELSE
            CASE l_returnflag WHEN 'R' THEN '1' WHEN 'A' THEN '-1' ELSE '0' END END AS score,
          CASE CAST(l_quantity AS INTEGER) WHEN 8 THEN 3 ELSE 4 END AS n_fields

@@ -17,7 +17,8 @@ GRAMS_SQL = """
 chars AS (SELECT doc_id, lang, string_split(lower(text), '') AS c FROM documents),
 doc_grams AS (
   SELECT doc_id, lang,
-         unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
+         unnest(list_transform(range(1, len(c) - 1),
+                               lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
   FROM chars),
 counts AS (
   SELECT lang, gram, count(*) AS n FROM doc_grams WHERE lang IN ('en', 'es') GROUP BY lang, gram)"""

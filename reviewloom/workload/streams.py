@@ -140,7 +140,8 @@ def stream_progress(spark, sf_dir):
 
 @query("stream_handler", f"""
 WITH {EVENT_ROWS_SQL}
-SELECT client_id, input, count(*) AS n, max(value) AS top FROM event_rows GROUP BY client_id, input""")
+SELECT client_id, input, count(*) AS n, max(value) AS top
+FROM event_rows GROUP BY client_id, input""")
 def stream_handler(spark, sf_dir):
     """A user function per micro-batch: Arrow-batched Python, then a partial sum."""
     def handler(rows):

@@ -173,7 +173,8 @@ def test_prefilter_changes_no_answer(spark, games, reviews, most):
 
 def test_costly_condition_sees_only_listed_rows(spark, games):
     """It is checked at or above the join with the list, never below."""
-    texts = spark.createDataFrame([(1, "x", 1), (2, "y", -1)], "app_id bigint, text string, score int")
+    texts = spark.createDataFrame(
+        [(1, "x", 1), (2, "y", -1)], "app_id bigint, text string, score int")
     costly = F.regexp_replace("text", "y", "z") == "z"
     kept = op.for_listed(texts, games((2, "b", [])), op.is_polarity("negative"), costly)
     assert rows(kept) == [(2, "y", -1)]

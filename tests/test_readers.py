@@ -62,7 +62,16 @@ def review_files(tmp_path_factory):
 
 def test_one_task_per_file(spark, review_files):
     folder, want = review_files
-    assert as_read(read_reviews(spark, folder)) == want
+    assert as_read(read_reviews(spark, folder, layout="files")) == want
+
+
+@pytest.mark.parametrize("limit, windows", [(1 << 30, False), (1000, True)])
+def test_large_files_are_read_by_blocks(spark, review_files, monkeypatch, limit, windows):
+    folder, want = review_files
+    monkeypatch.setattr("reviewloom.sources.readers.LARGE_FILE", limit)
+    frame = read_reviews(spark, folder)
+    assert ("Window" in frame._jdf.queryExecution().optimizedPlan().toString()) == windows
+    assert as_read(frame) == want
 
 
 @pytest.mark.parametrize("block_bytes", [134217728, 700, 64])
