@@ -23,7 +23,7 @@ from .questions import (
     stream_top_reviewed,
     tagged_rows,
 )
-from .results import first_result, progress, with_finish_rows
+from .results import first_result, progress, run_first_results, with_finish_rows
 from .tenants import drop_done, live_rows, purged_ids, rewrite_without
 
 __all__ = [
@@ -44,6 +44,7 @@ __all__ = [
     "purged_ids",
     "rewrite_without",
     "run_epochs",
+    "run_first_results",
     "run_percentile",
     "run_top",
     "running_flags",

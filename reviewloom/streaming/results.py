@@ -38,3 +38,22 @@ def first_result(results, arrival, keys=("client_id", "query_no")):
     values = [name for name in results.columns if name not in (*keys, arrival)]
     first = F.min(F.struct(arrival, *values)).alias("_first")
     return results.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
+def run_first_results(
+    results, arrival, path, checkpoint, keys=("client_id", "query_no"), **options
+):
+    """Keep the first result per tenant and question of a stream.
+
+    What an earlier micro-batch delivered stays, whatever arrives later.
+    """
+    schema = results.schema
+    start_log(results.sparkSession, path, schema)
+
+    def handle(rows, epoch):
+        delivered = log_view(rows.sparkSession, path, schema, before=epoch).select(*keys)
+        first = first_result(rows, arrival, keys)
+        return first.join(delivered, list(keys), "left_anti").select(*schema.fieldNames())
+
+    run_epochs(results, handle, path, checkpoint, **options)
+    return log_view(results.sparkSession, path, schema).drop("epoch")

@@ -20,11 +20,13 @@ from .tables import (
     tenant_reviews,
 )
 from .tenants import (
+    FIRST_RESULT_SQL,
     TENANT_OVER_SQL,
     TENANT_PERCENTILE_SQL,
     TENANT_PLATFORMS_SQL,
     TENANT_PLAYTIME_SQL,
     TENANT_TOP_SQL,
+    results,
 )
 
 COUNTS_SQL = f"""
@@ -115,6 +117,13 @@ def stream_dedup(spark, sf_dir):
     return accepted.drop("epoch", "eof")
 
 
+@query("stream_first_result", FIRST_RESULT_SQL)
+def stream_first_result(spark, sf_dir):
+    folder = shared_dir(spark, "first")
+    stream = results(streamed_event_rows(spark, sf_dir))
+    return st.run_first_results(stream, "seq", f"{folder}/log", f"{folder}/checkpoint")
+
+
 @query("stream_progress", f"""{COUNTS_SQL}, numbers AS (
   SELECT client_id, max(batch_id) AS last_batch, count(DISTINCT batch_id) AS batches,
          bool_or(eof) AS eof

@@ -113,20 +113,24 @@ def tenant_purge_upto(spark, sf_dir):
 QUESTION_OF = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
-@query("first_result", f"""
+FIRST_RESULT_SQL = f"""
 WITH {EVENT_ROWS_SQL}
 SELECT client_id, CASE input WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3
        WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END AS query_no,
        min(seq) AS seq, arg_min(value, seq) AS value
-FROM event_rows GROUP BY client_id, input""")
-def first_result(spark, sf_dir):
+FROM event_rows GROUP BY client_id, input"""
+
+
+def results(rows):
     number = F.coalesce(*[
         F.when(F.col("input") == name, F.lit(number)) for name, number in QUESTION_OF.items()
     ])
-    results = stored_event_rows(spark, sf_dir).select(
-        "client_id", number.alias("query_no"), "seq", "value"
-    )
-    return st.first_result(results, "seq")
+    return rows.select("client_id", number.alias("query_no"), "seq", "value")
+
+
+@query("first_result", FIRST_RESULT_SQL)
+def first_result(spark, sf_dir):
+    return st.first_result(results(stored_event_rows(spark, sf_dir)), "seq")
 
 
 def _catalogues(spark, sf_dir):

@@ -310,6 +310,17 @@ def test_first_result(spark):
     assert got == [(1, 3, 2, "first"), (1, 4, 9, "only"), (2, 3, 1, "own")]
 
 
+def test_first_results_of_a_stream(spark, tmp_path):
+    feed = Feed(spark, tmp_path, "client_id bigint, query_no bigint, arrival bigint, v string")
+    feed.add([(1, 3, 5, "kept"), (1, 3, 6, "no")])
+    feed.add([(1, 3, 1, "too late"), (1, 4, 9, "other"), (2, 3, 8, "no"), (2, 3, 7, "own")])
+    feed.add([(1, 4, 10, "repeat")])
+    got = st.run_first_results(feed.stream(), "arrival", feed.path("log"), feed.path("ck"))
+    assert sorted((r.client_id, r.query_no, r.v) for r in got.collect()) == [
+        (1, 3, "kept"), (1, 4, "other"), (2, 3, "own")
+    ]
+
+
 @pytest.fixture
 def tenants(spark):
     return spark.createDataFrame([(c, v) for c in (1, 2, 3) for v in "ab"],
