@@ -1,63 +1,96 @@
 """CSV records with quoted line breaks out of large, splittable files.
 
-A line break ends a record only where the number of quotes before it is even.
-Spark splits a file into blocks of lines; the quotes of each block are counted
-and summed up in file order, which tells for every block, and then for every
-line, whether it begins inside a quoted field. Lines that are whole records go
-straight through; only the parts of broken records are grouped.
+Whether a line break ends a record depends on whether it lies in a quoted field,
+which depends on all lines before. For each line, two things can be told from the
+line alone: whether its end is quoted if its begin is not, and if its begin is.
+Such pairs are chained, first over the lines of a block, then over the blocks of
+a file, which tells the state at every line. Lines that are whole records go
+straight through; only the parts of broken records are put together.
+
+A stray quote inside an unquoted field opens nothing, and the first line that ends
+unquoted either way sets the chain right again, so damage stays local.
 """
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.positions import running_total
-
 BLOCK = ["_file", "_block"]
 
+# Possessive, so that long fields need no stack.
+QUOTED_TEXT = r'[^"]*+(?:""[^"]*+)*+'
+WHOLE_FIELD = f'(?:^|,)"{QUOTED_TEXT}"(?=,|$)'
+OPEN_FIELD = f'(?:^|,)"{QUOTED_TEXT}$'
+CLOSING = f'^{QUOTED_TEXT}"'
+
 
 def read_records(spark, path):
     """One row ``record`` per CSV record, without each file's header record."""
-    lines = _lines(spark, path)
-    counts = lines.groupBy(*BLOCK).agg(F.sum("_quotes").alias("_in_block"))
-    upto = running_total(counts, "_block", "_in_block", by=["_file"], out="_upto")
-    before = upto.select(*BLOCK, (F.col("_upto") - F.col("_in_block")).alias("_before"))
-
-    # One task reads a block, so _line keeps the order of its lines.
-    ordered = W.partitionBy(*BLOCK).orderBy("_line")
-    so_far = ordered.rowsBetween(W.unboundedPreceding, 0)
-    quotes = F.col("_before") + F.sum("_quotes").over(so_far)
-    marked = lines.join(before, BLOCK).select(
-        *lines.columns,
-        ((quotes - F.col("_quotes")) % 2 == 0).alias("_starts"),
-        (quotes % 2 == 0).alias("_ends"),
-        ((F.col("_block") == 0) & (F.row_number().over(ordered) == 1)).alias("_header"),
+    lines = _chained(_lines(spark, path), BLOCK, "_line")
+    states = lines.groupBy(*BLOCK).agg(
+        F.max(F.struct("_line", "_if_plain", "_if_quoted")).alias("_end")
     )
-    # A record is named by the block and line it starts in.
-    here = F.struct(F.col("_block").alias("b"), F.col("_line").alias("l"))
-    start = F.when(F.col("_starts"), here)
-    marked = marked.withColumn("_start", F.max(start).over(so_far))
-
-    whole = marked.filter(F.col("_starts") & F.col("_ends"))
-    parts = marked.filter(~(F.col("_starts") & F.col("_ends")))
-    records = whole.select("_header", F.col("value").alias("record")).unionByName(
-        _joined(parts, _last_starts(marked))
+    blocks = _chained(states.select(*BLOCK, "_end.*"), ["_file"], "_block")
+    in_file = W.partitionBy("_file").orderBy("_block")
+    quoted = F.coalesce(F.lag("_if_plain").over(in_file), F.lit(False))
+    begins = blocks.select(*BLOCK, quoted.alias("_begins_quoted"))
+
+    in_block = W.partitionBy(*BLOCK).orderBy("_line")
+    ends_quoted = F.when(F.col("_begins_quoted"), F.col("_if_quoted")).otherwise(F.col("_if_plain"))
+    here = F.struct(F.col("_block").alias("block"), F.col("_line").alias("line"))
+    marked = (
+        lines.join(begins, BLOCK)
+        .withColumn("_ends", ~ends_quoted)
+        .withColumn("_starts", F.coalesce(F.lag("_ends").over(in_block), ~F.col("_begins_quoted")))
+        .withColumn("_header", (F.col("_block") == 0) & (F.row_number().over(in_block) == 1))
+        .withColumn("_start", F.max(F.when(F.col("_starts"), here)).over(
+            in_block.rowsBetween(W.unboundedPreceding, 0)
+        ))
     )
+    is_whole = F.col("_starts") & F.col("_ends")
+    whole = marked.filter(is_whole).select("_header", F.col("value").alias("record"))
+    records = whole.unionByName(_joined(marked.filter(~is_whole), _open_records(marked)))
     return records.filter(~F.col("_header") & (F.col("record") != "")).select("record")
 
 
 def _lines(spark, path):
-    text = spark.read.text(path, lineSep="\n")
+    """Lines with their place and state pair. One task reads a block, in order."""
     value = F.regexp_replace("value", r"\r\z", "")
-    return text.select(
+    rest = F.regexp_replace(value, CLOSING, "")
+    return spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
         value.alias("value"),
-        (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))).alias("_quotes"),
+        _opens(value).alias("_if_plain"),
+        F.when(value.rlike(CLOSING), _opens(rest)).otherwise(True).alias("_if_quoted"),
     )
 
 
-def _last_starts(marked):
+def _opens(text):
+    """Does a quoted field begin in the text and not end in it?"""
+    return F.regexp_replace(text, WHOLE_FIELD, "").rlike(OPEN_FIELD)
+
+
+def _chained(rows, group, order):
+    """Replace the state pair of each row by that of the rows up to it.
+
+    A row whose end does not depend on its begin restarts the chain; any other one
+    either keeps the state or turns it.
+    """
+    so_far = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    plain, quoted = F.col("_if_plain"), F.col("_if_quoted")
+    turns = rows.withColumn("_turns", F.sum((plain & ~quoted).cast("int")).over(so_far))
+    fixed = F.when(plain == quoted, F.struct(order, "_turns", plain.alias("quoted")))
+    chained = turns.withColumn("_fixed", F.max(fixed).over(so_far))
+    odd = (F.col("_turns") - F.coalesce(F.col("_fixed._turns"), F.lit(0))) % 2 == 1
+    restarted = F.col("_fixed.quoted") != odd
+    return chained.withColumns({
+        "_if_plain": F.coalesce(restarted, odd),
+        "_if_quoted": F.coalesce(restarted, ~odd),
+    }).drop("_turns", "_fixed")
+
+
+def _open_records(marked):
     """Per block, the record that is open where the block begins.
 
     One row per block: a file of 100 TB has less than a million.
@@ -67,9 +100,9 @@ def _last_starts(marked):
     return blocks.select(*BLOCK, F.max("_last").over(earlier).alias("_open"))
 
 
-def _joined(parts, last_starts):
+def _joined(parts, open_records):
     """Put the parts of each broken record together, in file order."""
-    owned = parts.join(last_starts, BLOCK).withColumn("_record", F.coalesce("_start", "_open"))
+    owned = parts.join(open_records, BLOCK).withColumn("_record", F.coalesce("_start", "_open"))
     pieces = F.array_sort(F.collect_list(F.struct("_block", "_line", "value")))
     return owned.groupBy("_file", "_record").agg(
         F.bool_or("_header").alias("_header"),

@@ -87,6 +87,52 @@ def test_blocks(spark, review_files, block_bytes):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+STRAY = """app_id,name,review_text,review_score
+1,a,stray " quote,1
+2,b,"quoted ""text"" with
+a break, and ""more""
+",1
+3,c"c,5" screen,-1
+4,"d","x ""y",1
+5,e,plain,1
+6,f,end",1
+7,"g
+","h
+
+",-1
+8,i,last,1
+"""
+
+
+@pytest.mark.parametrize("block_bytes", [134217728, 40, 16])
+def test_stray_quotes_stay_local(spark, tmp_path, block_bytes):
+    (tmp_path / "a.csv").write_text(STRAY)
+    want = [
+        ("1", 'stray " quote', "1", 4), ("2", 'quoted "text" with\na break, and "more"\n', "1", 4),
+        ("3", '5" screen', "-1", 4), ("4", 'x "y', "1", 4), ("5", "plain", "1", 4),
+        ("6", 'end"', "1", 4), ("7", "h\n\n", "-1", 4), ("8", "last", "1", 4),
+    ]
+    assert as_read(read_reviews(spark, str(tmp_path), layout="files")) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        assert as_read(read_reviews(spark, str(tmp_path), layout="blocks")) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("layout", ["files", "blocks"])
+def test_long_fields(spark, tmp_path, layout):
+    """Also in ragged records, whose fields are counted."""
+    text = 'word, ""x"" ' * 60_000
+    (tmp_path / "a.csv").write_text(f'a,b,c,d\n1,,"{text}",1,extra\n2,,"{text}\n{text}",1\n')
+    got = read_reviews(spark, str(tmp_path), layout=layout)
+    assert sorted((row.app_id, len(row.text), row.n_fields) for row in got.collect()) == [
+        ("1", 600_000, 5), ("2", 1_200_001, 4)
+    ]
+
+
 def test_lines(spark, tmp_path):
     rows = [["1", "", 'a "b", c', "1", ""], ["2", "", "d", "-1", ""]]
     write_csv(tmp_path / "a.csv", rows)
