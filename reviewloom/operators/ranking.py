@@ -44,6 +44,8 @@ def percentile_cut(
     bounded blocks; the rows themselves are compared with the cut. ``stats`` is read
     several times: store it where it is costly to compute.
     """
+    if not 0 <= p <= 100:
+        raise ValueError("p must be between 0 and 100")
     if method not in ("nearest", "linear"):
         raise ValueError(f"unknown method: {method}")
     if ties not in ("cut", "keep"):

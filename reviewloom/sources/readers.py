@@ -62,7 +62,8 @@ def _read(spark, path, fields, least, width, layout):
         layout = "blocks" if _largest_file(spark, path) > LARGE_FILE else "files"
     if layout == "blocks":
         parsed = F.from_csv("record", _schema(width).simpleString(), CSV_OPTIONS)
-        raw = read_records(spark, path).select(parsed.alias("_parsed")).select("_parsed.*")
+        # A generator, so that a record is parsed once and not once per use of a field.
+        raw = read_records(spark, path).select(F.inline(F.array(parsed)))
     else:
         raw = _reader(spark.read, width, layout).csv(path)
     return _fields(raw, fields, width)

@@ -14,6 +14,8 @@ unquoted either way sets the chain right again, so damage stays local.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BLOCK = ["_file", "_block"]
 
 # Possessive, so that long fields need no stack.
@@ -24,46 +26,79 @@ CLOSING = f'^{QUOTED_TEXT}"'
 
 
 def read_records(spark, path):
-    """One row ``record`` per CSV record, without each file's header record."""
-    lines = _chained(_lines(spark, path), BLOCK, "_line")
-    states = lines.groupBy(*BLOCK).agg(
-        F.max(F.struct("_line", "_if_plain", "_if_quoted")).alias("_end")
-    )
-    blocks = _chained(states.select(*BLOCK, "_end.*"), ["_file"], "_block")
-    in_file = W.partitionBy("_file").orderBy("_block")
-    quoted = F.coalesce(F.lag("_if_plain").over(in_file), F.lit(False))
-    begins = blocks.select(*BLOCK, quoted.alias("_begins_quoted"))
+    """One row ``record`` per CSV record, without each file's header record.
 
-    in_block = W.partitionBy(*BLOCK).orderBy("_line")
+    The state at the begin of every block is found and stored first.
+    """
+    lines = _lines(spark, path)
+    blocks = stored(_blocks(lines), "csv-blocks")
+    ordered = W.partitionBy(*BLOCK).orderBy("_line")
     ends_quoted = F.when(F.col("_begins_quoted"), F.col("_if_quoted")).otherwise(F.col("_if_plain"))
     here = F.struct(F.col("_block").alias("block"), F.col("_line").alias("line"))
     marked = (
-        lines.join(begins, BLOCK)
+        _chained(lines, BLOCK, "_line")
+        .join(blocks, BLOCK)
         .withColumn("_ends", ~ends_quoted)
-        .withColumn("_starts", F.coalesce(F.lag("_ends").over(in_block), ~F.col("_begins_quoted")))
-        .withColumn("_header", (F.col("_block") == 0) & (F.row_number().over(in_block) == 1))
+        .withColumn("_starts", F.coalesce(F.lag("_ends").over(ordered), ~F.col("_begins_quoted")))
+        .withColumn("_header", (F.col("_block") == 0) & (F.row_number().over(ordered) == 1))
         .withColumn("_start", F.max(F.when(F.col("_starts"), here)).over(
-            in_block.rowsBetween(W.unboundedPreceding, 0)
+            ordered.rowsBetween(W.unboundedPreceding, 0)
         ))
     )
     is_whole = F.col("_starts") & F.col("_ends")
     whole = marked.filter(is_whole).select("_header", F.col("value").alias("record"))
-    records = whole.unionByName(_joined(marked.filter(~is_whole), _open_records(marked)))
+    records = whole.unionByName(_joined(marked.filter(~is_whole)))
     return records.filter(~F.col("_header") & (F.col("record") != "")).select("record")
 
 
+def _blocks(lines):
+    """Per block: does it begin quoted, and if so, in which record?
+
+    A file of 100 TB has less than a million blocks. What a block does for either
+    state at its begin is worked out per block; only the choice needs their order.
+    """
+    chained = _chained(lines.drop("value"), BLOCK, "_line")
+    ordered = W.partitionBy(*BLOCK).orderBy("_line")
+    quoted_before = {
+        "_if_plain": F.coalesce(F.lag("_if_plain").over(ordered), F.lit(False)),
+        "_if_quoted": F.coalesce(F.lag("_if_quoted").over(ordered), F.lit(True)),
+    }
+    for state, before in quoted_before.items():
+        chained = chained.withColumn(f"_last{state}", F.when(~before, F.col("_line")))
+    blocks = chained.groupBy(*BLOCK).agg(
+        F.max(F.struct("_line", *quoted_before)).alias("_end"),
+        *[F.max(f"_last{state}").alias(f"_last{state}") for state in quoted_before],
+    ).select(*BLOCK, "_end.*", *[f"_last{state}" for state in quoted_before])
+
+    in_file = W.partitionBy("_file").orderBy("_block")
+    begins = F.coalesce(F.lag("_if_plain").over(in_file), F.lit(False))
+    blocks = _chained(blocks, ["_file"], "_block").withColumn("_begins_quoted", begins)
+    last = F.when(F.col("_begins_quoted"), F.col("_last_if_quoted")).otherwise(
+        F.col("_last_if_plain")
+    )
+    start = F.when(last.isNotNull(), F.struct(F.col("_block").alias("block"), last.alias("line")))
+    earlier = in_file.rowsBetween(W.unboundedPreceding, -1)
+    return blocks.select(*BLOCK, "_begins_quoted", F.max(start).over(earlier).alias("_open"))
+
+
 def _lines(spark, path):
     """Lines with their place and state pair. One task reads a block, in order."""
-    value = F.regexp_replace("value", r"\r\z", "")
-    rest = F.regexp_replace(value, CLOSING, "")
-    return spark.read.text(path, lineSep="\n").select(
+    line = F.col("value")
+    value = F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
+    text = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
         value.alias("value"),
-        _opens(value).alias("_if_plain"),
-        F.when(value.rlike(CLOSING), _opens(rest)).otherwise(True).alias("_if_quoted"),
     )
+    # Most lines have no quote; they keep the state.
+    has_quote = F.col("value").contains('"')
+    rest = F.regexp_replace("value", CLOSING, "")
+    closes = F.col("value").rlike(CLOSING)
+    return text.withColumns({
+        "_if_plain": has_quote & _opens(F.col("value")),
+        "_if_quoted": ~has_quote | F.when(closes, _opens(rest)).otherwise(True),
+    })
 
 
 def _opens(text):
@@ -90,21 +125,10 @@ def _chained(rows, group, order):
     }).drop("_turns", "_fixed")
 
 
-def _open_records(marked):
-    """Per block, the record that is open where the block begins.
-
-    One row per block: a file of 100 TB has less than a million.
-    """
-    blocks = marked.groupBy(*BLOCK).agg(F.max("_start").alias("_last"))
-    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    return blocks.select(*BLOCK, F.max("_last").over(earlier).alias("_open"))
-
-
-def _joined(parts, open_records):
+def _joined(parts):
     """Put the parts of each broken record together, in file order."""
-    owned = parts.join(open_records, BLOCK).withColumn("_record", F.coalesce("_start", "_open"))
     pieces = F.array_sort(F.collect_list(F.struct("_block", "_line", "value")))
-    return owned.groupBy("_file", "_record").agg(
+    return parts.groupBy("_file", F.coalesce("_start", "_open").alias("_record")).agg(
         F.bool_or("_header").alias("_header"),
         F.array_join(F.transform(pieces, lambda piece: piece["value"]), "\n").alias("record"),
     ).select("_header", "record")

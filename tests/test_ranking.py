@@ -113,6 +113,8 @@ def test_percentile_options_are_checked(spark):
         op.percentile_cut(frame, 90, method="other")
     with pytest.raises(ValueError):
         op.percentile_cut(frame, 90, ties="other")
+    with pytest.raises(ValueError):
+        op.percentile_cut(frame, 101)
 
 
 @pytest.mark.parametrize("p", [0, 7, 14, 28, 50, 55, 90, 100])
