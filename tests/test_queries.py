@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from reviewloom import workload
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -14,13 +15,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert workload.queries().keys() == workload.oracle_sql().keys()
+    assert workload.queries().items() <= entry.queries().items()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(workload.queries()))
 def test_query(spark, con, name):
-    schema, rows = oracle.actual(entry.queries()[name](spark, SF_DIR))
-    want_schema, want = oracle.expected(con, entry.oracle_sql()[name])
+    schema, rows = oracle.actual(workload.queries()[name](spark, SF_DIR))
+    want_schema, want = oracle.expected(con, workload.oracle_sql()[name])
     assert dict(sorted(schema.items())) == dict(sorted(want_schema.items()))
     assert rows == want
     assert rows
