@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import attribution, languages, mixing, packing
+from . import attribution, languages, mixing, neighbours, packing, retrieval
 
 QUERIES = {}
 SQL = {}
@@ -43,6 +43,23 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_near_vectors(spark, sf_dir):
+    """Links and components of all vectors of equal label with a cosine of 0.98 or more."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    return neighbours.near_vectors(vectors).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op8_top_products(spark, sf_dir):
+    """The 5 highest inner products of every 50th vector with all others, in whole units of 1/256."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    whole = retrieval.integer_vectors(vectors)
+    return retrieval.top_k(whole, whole.where(F.col("id") % 50 == 0))
+
+
 @query
 def op10_source_mix(spark, sf_dir):
     """Words that a mix of all sources takes of every document."""
@@ -90,3 +107,40 @@ SELECT doc_id, size, source, source_size, target,
        CAST(whole * size + greatest(0, least(size, budget - whole * source_size - before)) AS BIGINT) AS taken
 FROM epochs
 """
+
+SQL["op5_near_vectors"] = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+    SELECT vec_id, vec_id AS seen FROM embeddings
+    UNION
+    SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+), least AS (
+    SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+SQL["op8_top_products"] = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
