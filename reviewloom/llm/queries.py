@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import attribution, languages, mixing, neighbours, packing, retrieval
+from . import attribution, languages, mixing, neighbours, packing, retrieval, sketches
 
 QUERIES = {}
 SQL = {}
@@ -51,6 +51,12 @@ def op5_near_vectors(spark, sf_dir):
     return neighbours.near_vectors(vectors).withColumnRenamed("id", "vec_id")
 
 
+@query
+def op7_near_documents(spark, sf_dir):
+    """Near-duplicate groups of all documents, by shingles of 3 words and a similarity of 0.85."""
+    return sketches.near_documents(table(spark, sf_dir, "documents"), n_words=3, similarity=(85, 100))
+
+
 @query
 def op8_top_products(spark, sf_dir):
     """The 5 highest inner products of every 50th vector with all others, in whole units of 1/256."""
@@ -144,3 +150,30 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
        vec_id, score
 FROM scored QUALIFY rank <= 5
 """
+
+SQL["op7_near_documents"] = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+           WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s
+    FROM worded
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS seen FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+), least AS (
+    SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
