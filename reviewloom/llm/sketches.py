@@ -214,7 +214,8 @@ def near_documents(documents, n_words=SHINGLE_WORDS, similarity=SIMILARITY, chun
     groups = stored(components(candidate_links(representatives)).withColumnRenamed("component_id", "grp"), "groups")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("chunks"))
     members = groups.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    fetched = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(members, "id")
+    # by the same kind of join at every size: the members grow with the documents
+    fetched = documents.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(members.hint("merge"), "id")
     dealt = (
         fetched.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("first", F.least("chunk", "other")).withColumn("second", F.greatest("chunk", "other"))
