@@ -100,28 +100,28 @@ def mixed_documents(documents, text="text", **options):
 
     Keeps the columns of ``documents``; ``n_chars``, if there, is counted anew for a
     row that is cut. The words of a cut row are joined by one space; at most one row
-    of a source is cut. Ids must be unique here: rows that repeat an id are taken as one.
+    of a source is cut. Rows that repeat an id are taken alike, each as often as the
+    first of them by source and size; rows with a null id or no words are left out.
     """
-    taken = take_words(documents.select("doc_id", "source", word_count(F.col(text)).alias("size"))
-                       .dropDuplicates(["doc_id"]), **options)
+    sizes = documents.select("doc_id", "source", word_count(F.col(text)).alias("size"))
+    first = sizes.groupBy("doc_id").agg(F.min(F.struct("source", "size")).alias("first"))
+    taken = take_words(first.select("doc_id", "first.source", "first.size"), **options)
     plan = taken.where("taken > 0").select(
         F.col("doc_id").alias("of"),
         F.floor(F.col("taken") / F.col("size")).alias("copies"),
         (F.col("taken") % F.col("size")).alias("part"))
-    joined = documents.join(plan, documents["doc_id"] == plan["of"])
+    names = documents.columns
+    rows = documents.select(F.struct(*names).alias("row"))
+    joined = rows.join(plan, F.col("row.doc_id") == F.col("of"))
     pieces = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("copies").cast("int")),
                       F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    copies = joined.withColumn("_part", F.explode(pieces))
-    first_words = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-                                       F.lit(1), F.greatest(F.lit(1), F.col("_part")).cast("int")), " ")
-    cut = F.when(F.col("_part") > 0, first_words).otherwise(F.col(text))
-    columns = []
-    for name in documents.columns:
-        if name == text:
-            columns.append(cut.alias(name))
-        elif name == "n_chars":
-            columns.append(F.when(F.col("_part") > 0, F.length(first_words)).otherwise(F.col(name)).cast(
-                documents.schema[name].dataType).alias(name))
-        else:
-            columns.append(F.col(name))
-    return copies.select(columns)
+    copies = joined.select("row", F.explode(pieces).alias("words"))
+    whole = F.col("row")[text]
+    first_words = F.array_join(F.slice(F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
+                                       F.lit(1), F.greatest(F.lit(1), F.col("words")).cast("int")), " ")
+    is_cut = F.col("words") > 0
+    changed = {text: F.when(is_cut, first_words).otherwise(whole)}
+    if "n_chars" in names:
+        kind = documents.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(is_cut, F.length(first_words).cast(kind)).otherwise(F.col("row.n_chars"))
+    return copies.select([changed.get(name, F.col("row")[name]).alias(name) for name in names])

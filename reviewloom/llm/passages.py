@@ -3,19 +3,20 @@
 1. Seeds: of every window of word k-mers the ones with the least hash. Equal passages
    have equal seeds, about one word in nine is one.
 2. A seed found in several documents meets its first occurrence (smallest id and place),
-   and the occurrence in the nearest document before it, so the pairs grow with the
-   occurrences, not with their square.
+   so the pairs grow with the occurrences, not with their square. A passage whose seeds
+   point to several documents is found again from any one of them by step 4.
 3. The matches of a pair of documents are chained: a chain moves forward in both, a gap
    costs in proportion to its length on both sides, and the best predecessor comes from
-   a Fenwick tree of prefix maxima over the other document's places.
+   a Fenwick tree of prefix maxima over the other document's places. Chains are parted
+   at gaps of more than ``MOST_GAP`` words.
 4. Chains are aligned: between anchors words are compared along the diagonal, gaps of
    unequal length by edit distance, and both ends are extended while words agree. For
    that, each document is read once more and gives the ranges of words asked of it, as
    hashes; a range that many chains ask for is given once.
 
 A passage is reported for the later document if it has ``MIN_WORDS`` words or more there
-and ``IDENTITY`` of them agree. Runs that a passage shares with several earlier documents
-are reported for each partner that the seeds point to.
+and ``IDENTITY`` of them agree. A passage that several earlier documents have is reported
+for each of them that the seeds point to.
 
 Null and empty texts have no passages; null ids take no part. Rows that repeat an id are
 one document: of rows with different texts the greatest text counts. Repeats within one
@@ -23,9 +24,7 @@ document are not reported. An empty table gives an empty result.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -133,8 +132,8 @@ class PrefixMaxima:
 def chained(at, other, k=KMER, gap_cost=GAP_COST, most_gap=MOST_GAP):
     """Chains of matches, as lists of match numbers, best first; every match is in one chain at most.
 
-    ``at`` ascends. A chain's score is its matched words less the cost of its gaps; a
-    gap of more than ``most_gap`` words on either side begins a new chain.
+    ``at`` ascends. A chain's score is its matched words less the cost of its gaps; it is
+    parted at gaps of more than ``most_gap`` words on either side.
     """
     n = len(at)
     ranks = {place: i for i, place in enumerate(sorted(set(other)))}
@@ -147,7 +146,7 @@ def chained(at, other, k=KMER, gap_cost=GAP_COST, most_gap=MOST_GAP):
         while j < n and at[j] == at[i]:  # matches of one place do not follow each other
             value, previous = tree.up_to(ranks[other[j]])
             score[j] = k
-            if previous >= 0 and at[j] - at[previous] <= most_gap and other[j] - other[previous] <= most_gap:
+            if previous >= 0:
                 added = min(k, at[j] - at[previous], other[j] - other[previous])
                 gained = value - gap_cost * (at[j] + other[j]) + offset + added
                 if gained > k:
@@ -163,8 +162,14 @@ def chained(at, other, k=KMER, gap_cost=GAP_COST, most_gap=MOST_GAP):
             used[m] = True
             chain.append(m)
             m = before[m]
-        if chain:
-            out.append(chain[::-1])
+        part = []
+        for m in reversed(chain):
+            if part and max(at[m] - at[part[-1]], other[m] - other[part[-1]]) > most_gap:
+                out.append(part)
+                part = []
+            part.append(m)
+        if part:
+            out.append(part)
     return out
 
 
@@ -322,41 +327,37 @@ def without_passages(documents, passages):
     if there, is counted anew.
     """
     spans = passages.groupBy("doc_id", "start").agg(F.max("n_words").alias("n_words"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))
-    joined = documents.join(spans.withColumnRenamed("doc_id", "_of"), F.col("doc_id") == F.col("_of"), "left").drop(
-        "_of")
+    spans = spans.groupBy(F.col("doc_id").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
+    names = documents.columns
+    rows = documents.select(F.struct(*names).alias("row"))
+    joined = rows.join(spans, F.col("row.doc_id") == F.col("of"), "left").select("row", "spans")
 
     def cut(batches):
         for batch in batches:
-            frame_spans = batch.column("_spans").to_pylist()
-            column = batch.column("text")
-            out = column.to_pylist()
-            touched = [i for i, s in enumerate(frame_spans) if s and out[i] is not None]
+            columns = {name: batch.column("row").field(i) for i, name in enumerate(names)}
+            lists, out = batch.column("spans").to_pylist(), columns["text"].to_pylist()
+            touched = [i for i, found in enumerate(lists) if found and out[i] is not None]
             keep = np.ones(batch.num_rows, bool)
             for i in touched:
                 raw = out[i].encode()
                 data = np.frombuffer(raw, np.uint8)
                 begins, ends, _ = texts.words(data, np.array([0, len(data)]))
                 parts, place = [], 0
-                for start, length in sorted((s["start"], s["n_words"]) for s in frame_spans[i]):
-                    last = min(start + length, len(begins))
-                    if last > start and ends[last - 1] > place:
-                        parts.append(raw[place:max(place, begins[start])])
+                for span in lists[i]:
+                    first, last = span["start"], min(span["start"] + span["n_words"], len(begins))
+                    if last > first and ends[last - 1] > place:
+                        parts.append(raw[place:max(place, int(begins[first]))])
                         place = int(ends[last - 1])
                 parts.append(raw[place:])
                 out[i] = b"".join(parts).decode()
                 keep[i] = bool(out[i].strip(" \t\n\v\f\r"))
-            columns = {}
-            for name in documents.columns:
-                columns[name] = batch.column(name)
-            columns["text"] = pa.array(out, pa.string())
+            columns["text"] = pa.array(out, columns["text"].type)
             if "n_chars" in columns:
-                kind = columns["n_chars"].type
                 counts = columns["n_chars"].to_pylist()
                 for i in touched:
                     counts[i] = len(out[i])
-                columns["n_chars"] = pa.array(counts, kind)
-            table = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-            yield table.filter(pa.array(keep))
+                columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep))
 
     return joined.mapInArrow(cut, documents.schema)

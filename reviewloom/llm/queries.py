@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import attribution, languages, mixing, neighbours, packing, retrieval, sketches
+from . import attribution, languages, mixing, neighbours, packing, passages, retrieval, sketches
 
 QUERIES = {}
 SQL = {}
@@ -66,6 +66,12 @@ def op8_top_products(spark, sf_dir):
     return retrieval.top_k(whole, whole.where(F.col("id") % 50 == 0))
 
 
+@query
+def op9_repeated_passages(spark, sf_dir):
+    """Passages of 50 words or more that an earlier document has as well."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_source_mix(spark, sf_dir):
     """Words that a mix of all sources takes of every document."""
