@@ -6,7 +6,7 @@ shared folder and read again by the next one.
 
 from pyspark.sql import functions as F
 
-from reviewloom.llm import languages, mixing, packing
+from reviewloom.llm import languages, mixing, packing, passages, sketches
 from reviewloom.session import stored
 
 
@@ -16,6 +16,18 @@ def language_id(spark, docs, sf_dir):
     return labelled.where(F.col("lang_pred") != languages.UNKNOWN).select(docs.columns)
 
 
+def near_duplicates(spark, docs, sf_dir):
+    """Keep one document of each group of near-duplicates, and documents without an id."""
+    gone = sketches.near_documents(docs).where(~F.col("kept")).select(F.col("doc_id").alias("of")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.col("row.doc_id") == F.col("of"), "left_anti").select("row.*")
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Remove passages that an earlier document has as well."""
+    return passages.without_passages(docs, stored(passages.repeated_passages(docs), "passages"))
+
+
 def source_mix(spark, docs, sf_dir):
     """Each source as often as its target weight asks for."""
     return mixing.mixed_documents(docs)
@@ -28,6 +40,8 @@ def best_fit_packing(spark, docs, sf_dir):
 
 STAGES = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
     ("source_mix", source_mix),
     ("best_fit_packing", best_fit_packing),
 ]
