@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import attribution, languages, mixing, neighbours, packing, passages, retrieval, sketches
+from . import attribution, languages, mixing, neighbours, packing, pages, passages, retrieval, sketches, suffixes
 
 QUERIES = {}
 SQL = {}
@@ -17,6 +17,12 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_main_text(spark, sf_dir):
+    """The main text of every page."""
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def held_out(doc_id):
     """The third of the documents that no language model learns from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -51,6 +57,12 @@ def op5_near_vectors(spark, sf_dir):
     return neighbours.near_vectors(vectors).withColumnRenamed("id", "vec_id")
 
 
+@query
+def op6_repeated_bytes(spark, sf_dir):
+    """What every document keeps without the strings of 400 bytes that also start elsewhere."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op7_near_documents(spark, sf_dir):
     """Near-duplicate groups of all documents, by shingles of 3 words and a similarity of 0.85."""
