@@ -15,8 +15,10 @@ of which each induces the next:
 3. Suffixes. The suffixes of a block are tuples of the bytes before and after the common
    part. They are sorted by what follows, and the order of the suffixes one byte earlier
    is induced from it by a stable sort on the byte before; common-prefix values of
-   neighbours are carried along, and a suffix repeats if one reaches ``length``. Names
-   with very many blocks are counted by whole suffixes, which needs no group in one task.
+   neighbours are carried along, and a suffix repeats if one reaches ``length``. Equal
+   tuples are one tuple with a multiplicity, so copies are no work. Names with more than
+   ``LARGE_NAME`` different tuples are counted by whole suffixes, which needs no group in
+   one task.
 
 The sorts and joins are Spark's, which spill to disk, so a shard may be far larger than
 memory; what a task holds is a batch of tuples.
@@ -37,7 +39,7 @@ from . import texts
 LENGTH = 400
 KMER = 100
 BLOCK = 32
-LARGE_NAME = 2000
+LARGE_NAME = 20_000
 
 SAMPLES = "text_key bigint, at bigint, name bigint, whole bigint"
 BLOCKS = "name bigint, text_key bigint, at bigint, before binary, after binary, n_before int, n_after int"
@@ -168,7 +170,7 @@ def _padded(column, from_end):
     return rows
 
 
-def induced_repeats(group, before, after, n_before, n_after):
+def induced_repeats(group, before, after, n_before, n_after, copies):
     """Which suffixes of the blocks of some groups repeat in their group, as a bit for each step back.
 
     Suffix t of a block starts t bytes before the common part and must reach
@@ -192,6 +194,7 @@ def induced_repeats(group, before, after, n_before, n_after):
         valid = (n_before[order] >= t) & (n_after[order] >= need)
         # suffixes that end beyond their text are out; neighbours are those that remain
         there, own = order[valid], label[valid]
+        bits[there[copies[there] > 1]] |= 1 << t
         if len(there) < 2:
             continue
         prefix = (after[there[1:], :need] == after[there[:-1], :need]).all(1) & (own[1:] == own[:-1])
@@ -203,7 +206,7 @@ def induced_repeats(group, before, after, n_before, n_after):
 
 
 def _induced(blocks):
-    """(text_key, at, bits) of blocks sorted by name; a batch ends where a name does."""
+    """(block, bits) of distinct blocks sorted by name; a batch ends where a name does."""
     def induce(batches):
         held = None
 
@@ -213,8 +216,9 @@ def _induced(blocks):
             columns = {c: table.column(c).to_pylist() for c in ("before", "after")}
             bits = induced_repeats(
                 group, _padded(columns["before"], True), _padded(columns["after"], False),
-                *(table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("n_before", "n_after")))
-            out = pa.table({"text_key": table.column("text_key"), "at": table.column("at"), "bits": pa.array(bits)})
+                *(table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+                  for c in ("n_before", "n_after", "copies")))
+            out = pa.table({"block": table.column("block"), "bits": pa.array(bits)})
             return out.filter(pa.array(bits != 0)).to_batches()
 
         for batch in batches:
@@ -230,7 +234,7 @@ def _induced(blocks):
         if held is not None and len(held):
             yield from settle(held)
 
-    return blocks.mapInArrow(induce, "text_key bigint, at bigint, bits bigint")
+    return blocks.mapInArrow(induce, "block bigint, bits bigint")
 
 
 def _counted(blocks):
@@ -238,11 +242,11 @@ def _counted(blocks):
     need = F.lit(BLOCK - 1) - F.col("t")
     row = blocks.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).where(
         (F.col("n_before") >= F.col("t")) & (F.col("n_after") >= need))
-    row = row.select("text_key", "at", "t", F.xxhash64(
+    row = row.select("block", "copies", "t", F.xxhash64(
         "name", "t", F.substring("before", F.col("n_before") - F.col("t") + 1, F.col("t")),
         F.substring("after", F.lit(1), need)).alias("suffix"))
-    repeated = row.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
-    return row.join(repeated, "suffix").groupBy("text_key", "at").agg(
+    repeated = row.groupBy("suffix").agg(F.sum("copies").alias("n")).where("n > 1").select("suffix")
+    return row.join(repeated, "suffix").groupBy("block").agg(
         F.sum(F.expr("shiftleft(1L, t)")).alias("bits"))
 
 
@@ -264,14 +268,20 @@ def repeated_windows(whole_texts, length=LENGTH, k=KMER):
     judged = stored(judged, "judged-samples")
     per_text = judged.where("open").groupBy("text_key").agg(F.collect_list("at").alias("chosen"))
     chosen = whole_texts.join(per_text.hint("merge"), "text_key").select("text_key", "text", "chosen")
-    blocks = stored(_blocks(chosen, length, k), "blocks")
-    sizes = blocks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    several = blocks.join(sizes.hint("merge"), "name")
-    small = several.where(F.col("n") <= LARGE_NAME).drop("n").repartition("name").sortWithinPartitions("name")
-    large = several.where(F.col("n") > LARGE_NAME).drop("n")
+    blocks = stored(_blocks(chosen, length, k).withColumn("block", F.xxhash64("name", "before", "after")), "blocks")
+    several = blocks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    distinct = stored(
+        blocks.join(several.hint("merge"), "name").groupBy("name", "block").agg(
+            *(F.first(c).alias(c) for c in ("before", "after", "n_before", "n_after")),
+            F.count("*").alias("copies")), "distinct-blocks")
+    sized = distinct.join(distinct.groupBy("name").agg(F.count("*").alias("n")).hint("merge"), "name")
+    small = sized.where(F.col("n") <= LARGE_NAME).repartition("name").sortWithinPartitions("name")
+    large = sized.where(F.col("n") > LARGE_NAME)
+    repeated = stored(_induced(small).unionByName(_counted(large)), "repeated-blocks")
+    repeated = blocks.select("block", "text_key", "at").join(repeated.hint("merge"), "block").drop("block")
     settled = judged.where("settled").select(
         "text_key", (F.col("at") - (length - k)).alias("at"), F.lit(None).cast("bigint").alias("bits"))
-    return _induced(small).unionByName(_counted(large)).unionByName(settled)
+    return repeated.unionByName(settled)
 
 
 def _spans(rows, length, k):
