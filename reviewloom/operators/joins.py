@@ -76,7 +76,7 @@ def prefilter(df, ids, by=(), most=1_000_000, mark="_listings"):
     """
     keys = [*by, "app_id"]
     listed = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias(mark))
-    if listed.limit(most + 1).count() > most:
+    if listed.count() > most:
         return df.withColumn(mark, F.lit(1).cast("bigint"))
     return df.join(F.broadcast(listed), keys).select(*df.columns, mark)
 

@@ -58,7 +58,7 @@ def classify(
     known = profiles.select(
         F.xxhash64("gram").alias("_known_hash"), F.col("gram").alias("_known_gram"), *languages
     )
-    if profiles.limit(most + 1).count() <= most:
+    if profiles.count() <= most:
         weighed = _weigh(grams, F.broadcast(known)).withColumn("_times", F.lit(1))
     else:
         counted = grams.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_times"))

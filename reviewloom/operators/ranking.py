@@ -7,21 +7,29 @@ from .positions import running_total
 
 # A count of reviews stays below 2**40, about 10**12.
 STAT_BITS = 40
+# Spark itself cuts ranks per task, before the shuffle, only below this many.
+CUT_PER_TASK = 1000
+LANES = 64
 
 
 def top_n(stats, n, by=(), stat="stat", key="app_id"):
     """The n rows with the largest stat; ties go to the smaller key.
 
     Without ``by`` this is a partial top-n per task and one merge of n rows each.
-    With ``by`` the ranks are cut per task before the shuffle as well.
+    With ``by`` the ranks are cut per task before the shuffle as well. For large n, where
+    Spark does not do that, they are cut within lanes of a group first, and then among
+    what the lanes keep, so that a large group is sorted by many tasks whatever n is.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     order = [F.desc(stat), F.asc(key)]
     if not by:
         return stats.orderBy(*order).limit(n)
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return stats.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    cut = stats.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(LANES)))
+    for group in ([*by, "_lane"], [*by])[n < CUT_PER_TASK:]:
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        cut = cut.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return cut.drop("_lane")
 
 
 def ascending(stats, stat="stat", key="app_id"):

@@ -28,9 +28,11 @@ CLOSING = f'^{QUOTED_TEXT}"'
 def read_records(spark, path):
     """One row ``record`` per CSV record, without each file's header record.
 
-    The state at the begin of every block is found and stored first.
+    The lines are stored once, with their block and place, so that both passes see the
+    same blocks however the file would be cut the next time. A line break that is a bare
+    carriage return is an error: read such files with one task per file.
     """
-    lines = _lines(spark, path)
+    lines = stored(_lines(spark, path), "csv-lines")
     blocks = stored(_blocks(lines), "csv-blocks")
     ordered = W.partitionBy(*BLOCK).orderBy("_line")
     ends_quoted = F.when(F.col("_begins_quoted"), F.col("_if_quoted")).otherwise(F.col("_if_plain"))
@@ -85,6 +87,9 @@ def _lines(spark, path):
     """Lines with their place and state pair. One task reads a block, in order."""
     line = F.col("value")
     value = F.when(line.endswith("\r"), line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)
+    bare = F.raise_error(F.concat(F.lit("bare carriage return in "), F.col("_metadata.file_path"), F.lit(
+        ": read it with layout='files'")))
+    value = F.when(value.contains("\r"), bare).otherwise(value)
     text = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),

@@ -1,6 +1,7 @@
 from .epochs import compact_log, latest, log_view, run_epochs, start_log
 from .handlers import handle_batches, stateful_handlers
 from .keyed import (
+    compact_top,
     keyed_counts,
     run_percentile,
     run_top,
@@ -12,6 +13,7 @@ from .ledger import (
     completeness,
     first_delivery,
     missing_batches,
+    missing_ranges,
     once,
     senders_complete,
 )
@@ -29,6 +31,7 @@ from .tenants import drop_done, live_rows, purged_ids, rewrite_without
 __all__ = [
     "accept_new_batches",
     "compact_log",
+    "compact_top",
     "completeness",
     "drop_done",
     "first_delivery",
@@ -39,6 +42,7 @@ __all__ = [
     "live_rows",
     "log_view",
     "missing_batches",
+    "missing_ranges",
     "once",
     "progress",
     "purged_ids",

@@ -26,16 +26,18 @@ def log_view(spark, path, schema, before=None, only=None):
 
 
 def run_epochs(
-    stream, handle, path, checkpoint, mode="append", available_now=True, after=None
+    stream, handle, path, checkpoint, mode="append", available_now=True, after=None, first_epoch=0
 ):
     """Run ``handle(rows, epoch) -> DataFrame`` per micro-batch into an epoch log.
 
     ``after(spark, epoch)`` is called when the epoch's folder is written, within
     the same micro-batch. With ``available_now`` the call processes what is there
     and returns; a later call with the same checkpoint continues. Otherwise the
-    running query is returned.
+    running query is returned. A query with a new checkpoint that goes on with a log
+    counts its epochs from ``first_epoch``, which must lie above those of the log.
     """
-    def write(rows, epoch):
+    def write(rows, number):
+        epoch = first_epoch + number
         handle(rows, epoch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
         if after is not None:
             after(rows.sparkSession, epoch)

@@ -51,7 +51,7 @@ def run_top(stats, n, path, checkpoint, schema=COUNTS, growing=True, **options):
     values = [name for name in columns if name not in KEYS]
 
     def handle(rows, epoch):
-        old = log_view(rows.sparkSession, path, schema, only=epoch - 1)
+        old = _newest(log_view(rows.sparkSession, path, schema, before=epoch))
         both = old.unionByName(
             rows.select(*columns).withColumn("epoch", F.lit(epoch).cast("bigint"))
         )
@@ -64,9 +64,20 @@ def run_top(stats, n, path, checkpoint, schema=COUNTS, growing=True, **options):
 
 def top_view(spark, path, schema=COUNTS):
     """The rows of the newest epoch of a log that holds a whole answer per epoch."""
-    rows = log_view(spark, path, schema)
-    newest = rows.agg(F.max("epoch").alias("epoch")).scalar()
-    return rows.filter(F.col("epoch") == newest).drop("epoch")
+    return _newest(log_view(spark, path, schema)).drop("epoch")
+
+
+def compact_top(spark, path, to, schema=COUNTS):
+    """Start a new log with only the newest answer of a log of whole answers.
+
+    Stop the query, compact its log to a new folder, and go on with that folder and the
+    same checkpoint. (``compact_log`` is for logs of changed keys.)
+    """
+    top_view(spark, path, schema).write.parquet(f"{to}/epoch=-1")
+
+
+def _newest(rows):
+    return rows.filter(F.col("epoch") == rows.agg(F.max("epoch").alias("epoch")).scalar())
 
 
 def run_percentile(counts, p, path, checkpoint, complete=None, **options):

@@ -5,6 +5,7 @@ number of their batch (``batch_id``, from 0 per tenant and input). The last batc
 has ``eof`` set on its rows.
 """
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +40,8 @@ def first_delivery(rows, arrival, keys=BATCH_KEYS):
 def once(rows, row_no="row_no", keys=BATCH_KEYS):
     """Each row of a batch once, where copies of a batch cannot be told apart.
 
-    Batches that come more than once are looked for by number, so that the rows of
-    all others need no shuffle.
+    Batches that come more than once are looked for by batch and row number; only their
+    rows are shuffled whole.
     """
     numbered = rows.groupBy(*keys, row_no).agg(F.count(F.lit(1)).alias("_copies"))
     repeated = numbered.filter(F.col("_copies") > 1).select(*keys).distinct()
@@ -50,26 +51,34 @@ def once(rows, row_no="row_no", keys=BATCH_KEYS):
 
 
 def accept_new_batches(stream, path, ledger, checkpoint, row_no="row_no", **options):
-    """Append each batch of a stream once, and keep a ledger of batch numbers.
+    """Append each row of each batch of a stream once, and keep a ledger of batch numbers.
 
-    A batch must arrive whole within one micro-batch. Numbers that an earlier
-    epoch accepted are dropped by an anti-join with the ledger, repeats inside the
-    micro-batch by ``once``. The ledger has one row per batch, not per row, and is
-    read only within the number range of the micro-batch.
+    A batch may arrive in parts over several micro-batches. Rows of batches that no
+    earlier epoch knows, which the ledger with its one row per batch tells, only lose
+    the repeats inside the micro-batch, by ``once``. For known batches the rows that were
+    accepted before are dropped by row number; the log is read for those only within the
+    number range of the micro-batch. The micro-batch is kept while it is worked on.
     """
     schema = stream.schema
     start_log(stream.sparkSession, path, schema)
     start_log(stream.sparkSession, ledger, LEDGER)
 
+    kept = {}
+
     def handle(rows, epoch):
+        kept[epoch] = rows = rows.persist()
         seen = log_view(rows.sparkSession, ledger, LEDGER, before=epoch)
+        accepted = log_view(rows.sparkSession, path, schema, before=epoch)
         span = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
         if span[0] is not None:
-            seen = seen.filter(F.col("batch_id").between(*span))
-        seen = seen.select(*BATCH_KEYS).distinct()
-        return once(rows.join(seen, BATCH_KEYS, "left_anti"), row_no)
+            seen, accepted = (x.filter(F.col("batch_id").between(*span)) for x in (seen, accepted))
+        new = rows.join(seen.select(*BATCH_KEYS).distinct(), BATCH_KEYS, "left_anti")
+        known = rows.join(seen.select(*BATCH_KEYS).distinct(), BATCH_KEYS, "left_semi")
+        late = known.join(accepted.select(*BATCH_KEYS, row_no), [*BATCH_KEYS, row_no], "left_anti")
+        return once(new, row_no).unionByName(late.dropDuplicates([*BATCH_KEYS, row_no]))
 
     def note(spark, epoch):
+        kept.pop(epoch).unpersist()
         accepted = log_view(spark, path, schema, only=epoch)
         numbers = accepted.groupBy(*BATCH_KEYS).agg(F.bool_or("eof").alias("eof"))
         numbers.write.mode("overwrite").parquet(f"{ledger}/epoch={epoch}")
@@ -89,30 +98,29 @@ def completeness(rows, by=("client_id", "input")):
     return state.withColumn("complete", complete)
 
 
-def missing_batches(rows, by=("client_id", "input")):
-    """The numbers below the largest one that no row carries.
+def missing_ranges(rows, by=("client_id", "input")):
+    """Ranges (first_missing, last_missing) of numbers below the largest one that no row carries.
 
-    Numbers are grouped in blocks. Only blocks that are not full are enumerated,
-    so the work grows with the gaps and not with the longest stream.
+    Numbers meet their neighbours in blocks, and blocks theirs, so a long stream is no
+    single window, and a range costs the same whatever its length.
     """
     by = list(by)
-    numbers = rows.select(*by, "batch_id").distinct()
-    block = F.floor(F.col("batch_id") / BLOCK).cast("bigint")
-    full = numbers.groupBy(*by, block.alias("_block")).agg(F.count(F.lit(1)).alias("_present"))
-    ends = numbers.groupBy(*by).agg(F.max("batch_id").alias("_last"))
-    last_block = F.floor(F.col("_last") / BLOCK).cast("bigint")
-    blocks = ends.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
-    expected = F.least(F.lit(BLOCK), F.col("_last") + 1 - F.col("_block") * BLOCK)
-    open_blocks = (
-        blocks.join(full, [*by, "_block"], "left")
-        .withColumn("_expected", expected)
-        .filter(F.coalesce("_present", F.lit(0)) < F.col("_expected"))
-    )
-    start = F.col("_block") * BLOCK
-    candidates = open_blocks.select(
-        *by, F.explode(F.sequence(start, start + F.col("_expected") - 1)).alias("batch_id")
-    )
-    return candidates.join(numbers, [*by, "batch_id"], "left_anti")
+    numbers = rows.select(*by, "batch_id").distinct().withColumn(
+        "_block", F.floor(F.col("batch_id") / BLOCK).cast("bigint"))
+    following = F.lead("batch_id").over(W.partitionBy(*by, "_block").orderBy("batch_id"))
+    inside = numbers.select(*by, F.col("batch_id").alias("_before"), following.alias("_after"))
+    blocks = numbers.groupBy(*by, "_block").agg(
+        F.min("batch_id").alias("_after"), F.max("batch_id").alias("_last"))
+    earlier = F.lag("_last").over(W.partitionBy(*by).orderBy("_block"))
+    between = blocks.select(*by, F.coalesce(earlier, F.lit(-1)).cast("bigint").alias("_before"), "_after")
+    return inside.unionByName(between).filter(F.col("_after") > F.col("_before") + 1).select(
+        *by, (F.col("_before") + 1).alias("first_missing"), (F.col("_after") - 1).alias("last_missing"))
+
+
+def missing_batches(rows, by=("client_id", "input")):
+    """The numbers of ``missing_ranges`` one by one; for gaps that are not too long to list."""
+    return missing_ranges(rows, by).select(
+        *by, F.explode(F.sequence("first_missing", "last_missing")).alias("batch_id"))
 
 
 def senders_complete(reports, senders, by=("client_id",), sender="sender"):

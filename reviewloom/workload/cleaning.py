@@ -25,7 +25,7 @@ from ..sources import (
 )
 from .questions import IS_ENGLISH_SQL, top_reviewed
 from .registry import query
-from .tables import TEXT_REVIEWS_SQL, load, text_reviews
+from .tables import ALL_REVIEWS_SQL, TEXT_REVIEWS_SQL, all_text_reviews, load, text_reviews
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
@@ -199,14 +199,14 @@ def csv_games(spark, sf_dir):
 
 
 @query("csv_reviews", f"""
-WITH {TEXT_REVIEWS_SQL}
+WITH {ALL_REVIEWS_SQL}
 SELECT doc_id AS app_id, md5(text) AS digest, length(text) AS n_chars,
        CAST(score AS TINYINT) AS score
-FROM reviews""")
+FROM all_reviews""")
 def csv_reviews(spark, sf_dir):
-    """Labelled documents as a review file, whole texts, read back."""
+    """All documents as a review file, whole texts, read back."""
     path = shared_dir(spark, "reviews-csv")
-    raw = text_reviews(spark, sf_dir).select("doc_id", "lang", "text", "score")
+    raw = all_text_reviews(spark, sf_dir).select("doc_id", "lang", "text", "score")
     write_copy(raw, path)
     clean, _ = clean_reviews(read_reviews(spark, path))
     return clean.select(
@@ -218,16 +218,22 @@ def csv_reviews(spark, sf_dir):
 
 
 @query("csv_review_blocks", f"""
-WITH {TEXT_REVIEWS_SQL}
+WITH {ALL_REVIEWS_SQL}
 SELECT doc_id AS app_id, md5(text) AS digest, length(text) AS n_chars,
        CAST(score AS TINYINT) AS score
-FROM reviews""")
+FROM all_reviews""")
 def csv_review_blocks(spark, sf_dir):
-    """The same file, cut into blocks whose records are put together."""
+    """The same file, cut into several blocks whose records are put together."""
     path = shared_dir(spark, "reviews-csv")
-    raw = text_reviews(spark, sf_dir).select("doc_id", "lang", "text", "score")
+    raw = all_text_reviews(spark, sf_dir).select("doc_id", "lang", "text", "score")
     write_copy(raw, path)
-    clean, _ = clean_reviews(read_reviews(spark, path, layout="blocks"))
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")  # the lines are cut and stored right here
+    try:
+        read = read_reviews(spark, path, layout="blocks")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    clean, _ = clean_reviews(read)
     return clean.select(
         "app_id",
         F.md5("text").alias("digest"),

@@ -117,6 +117,21 @@ def stream_dedup(spark, sf_dir):
     return accepted.drop("epoch", "eof")
 
 
+@query("stream_dedup_split", f"""
+WITH {EVENT_ROWS_SQL} SELECT client_id, input, batch_id, row_no, value FROM event_rows""")
+def stream_dedup_split(spark, sf_dir):
+    """Every batch comes in two parts, in runs of their own, and then whole again."""
+    columns = ["client_id", "input", "batch_id", "row_no", "eof", "value"]
+    folder = shared_dir(spark, "dedup-split")
+    for turn, part in enumerate(("row_no % 2 = 0", "row_no % 3 = 0", "true")):
+        stream = streamed_event_rows(spark, sf_dir).select(*columns).filter(part)
+        st.accept_new_batches(
+            stream, f"{folder}/accepted", f"{folder}/ledger", f"{folder}/checkpoint-{turn}",
+            first_epoch=turn * 1000)
+    accepted = st.log_view(spark, f"{folder}/accepted", stream.schema)
+    return accepted.drop("epoch", "eof")
+
+
 @query("stream_first_result", FIRST_RESULT_SQL)
 def stream_first_result(spark, sf_dir):
     folder = shared_dir(spark, "first")

@@ -170,6 +170,20 @@ reviews AS (
   FROM documents JOIN labels USING (doc_id))"""
 
 
+ALL_REVIEWS_SQL = """
+all_reviews AS (
+  SELECT doc_id, text, lang, CASE quality WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END AS score
+  FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+def all_text_reviews(spark, sf_dir):
+    """Every document; those without a label score 0."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    score = F.when(F.col("quality") == 1, 1).when(F.col("quality") == 0, -1).otherwise(0)
+    return texts(spark, sf_dir).join(labels, "doc_id", "left").select(
+        "doc_id", "lang", "text", score.cast("tinyint").alias("score"))
+
+
 def text_reviews(spark, sf_dir):
     labels = load(spark, sf_dir, "labels").select("doc_id", "quality")
     return texts(spark, sf_dir).join(labels, "doc_id").select(

@@ -146,3 +146,14 @@ def test_percentile_by_brute_force(spark, p):
 def test_ascending(spark):
     frame = stats_frame(spark, [(2, 5), (1, 5), (3, 1)])
     assert [row.app_id for row in op.ascending(frame).collect()] == [3, 1, 2]
+
+
+def test_grouped_top_n_of_many_rows(spark):
+    """Large n: ranks are cut in lanes first, and ties still go to the smaller key."""
+    frame = spark.range(20_000).selectExpr("id % 2 as client_id", "id as app_id", "id % 10 as stat")
+    got = {(r["client_id"], r["app_id"]) for r in op.top_n(frame, 5000, by=("client_id",)).collect()}
+    want = set()
+    for client in (0, 1):
+        rows = sorted(((-(i % 10), i) for i in range(20_000) if i % 2 == client))[:5000]
+        want |= {(client, i) for _, i in rows}
+    assert got == want

@@ -209,3 +209,26 @@ def test_buckets(spark, tmp_path):
     ]
     rows = spark.read.parquet(str(tmp_path / "b")).collect()
     assert {row.app_id: row.bucket for row in rows} == {i: i % 3 + 1 for i in range(7)}
+
+
+def test_blocks_do_not_depend_on_later_splits(spark, tmp_path):
+    """A read that is planned under one split size gives every row under another one."""
+    rows = [[str(i), "n", f"text\n{i}" if i % 7 == 0 else f"text {i}", "1", "0"] for i in range(3000)]
+    write_csv(tmp_path / "a.csv", rows)
+    usual = {key: spark.conf.get(key) for key in (
+        "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 5000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        frame = read_reviews(spark, str(tmp_path), layout="blocks")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1777)
+        assert as_read(frame) == sorted(map(fields, rows), key=str)
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(key, value)
+
+
+def test_blocks_refuse_bare_carriage_returns(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"app_id,n,t,s\r1,n,a,1\r2,n,b,1\r")
+    with pytest.raises(Exception, match="bare carriage return"):
+        read_reviews(spark, str(tmp_path), layout="blocks").collect()

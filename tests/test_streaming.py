@@ -141,6 +141,23 @@ def test_going_on_with_a_compacted_log(feed):
     assert counted(feed, "compact") == FINAL
 
 
+def test_going_on_with_a_compacted_answer(feed, spark):
+    """A log of whole answers is compacted to its newest answer, and goes on."""
+    schema = "client_id bigint, app_id bigint, name string, stat bigint, turn int"
+
+    def turn(number, rows, log):
+        frame = spark.createDataFrame([(*row, number) for row in rows], schema)
+        frame.write.mode("append").parquet(feed.path("stats"))
+        stream = spark.readStream.schema(schema).parquet(feed.path("stats")).drop("turn")
+        st.run_top(stream, 2, feed.path(log), feed.path("ck-top"), growing=False)
+        return sorted((r["app_id"], r["stat"]) for r in st.top_view(spark, feed.path(log)).collect())
+
+    assert turn(0, [(1, 1, "a", 5), (1, 2, "b", 4), (1, 3, "c", 3)], "top") == [(1, 5), (2, 4)]
+    assert turn(1, [(1, 4, "d", 6)], "top") == [(1, 5), (4, 6)]
+    st.compact_top(spark, feed.path("top"), feed.path("short"))
+    assert turn(2, [(1, 5, "e", 7), (1, 6, "f", 1)], "short") == [(4, 6), (5, 7)]
+
+
 def test_a_failed_epoch_is_written_again(feed):
     """The output of a failed attempt is replaced, not added to."""
     for rows in SCRIPT:
@@ -447,3 +464,10 @@ def test_questions_over_streams_equal_the_batch(spark, tmp_path):
              plans.over_threshold(*both, n=0, in_language=english, seq="seq", by=by))
         same(st.stream_percentile_question(games, reviews, folder("q5"), p=60),
              plans.percentile_question(*both, p=60, seq="seq", by=by))
+
+
+def test_long_gaps_are_ranges(spark):
+    rows = spark.createDataFrame([(1, "a", n) for n in (0, 1, 4, 4096, 10 ** 13)] + [(2, "a", 2)],
+                                 "client_id bigint, input string, batch_id bigint")
+    got = sorted(tuple(r) for r in st.missing_ranges(rows).collect())
+    assert got == [(1, "a", 2, 3), (1, "a", 5, 4095), (1, "a", 4097, 10 ** 13 - 1), (2, "a", 0, 1)]
