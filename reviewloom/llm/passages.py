@@ -1,7 +1,8 @@
 """Repeated passages of documents, exact or slightly changed, by chains of shared k-mers.
 
 1. Seeds: of every window of word k-mers the ones with the least hash. Equal passages
-   have equal seeds, about one word in nine is one.
+   have equal seeds, about one word in nine is one. Two neighbouring seeds of a document
+   together are a seed as well, which stays telling where single k-mers are common.
 2. A seed found in several documents meets its first occurrence (smallest id and place),
    so the pairs grow with the occurrences, not with their square. A passage whose seeds
    point to several documents is found again from any one of them by step 4.
@@ -79,7 +80,10 @@ def seeds_of(hashes, owners, k=KMER, window=SEED_WINDOW):
 
 
 def seeds(documents, k=KMER, window=SEED_WINDOW, min_words=MIN_WORDS):
-    """(seed, doc_id, at) of every document of at least ``min_words`` words; at counts words."""
+    """(seed, doc_id, at) of every document of at least ``min_words`` words; at counts words.
+
+    Seeds are single k-mers and pairs of neighbours; a pair's place is that of its first k-mer.
+    """
     def find(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -89,10 +93,13 @@ def seeds(documents, k=KMER, window=SEED_WINDOW, min_words=MIN_WORDS):
                 values, at = seeds_of(texts.word_hashes(data, begins, ends), owners, k, window)
                 owner = owners[at]
                 keep = (last - first)[owner] >= min_words
-                owner, at = owner[keep], at[keep]
+                owner, values, places = owner[keep], values[keep], (at - first[owner])[keep]
+                pairs, where = texts.runs_of(values, owner, 2)
+                values, places, owner = (np.concatenate(x) for x in (
+                    (values, pairs), (places, places[where]), (owner, owner[where])))
                 yield pa.RecordBatch.from_pydict({
-                    "seed": pa.array(values[keep].view(np.int64)), "doc_id": pa.array(ids[start + owner], pa.int64()),
-                    "at": pa.array((at - first[owner]).astype(np.int32))})
+                    "seed": pa.array(values.view(np.int64)), "doc_id": pa.array(ids[start + owner], pa.int64()),
+                    "at": pa.array(places.astype(np.int32))})
 
     return documents.select("doc_id", "text").mapInArrow(find, "seed bigint, doc_id bigint, at int")
 
@@ -199,6 +206,8 @@ def chains(matched, k=KMER):
                     if at:
                         flush()
                     key, at, other = (a, b), [], []
+                elif (x, y) == (at[-1], other[-1]):  # by a k-mer and by a pair
+                    continue
                 at.append(x)
                 other.append(y)
             yield batch_of()
