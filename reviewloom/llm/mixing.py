@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every row gets a hash-random key. Rows are ranged by that key within their source,
-the word counts of the ranges are summed, and sums over the ranges before a row
-give each row its place in its source without any range being more than a bounded
-part of a source. A source is taken as many whole times as its target holds, and
+the word counts of the ranges, and of spans of ranges, are summed, and sums over the
+spans, ranges and rows before a row give each row its place in its source. No window
+holds more than some thousand rows, for a source of up to 10^10 rows. A source is taken as many whole times as its target holds, and
 once more up to the exact budget.
 
 Nulls: a null text or size counts as 0 words, a null source is a source of its own
@@ -19,6 +19,7 @@ from ..session import stored
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 ROWS_PER_RANGE = 2_000
+RANGES_PER_SPAN = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,7 +63,8 @@ def source_targets(sizes, weights=WEIGHTS, most=MOST_REPEATS):
     )
 
 
-def take_words(documents, weights=WEIGHTS, most=MOST_REPEATS, seed="", rows_per_range=ROWS_PER_RANGE):
+def take_words(documents, weights=WEIGHTS, most=MOST_REPEATS, seed="", rows_per_range=ROWS_PER_RANGE,
+               ranges_per_span=RANGES_PER_SPAN):
     """The words that the mix takes of every row of (doc_id, source, size).
 
     Returns doc_id, size, source, source_size, target, taken. A source's taken words
@@ -78,10 +80,18 @@ def take_words(documents, weights=WEIGHTS, most=MOST_REPEATS, seed="", rows_per_
         .select("doc_id", "s.source", "size", "key", "source_size", "target",
                 F.floor(place * ranges).alias("range"))
     )
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("of"), F.col("range").alias("in"),
-                         F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("range_start"))
+    sums = stored(ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges").withColumn(
+        "span", F.floor(F.col("range") / ranges_per_span))
+    before = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sums.groupBy("source", "span").agg(F.sum("range_size").alias("span_size")).select(
+        F.col("source").alias("of"), F.col("span").alias("in_span"),
+        F.coalesce(F.sum("span_size").over(before), F.lit(0)).alias("span_start"))
+    earlier = Window.partitionBy("source", "span").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        sums.withColumn("in_front", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
+        .join(spans, F.col("source").eqNullSafe(F.col("of")) & (F.col("span") == F.col("in_span")))
+        .select("of", F.col("range").alias("in"), (F.col("span_start") + F.col("in_front")).alias("range_start"))
+    )
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, -1)
     budget = F.floor("target")
