@@ -110,6 +110,19 @@ def test_near_documents(spark, chunk_sets):
     assert len(set(root.values())) > 50 and len(links) > 500
 
 
+def test_near_documents_of_few_words(spark):
+    """The smallest sets that differ and still are alike: one word more at either end, or in a set of six."""
+    rows, want = [], {}
+    for n in (8, 9, 10, 12):
+        for i in range(0, 200, 2):
+            text = [f"s{n}x{i}y{j}" for j in range(n)]
+            a = 1000 * n + i
+            rows += [(a, " ".join(text)), (a + 1, " ".join(text + ["more"]))]
+            want |= {a: a, a + 1: a}
+    got = sketches.near_documents(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want
+
+
 def test_near_documents_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "One  two"), (8, "É x y z"),
             (9, "é x y z"), (None, "one"), (4, "one"), (10, "word " * 100_000), (11, "word " * 99_999), (12, "two one")]
@@ -156,6 +169,17 @@ def test_planted_passages_are_found_and_others_are_not(spark):
             assert len(covered[i] - set(range(b, e))) <= 6
 
 
+def test_passage_of_which_every_short_part_occurs_before(spark):
+    r = random.Random(8)
+    words = lambda n: [f"v{r.randint(0, 10 ** 6)}" for _ in range(n)]
+    passage = words(90)
+    rows = [(i, " ".join(words(60) + passage[6 * i:6 * i + 12] + words(60))) for i in range(15)]
+    rows += [(i, " ".join(words(70) + passage + words(70))) for i in (20, 21, 22)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    assert {(x["doc_id"], x["from_doc_id"]) for x in found} == {(21, 20), (22, 20)}
+    assert all(x["n_words"] >= 86 for x in found)
+
+
 def test_removal_of_passages(spark):
     schema = "doc_id bigint, text string, n_chars bigint, spans string"
     rows = [(1, "a b\n c  d e", 11, "x"), (2, "a b", 3, None), (3, None, None, None), (None, "z", 1, None),

@@ -46,8 +46,9 @@ def test_targets_and_budgets(spark, seed):
 def test_ranges_do_not_change_the_mix(spark):
     rows = [(i, "ab"[i % 7 == 0], i % 11) for i in range(300)]
     frame = spark.createDataFrame(rows, SIZES)
-    a, b = (sorted(map(tuple, mixing.take_words(frame, rows_per_range=n).collect())) for n in (10, 10 ** 6))
-    assert a == b
+    a, b, c = (sorted(map(tuple, mixing.take_words(frame, rows_per_range=n, ranges_per_span=m).collect()))
+               for n, m in ((10, 2000), (10, 3), (10 ** 6, 2000)))
+    assert a == b == c
 
 
 def test_word_count(spark):
