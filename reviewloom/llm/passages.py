@@ -260,34 +260,80 @@ def _edit_matches(x, y):
     return row[-1]
 
 
-def _extension(x, y, drop=DROP):
-    """Words to add at an end, and how many of them agree: as far as agreement outweighs difference."""
-    n = min(len(x), len(y))
-    if not n:
-        return 0, 0
-    equal = x[:n] == y[:n]
-    score = np.cumsum(np.where(equal, 1, -1))
-    fallen = np.flatnonzero(np.maximum(np.maximum.accumulate(score), 0) - score >= drop)
-    stop = int(fallen[0]) + 1 if len(fallen) else n
-    best = int(np.argmax(score[:stop]))
-    if score[best] <= 0:
-        return 0, 0
-    return best + 1, int(equal[:best + 1].sum())
-
-
-def aligned(at, other, x, y, x_low, y_low, k=KMER):
-    """(start, length, other start, other length, equal words) of a chain's passage."""
+def _extensions(equal, there, drop=DROP):
+    """Words to add at an end of each chain, and how many of them agree.
+
+    As far as agreement outweighs difference: ``equal`` says for every chain whether the
+    words at each step from its end agree, ``there`` whether both texts have that step.
+    """
+    score = np.cumsum(np.where(equal, 1, -1), axis=1)
+    score = np.where(there, score, -len(score[0]) - 1)
+    fallen = np.maximum(np.maximum.accumulate(score, axis=1), 0) - score >= drop
+    stopped = np.cumsum(fallen, axis=1) - fallen > 0
+    score = np.where(stopped, -len(score[0]) - 1, score)
+    best = np.argmax(score, axis=1)
+    row = np.arange(len(best))
+    extends = score[row, best] > 0
+    agree = np.cumsum(equal, axis=1)[row, best]
+    return np.where(extends, best + 1, 0), np.where(extends, agree, 0)
+
+
+def _between(at, other, x, y, k):
+    """Words that agree from the first anchor of a chain to the end of its last one; x and y begin at the first."""
+    if all(p - s == at[0] - other[0] for p, s in zip(at, other)):
+        return k + int((x[k:] == y[k:]).sum())
     equal = k
     for p, q, s, t in zip(at, at[1:], other, other[1:]):
-        a, b = x[p + k - x_low:q + k - x_low], y[s + k - y_low:t + k - y_low]
+        a, b = x[p + k - at[0]:q + k - at[0]], y[s + k - other[0]:t + k - other[0]]
         if len(a) == len(b):
             equal += int((a == b).sum())
         else:
             equal += min(_edit_matches(a.tolist(), b.tolist()), len(a), len(b))
-    before, agree = _extension(x[:at[0] - x_low][::-1], y[:other[0] - y_low][::-1])
-    after, agree_after = _extension(x[at[-1] + k - x_low:], y[other[-1] + k - y_low:])
-    return (at[0] - before, at[-1] + k + after - at[0] + before,
-            other[0] - before, other[-1] + k + after - other[0] + before, equal + agree + agree_after)
+    return equal
+
+
+def _bounds(column):
+    offsets = np.frombuffer(column.buffers()[1], np.int32)
+    return offsets[column.offset:column.offset + len(column) + 1].astype(np.int64)
+
+
+def aligned(batch, k=KMER, min_words=MIN_WORDS, identity=IDENTITY, margin=MARGIN):
+    """The passages of a batch of chains: columns as in ``PASSAGES`` but for the ids, and their row numbers.
+
+    A row has the anchors' places ``at`` and ``from_at``, and the words around them, of which
+    the first is at ``low`` and ``from_low``.
+    """
+    sides = []
+    for places, low, words in (("at", "low", "words"), ("from_at", "from_low", "from_words")):
+        anchors, column = batch.column(places), batch.column(words)
+        edges, bounds = _bounds(anchors), _bounds(column) // 4
+        values = anchors.values.to_numpy()
+        data = column.buffers()[2]
+        data = np.frombuffer(data, np.uint32, bounds[-1]) if data else np.zeros(0, np.uint32)
+        first, last = values[edges[:-1]].astype(np.int64), values[edges[1:] - 1].astype(np.int64)
+        begin = bounds[:-1] + first - np.maximum(0, batch.column(low).to_numpy())
+        sides.append((values, edges, data, bounds, first, last, begin, begin + last - first + k))
+    (at, edges, x, x_bounds, first, last, x_begin, x_end) = sides[0]
+    (other, other_edges, y, y_bounds, other_first, other_last, y_begin, y_end) = sides[1]
+    step = np.arange(margin)
+
+    def compare(x_places, y_places, room):
+        there = step < room[:, None]
+        words = [d[np.clip(places, 0, len(d) - 1)] for d, places in ((x, x_places), (y, y_places))]
+        return _extensions((words[0] == words[1]) & there, there)
+
+    before, agree = compare((x_begin - 1)[:, None] - step, (y_begin - 1)[:, None] - step,
+                            np.minimum(x_begin - x_bounds[:-1], y_begin - y_bounds[:-1]))
+    after, agree_after = compare(x_end[:, None] + step, y_end[:, None] + step,
+                                 np.minimum(x_bounds[1:] - x_end, y_bounds[1:] - y_end))
+    length, other_length = x_end - x_begin + before + after, y_end - y_begin + before + after
+    equal = k + agree + agree_after
+    rows = np.flatnonzero(length >= min_words)
+    for i in rows[edges[1:][rows] - edges[:-1][rows] > 1].tolist():
+        equal[i] += _between(at[edges[i]:edges[i + 1]].tolist(), other[other_edges[i]:other_edges[i + 1]].tolist(),
+                             x[x_begin[i]:x_end[i]], y[y_begin[i]:y_end[i]], k) - k
+    rows = rows[equal[rows] >= identity * np.maximum(length, other_length)[rows]]
+    return rows, [c[rows] for c in (first - before, length, other_first - before, other_length, equal)]
 
 
 def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER, window=SEED_WINDOW):
@@ -315,15 +361,12 @@ def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER,
     def align(batches):
         names = PASSAGES.replace(" bigint", "").split(", ")
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                x, y = (np.frombuffer(r[c], np.uint32) for c in ("words", "from_words"))
-                start, length, other, other_length, equal = aligned(
-                    r["at"], r["from_at"], x, y, max(0, r["low"]), max(0, r["from_low"]), k)
-                if length >= min_words and equal >= identity * max(length, other_length):
-                    rows.append((r["doc_id"], start, length, r["from_doc_id"], other, other_length, equal))
-            yield pa.RecordBatch.from_pydict({
-                name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(names)})
+            if batch.num_rows:
+                rows, (start, n_words, from_start, from_n_words, n_equal) = aligned(batch, k, min_words, identity)
+                ids, from_ids = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "from_doc_id"))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *map(pa.array, (start, n_words)), from_ids, *map(pa.array, (from_start, from_n_words, n_equal))],
+                    names)
 
     return both.select("doc_id", "from_doc_id", "at", "from_at", "low", "from_low", "words", "from_words").mapInArrow(
         align, PASSAGES)
