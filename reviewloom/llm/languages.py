@@ -142,7 +142,7 @@ def word_counts(labelled, languages):
                                      pa.binary()),
                     "counts": pa.array(list(table), pa.list_(pa.float64()))})
 
-    counted = labelled.select("text", "lang").mapInArrow(count, "word binary, counts array<double>")
+    counted = labelled.select("text", "lang").mapInArrow(texts.released(count), "word binary, counts array<double>")
     sums = [F.sum(F.col("counts")[i]) for i in range(len(languages))]
     return counted.groupBy("word").agg(F.array(*sums).alias("counts"))
 
@@ -172,7 +172,7 @@ def expected_uses(counts, pieces, probability):
             "piece": pa.array(used.astype(np.int32)),
             "uses": pa.array(list(uses[used]), pa.list_(pa.float64()))})
 
-    partial = counts.select("word", "counts").mapInArrow(use, "piece int, uses array<double>")
+    partial = counts.select("word", "counts").mapInArrow(texts.released(use), "piece int, uses array<double>")
     sums = [F.sum(F.col("uses")[i]) for i in range(probability.shape[1])]
     return partial.groupBy("piece").agg(F.array(*sums).alias("uses"))
 
@@ -275,4 +275,4 @@ def predict(documents, model):
                 arrays + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 [*batch.schema.names, "lang_pred", "score"])
 
-    return frame.mapInArrow(label, schema)
+    return frame.mapInArrow(texts.released(label), schema)

@@ -3,8 +3,8 @@
 Every row gets a hash-random key. Rows are ranged by that key within their source,
 the word counts of the ranges, and of spans of ranges, are summed, and sums over the
 spans, ranges and rows before a row give each row its place in its source. No window
-holds more than some thousand rows, for a source of up to 10^10 rows. A source is taken as many whole times as its target holds, and
-once more up to the exact budget.
+holds more than some thousand rows, for a source of up to 10^10 rows. A source is taken
+as many whole times as its target holds, and once more up to the exact budget.
 
 Nulls: a null text or size counts as 0 words, a null source is a source of its own
 that sorts last, a null id takes the hash of the empty text. Rows that repeat an id

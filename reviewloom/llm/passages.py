@@ -101,7 +101,7 @@ def seeds(documents, k=KMER, window=SEED_WINDOW, min_words=MIN_WORDS):
                     "seed": pa.array(values.view(np.int64)), "doc_id": pa.array(ids[start + owner], pa.int64()),
                     "at": pa.array(places.astype(np.int32))})
 
-    return documents.select("doc_id", "text").mapInArrow(find, "seed bigint, doc_id bigint, at int")
+    return documents.select("doc_id", "text").mapInArrow(texts.released(find), "seed bigint, doc_id bigint, at int")
 
 
 def matches(found):
@@ -218,7 +218,8 @@ def chains(matched, k=KMER):
     return (
         matched.select("doc_id", "from_doc_id", "at", "from_at")
         .repartition("doc_id", "from_doc_id").sortWithinPartitions("doc_id", "from_doc_id", "at", "from_at")
-        .mapInArrow(chain, "doc_id bigint, from_doc_id bigint, number int, at array<int>, from_at array<int>")
+        .mapInArrow(texts.released(chain),
+                    "doc_id bigint, from_doc_id bigint, number int, at array<int>, from_at array<int>")
     )
 
 
@@ -247,7 +248,7 @@ def _ranges(documents, asked):
                      pa.array(words, pa.binary())], ["doc_id", "low", "high", "words"])
 
     return one_text.join(per_document, "doc_id").select("doc_id", "text", "asked").mapInArrow(
-        cut, "doc_id bigint, low int, high int, words binary")
+        texts.released(cut), "doc_id bigint, low int, high int, words binary")
 
 
 def _edit_matches(x, y):
@@ -365,11 +366,11 @@ def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER,
                 rows, (start, n_words, from_start, from_n_words, n_equal) = aligned(batch, k, min_words, identity)
                 ids, from_ids = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "from_doc_id"))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *map(pa.array, (start, n_words)), from_ids, *map(pa.array, (from_start, from_n_words, n_equal))],
-                    names)
+                    [ids, pa.array(start), pa.array(n_words), from_ids, pa.array(from_start), pa.array(from_n_words),
+                     pa.array(n_equal)], names)
 
     return both.select("doc_id", "from_doc_id", "at", "from_at", "low", "from_low", "words", "from_words").mapInArrow(
-        align, PASSAGES)
+        texts.released(align), PASSAGES)
 
 
 def without_passages(documents, passages):
@@ -412,4 +413,4 @@ def without_passages(documents, passages):
                 columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(keep))
 
-    return joined.mapInArrow(cut, documents.schema)
+    return joined.mapInArrow(texts.released(cut), documents.schema)

@@ -92,7 +92,7 @@ def sketched(documents, n_words=SHINGLE_WORDS, retained=RETAINED, listed=LISTED)
                      pa.array(sketches, pa.binary()), pa.array(entries, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "digest_a", "digest_b", "sketch", "entries"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, SKETCHES)
+    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(texts.released(sketch), SKETCHES)
 
 
 def estimate(a, b, retained=RETAINED):
@@ -111,7 +111,7 @@ def _estimated(pairs, retained):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(alike, pa.float64())], ["a", "b", "alike"])
 
-    return pairs.mapInArrow(compare, "a bigint, b bigint, alike double")
+    return pairs.mapInArrow(texts.released(compare), "a bigint, b bigint, alike double")
 
 
 def _met(entries):
@@ -200,7 +200,7 @@ def _verified(dealt, n_words, similarity):
                 "a": pa.array([ids[x] for x, _ in forest], pa.int64()),
                 "b": pa.array([ids[y] for _, y in forest], pa.int64())})
 
-    return dealt.mapInArrow(verify, "a bigint, b bigint")
+    return dealt.mapInArrow(texts.released(verify), "a bigint, b bigint")
 
 
 def near_documents(documents, n_words=SHINGLE_WORDS, similarity=SIMILARITY, chunk_sets=CHUNK_SETS):

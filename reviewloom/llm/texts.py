@@ -5,6 +5,9 @@ inside a task. Words are maximal runs of bytes that are not separators; a
 separator is never part of a multi-byte character, so words are whole characters.
 """
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,6 +27,21 @@ _POWERS = np.ones(1, np.uint64)
 _INVERSE = np.ones(1, np.uint64)
 
 
+def released(step):
+    """A step over batches that gives back freed memory at its end, as its worker process lives on."""
+    @functools.wraps(step)
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def mix(values):
     """Scramble 64-bit values so that every bit depends on all of them."""
     values = values.astype(np.uint64, copy=True)
