@@ -3,6 +3,8 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 BLOCK_BITS = 20
 TOP_BITS = 24
 
@@ -17,6 +19,8 @@ def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
     rows, and the one over the outermost blocks 2**24 pairs of numbers, whatever
     the size or the distribution of the table. Where keys are known to stay below
     2**key_bits, a smaller ``key_bits`` saves levels; the totals do not depend on it.
+    The totals of the first level are stored, so ``df`` is computed twice however many
+    levels there are.
     """
     by = list(by)
     rows = df.withColumns({
@@ -28,6 +32,8 @@ def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
         blocks = levels[-1].groupBy(*by, F.col("_total_block").alias("_total_inner")).agg(
             F.sum("_total_sum").alias("_total_sum")
         )
+        if len(levels) == 1:
+            blocks = stored(blocks, "blocks")
         levels.append(blocks.withColumn("_total_block", F.shiftright("_total_inner", BLOCK_BITS)))
 
     before = _before(levels.pop(), by, F.lit(0))
