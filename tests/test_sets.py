@@ -1,8 +1,10 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from reviewloom import operators as op
+from reviewloom.session import discard, stored
 
 SCHEMA = "place bigint, a string, b int"
 
@@ -59,3 +61,10 @@ def test_reduced(spark):
     assert sorted(r.app_id for r in op.reduced_reviews(games, reviews, 2).collect()) == [
         3, 3, 3, 3, 5, 5, 5, 5
     ]
+
+
+def test_discarded_tables_are_gone(spark):
+    kept, used = (stored(spark.range(10), label) for label in ("kept", "used"))
+    discard(used)
+    assert not os.path.exists(used.stored_at) and os.path.exists(kept.stored_at)
+    assert kept.count() == 10
