@@ -8,13 +8,13 @@ from .positions import running_total
 
 
 def reduced_games(games, n, key="app_id"):
-    """The first n catalogue rows in key order."""
+    """The first n catalogue rows in key order; with the readers' ``place`` as key, in file order."""
     return games.orderBy(key).limit(n)
 
 
-def reduced_reviews(games, reviews, n, key="app_id"):
-    """All reviews of the first n catalogue rows."""
-    return only_listed(reviews, reduced_games(games, n, key), key)
+def reduced_reviews(games, reviews, n, key="app_id", order=None):
+    """All reviews of the first n catalogue rows, in key order or by ``order``."""
+    return only_listed(reviews, reduced_games(games, n, order or key), key)
 
 
 def chunk_head(df, key, chunk_rows, k, required):

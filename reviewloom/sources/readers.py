@@ -29,12 +29,19 @@ CSV_OPTIONS = {
 }
 
 
-def read_games(spark, path, width=None, layout="auto"):
-    return _read(spark, path, GAME_FIELDS, GAME_WIDTH, width, layout)
+def read_games(spark, path, width=None, layout="auto", original=False, place=False):
+    """See the module; ``original`` and ``place`` as in ``read_reviews``."""
+    return _read(spark, path, GAME_FIELDS, GAME_WIDTH, width, layout, original, place)
 
 
-def read_reviews(spark, path, width=None, layout="auto"):
-    return _read(spark, path, REVIEW_FIELDS, REVIEW_WIDTH, width, layout)
+def read_reviews(spark, path, width=None, layout="auto", original=False, place=False):
+    """Text fields, and on demand what a whole copy or a sample in file order needs.
+
+    ``original`` adds a struct of all fields of the record, named by the header;
+    ``write_copy(rows.select("original.*"), path)`` writes the whole records again.
+    ``place`` adds a sortable struct: rows in its order are in file order.
+    """
+    return _read(spark, path, REVIEW_FIELDS, REVIEW_WIDTH, width, layout, original, place)
 
 
 def stream_games(spark, path, width=GAME_WIDTH, layout="files", **options):
@@ -56,17 +63,28 @@ def spread(table, key):
     return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
 
 
-def _read(spark, path, fields, least, width, layout):
-    width = width or _header_width(spark, path, least)
+def _read(spark, path, fields, least, width, layout, original, place):
+    header = _header(spark, path) if original or not width else []
+    width = width or max(least, len(header))
     if layout == "auto":
         layout = "blocks" if _largest_file(spark, path) > LARGE_FILE else "files"
     if layout == "blocks":
         parsed = F.from_csv("record", _schema(width).simpleString(), CSV_OPTIONS)
         # A generator, so that a record is parsed once and not once per use of a field.
-        raw = read_records(spark, path).select(F.inline(F.array(parsed)))
+        raw = read_records(spark, path).select("place", F.inline(F.array(parsed)))
     else:
         raw = _reader(spark.read, width, layout).csv(path)
-    return _fields(raw, fields, width)
+        if place:
+            raw = raw.select("*", F.struct(
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("line"),
+            ).alias("place"))
+    more = [F.col("place")] if place else []
+    if original:
+        names = [*header, *[f"_f{i}" for i in range(len(header), width)]]
+        more.append(F.struct(*[F.col(f"_f{i}").alias(names[i]) for i in range(width)]).alias("original"))
+    return _fields(raw, fields, width, *more)
 
 
 def _stream(spark, path, fields, width, layout, options):
@@ -93,15 +111,15 @@ def _largest_file(spark, path):
     return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
 
 
-def _header_width(spark, path, least):
-    """Columns of the header line, so that only ragged records are kept raw."""
-    header = spark.read.options(header=True, quote='"', escape='"').csv(path)
-    return max(least, len(header.columns))
+def _header(spark, path):
+    """Names in the header line; their number tells which records are ragged."""
+    return spark.read.options(header=True, quote='"', escape='"').csv(path).columns
 
 
-def _fields(raw, fields, width):
+def _fields(raw, fields, width, *more):
     n_fields = F.when(F.col(RAW_RECORD).isNull(), F.lit(width)).otherwise(field_count(RAW_RECORD))
     return raw.select(
         *[F.col(f"_f{position}").alias(name) for name, position in fields.items()],
         n_fields.alias("n_fields"),
+        *more,
     )

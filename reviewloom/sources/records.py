@@ -26,7 +26,9 @@ CLOSING = f'^{QUOTED_TEXT}"'
 
 
 def read_records(spark, path):
-    """One row ``record`` per CSV record, without each file's header record.
+    """One row (place, record) per CSV record, without each file's header record.
+
+    Rows in the order of ``place`` are in file order.
 
     The lines are stored once, with their block and place, so that both passes see the
     same blocks however the file would be cut the next time. A line break that is a bare
@@ -48,9 +50,11 @@ def read_records(spark, path):
         ))
     )
     is_whole = F.col("_starts") & F.col("_ends")
-    whole = marked.filter(is_whole).select("_header", F.col("value").alias("record"))
+    whole = marked.filter(is_whole).select(
+        "_header", F.struct(F.col("_file").alias("file"), here.alias("at")).alias("place"),
+        F.col("value").alias("record"))
     records = whole.unionByName(_joined(marked.filter(~is_whole)))
-    return records.filter(~F.col("_header") & (F.col("record") != "")).select("record")
+    return records.filter(~F.col("_header") & (F.col("record") != "")).select("place", "record")
 
 
 def _blocks(lines):
@@ -136,4 +140,4 @@ def _joined(parts):
     return parts.groupBy("_file", F.coalesce("_start", "_open").alias("_record")).agg(
         F.bool_or("_header").alias("_header"),
         F.array_join(F.transform(pieces, lambda piece: piece["value"]), "\n").alias("record"),
-    ).select("_header", "record")
+    ).select("_header", F.struct(F.col("_file").alias("file"), F.col("_record").alias("at")).alias("place"), "record")

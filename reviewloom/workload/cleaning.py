@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import marker_language
-from ..operators import is_polarity, only_if
+from ..operators import is_polarity, only_if, reduced_games
 from ..schema import GAME_FIELDS
 from ..session import shared_dir
 from ..sources import (
@@ -259,6 +259,51 @@ def english_negative_copy(spark, sf_dir):
     return copy.select("doc_id", "lang", "score", F.md5("text").alias("digest"))
 
 
+def _text_back(spark, path):
+    """A copy as it was written, all columns as text."""
+    return spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+
+
+@query("raw_copy", f"""
+WITH {ALL_REVIEWS_SQL}
+SELECT CAST(doc_id AS VARCHAR) AS app_id, lang, CAST(score AS VARCHAR) AS review_score, source,
+       md5(text) AS digest
+FROM all_reviews JOIN documents USING (doc_id, lang, text)
+WHERE score = -1 AND {IS_ENGLISH_SQL}""")
+def raw_copy(spark, sf_dir):
+    """Whole records of a review file, columns no question reads included, copied from CSV to CSV."""
+    path, copy = shared_dir(spark, "reviews-csv"), shared_dir(spark, "english-negative")
+    more = load(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = all_text_reviews(spark, sf_dir).select("doc_id", "lang", "text", "score").join(more, "doc_id")
+    write_copy(rows.select(F.col("doc_id").alias("app_id"), "lang", F.col("text").alias("review_text"),
+                           F.col("score").alias("review_score"), "source"), path)
+    read = read_reviews(spark, path, original=True)
+    negative = is_polarity("negative", "minus_one")
+    chosen = read.filter(negative).filter(only_if(negative, marker_language("text") == "en"))
+    write_copy(chosen.select("original.*"), copy)
+    return _text_back(spark, copy).select(
+        "app_id", "lang", "review_score", "source", F.md5("review_text").alias("digest"))
+
+
+@query("reduced_files", """
+SELECT CAST(p_partkey AS VARCHAR) AS app_id, p_name || ', "' || p_brand || '"' || chr(10) || p_type AS name,
+       CAST(p_size AS VARCHAR) AS size, p_brand AS brand
+FROM part ORDER BY p_partkey DESC LIMIT 50""")
+def reduced_files(spark, sf_dir):
+    """The first 50 records of a catalogue in file order, whole, as a file; it is written by falling key."""
+    path, copy = shared_dir(spark, "games-csv"), shared_dir(spark, "games-reduced")
+    columns = [F.lit("x").alias(f"c{i}") for i in range(39)]
+    columns[0] = F.col("p_partkey").alias("app_id")
+    columns[1] = F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"\n'), "p_type").alias("name")
+    columns[3] = F.col("p_size").alias("size")
+    columns[38] = F.col("p_brand").alias("brand")
+    falling = load(spark, sf_dir, "part").repartitionByRange(4, F.desc("p_partkey"))
+    write_copy(falling.sortWithinPartitions(F.desc("p_partkey")).select(*columns), path)
+    first = reduced_games(read_games(spark, path, original=True, place=True), 50, "place")
+    write_copy(first.select("original.*"), copy)
+    return _text_back(spark, copy).select("app_id", "name", "size", "brand")
+
+
 @query("result_files", """
 WITH counts AS (
   SELECT p_partkey, p_name, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey

@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from reviewloom.operators import reduced_games
 from reviewloom.schema import GAME_FIELDS
 from reviewloom.sources import (
     as_result,
@@ -133,6 +134,21 @@ def test_long_fields(spark, tmp_path, layout):
     ]
 
 
+@pytest.mark.parametrize("layout", ["files", "blocks", "lines"])
+def test_whole_records_in_file_order(spark, tmp_path, layout):
+    """Every column is copied, and a sample takes the first records of the file."""
+    end = "\n" if layout == "lines" else '\n"q"'
+    rows = [[str(50 - i), f"n{i}", f"t, {i}" if layout == "lines" else f"t,{end}{i}", "1", f"v{i}"] for i in range(50)]
+    (tmp_path / "in").mkdir()
+    write_csv(tmp_path / "in" / "a.csv", rows)
+    read = read_reviews(spark, str(tmp_path / "in"), layout=layout, original=True, place=True)
+    first = reduced_games(read, 7, "place")
+    write_copy(first.select("original.*"), str(tmp_path / "out"))
+    back = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(str(tmp_path / "out"))
+    assert back.columns == HEADER
+    assert sorted(map(list, back.collect())) == sorted(rows[:7])
+
+
 def test_lines(spark, tmp_path):
     rows = [["1", "", 'a "b", c', "1", ""], ["2", "", "d", "-1", ""]]
     write_csv(tmp_path / "a.csv", rows)
