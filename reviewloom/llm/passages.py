@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from . import texts
 
 KMER = 6
@@ -350,6 +350,7 @@ def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER,
     linked = stored(
         linked.withColumns({"low": low, "high": high, "from_low": from_low, "from_high": from_high})
         .where(F.least(F.col("high") - F.col("low"), F.col("from_high") - F.col("from_low")) >= min_words), "chains")
+    discard(found)
     asked = linked.select("doc_id", "low", "high").unionByName(
         linked.select(F.col("from_doc_id").alias("doc_id"), F.col("from_low").alias("low"),
                       F.col("from_high").alias("high")))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from . import texts
 from .components import components, local_forest
 
@@ -132,7 +132,9 @@ def candidate_links(representatives, retained=RETAINED, loose=LOOSE):
     near = alike.where(F.col("alike") >= loose).select("a", "b")
     rest = met.join(alike.where(F.col("alike") < loose).select("a", "b"), ["a", "b"]).select(
         F.col("a").alias("id"), "entry")
-    return near.unionByName(_met(rest).select("a", "b"))
+    links = stored(near.unionByName(_met(rest).select("a", "b")), "candidate-links")
+    discard(met, alike)
+    return links
 
 
 def _shared_counts(left, right):
@@ -215,7 +217,12 @@ def near_documents(documents, n_words=SHINGLE_WORDS, similarity=SIMILARITY, chun
     representatives = stored(
         filled.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"),
                                     F.first("entries").alias("entries")), "representatives")
-    groups = stored(components(candidate_links(representatives)).withColumnRenamed("component_id", "grp"), "groups")
+    links = candidate_links(representatives)
+    groups = stored(components(links).withColumnRenamed("component_id", "grp"), "groups")
+    # sketches and list entries have done their work
+    sketches, table = table, stored(table.select("doc_id", *digest), "digests")
+    wide, representatives = representatives, stored(representatives.select(*digest, "rep"), "representative-ids")
+    discard(sketches, wide, links)
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("chunks"))
     members = groups.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # by the same kind of join at every size: the members grow with the documents
