@@ -14,9 +14,11 @@
    unequal length by edit distance, and both ends are extended while words agree. For
    that, each document is read once more and gives the ranges of words asked of it, as
    hashes; a range that many chains ask for is given once.
+5. Of a chain that agrees too little as a whole, the longest stretches that agree enough
+   are taken, so that a block inserted or replaced between two passages hides neither.
 
 A passage is reported for the later document if it has ``MIN_WORDS`` words or more there
-and ``IDENTITY`` of them agree. A passage that several earlier documents have is reported
+and ``IDENTITY`` of them agree. Stretches of one chain may overlap. A passage that several earlier documents have is reported
 for each of them that the seeds point to.
 
 Null and empty texts have no passages; null ids take no part. Rows that repeat an id are
@@ -293,6 +295,69 @@ def _between(at, other, x, y, k):
     return equal
 
 
+def _agreeing(x, y):
+    """Places of a longest common subsequence of two short arrays, in both."""
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, a in enumerate(x, 1):
+        table[i, 1:] = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (y == a))
+        np.maximum.accumulate(table[i], out=table[i])
+    found, i, j = [], len(x), len(y)
+    while i and j:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return np.array(found[::-1], np.int64).reshape(-1, 2).T
+
+
+def _agreements(at, other, x, y, before, k):
+    """Places in x and y of the words that agree; x and y have ``before`` words in front of the first anchor."""
+    parts = []
+    bounds = [(before, before), *((p + k - at[0] + before, s + k - other[0] + before) for p, s in zip(at, other)),
+              (len(x), len(y))]
+    own = its = 0
+    for i, j in bounds:
+        a, b = x[own:i], y[its:j]
+        if len(a) == len(b):
+            same = np.flatnonzero(a == b)
+            parts.append((own + same, its + same))
+        else:
+            same = _agreeing(a, b)
+            parts.append((own + same[0], its + same[1]))
+        own, its = i, j
+    return (np.concatenate(side) for side in zip(*parts))
+
+
+def stretches(own, its, min_words, identity):
+    """(first, last) numbers of agreeing words of the stretches that hold every stretch agreeing enough.
+
+    ``own`` and ``its`` are the words' places. A longest stretch begins and ends with a run of
+    agreeing words, as more of the run would only make it agree more. Of the longest ones,
+    as few are given as hold all words of them.
+    """
+    edges = np.flatnonzero((np.diff(own) != 1) | (np.diff(its) != 1))
+    begins, ends = np.concatenate(([0], edges + 1)), np.concatenate((edges, [len(own) - 1]))
+    longest = []
+    for first in range(0, len(begins), 256):
+        begin = begins[first:first + 256, None]
+        length, other_length = own[ends] + 1 - own[begin], its[ends] + 1 - its[begin]
+        good = (length >= min_words) & (ends + 1 - begin >= identity * np.maximum(length, other_length))
+        for row in np.flatnonzero(good.any(axis=1)).tolist():
+            last = int(ends[np.flatnonzero(good[row])[-1]])
+            if not longest or last > longest[-1][1]:
+                longest.append((int(begin[row, 0]), last))
+    chosen = []
+    for i, (begin, last) in enumerate(longest):
+        # the one before and the one after leave nothing to it
+        if chosen and i + 1 < len(longest) and longest[i + 1][0] <= chosen[-1][1] + 1:
+            continue
+        chosen.append((begin, last))
+    return chosen
+
+
 def _bounds(column):
     offsets = np.frombuffer(column.buffers()[1], np.int32)
     return offsets[column.offset:column.offset + len(column) + 1].astype(np.int64)
@@ -301,6 +366,8 @@ def _bounds(column):
 def aligned(batch, k=KMER, min_words=MIN_WORDS, identity=IDENTITY, margin=MARGIN):
     """The passages of a batch of chains: columns as in ``PASSAGES`` but for the ids, and their row numbers.
 
+    A chain is one passage if it agrees enough, and otherwise its ``stretches`` are.
+
     A row has the anchors' places ``at`` and ``from_at``, and the words around them, of which
     the first is at ``low`` and ``from_low``.
     """
@@ -333,8 +400,20 @@ def aligned(batch, k=KMER, min_words=MIN_WORDS, identity=IDENTITY, margin=MARGIN
     for i in rows[edges[1:][rows] - edges[:-1][rows] > 1].tolist():
         equal[i] += _between(at[edges[i]:edges[i + 1]].tolist(), other[other_edges[i]:other_edges[i + 1]].tolist(),
                              x[x_begin[i]:x_end[i]], y[y_begin[i]:y_end[i]], k) - k
-    rows = rows[equal[rows] >= identity * np.maximum(length, other_length)[rows]]
-    return rows, [c[rows] for c in (first - before, length, other_first - before, other_length, equal)]
+    whole = equal[rows] >= identity * np.maximum(length, other_length)[rows]
+    parted, rows = rows[~whole & (equal[rows] >= identity * min_words)], rows[whole]
+    columns = [c[rows] for c in (first - before, length, other_first - before, other_length, equal)]
+    found = []
+    for i in parted.tolist():
+        lead = int(before[i])
+        own, its = _agreements(
+            at[edges[i]:edges[i + 1]].tolist(), other[other_edges[i]:other_edges[i + 1]].tolist(),
+            x[x_begin[i] - lead:x_end[i] + after[i]], y[y_begin[i] - lead:y_end[i] + after[i]], lead, k)
+        for b, e in stretches(own, its, min_words, identity):
+            found.append((i, first[i] - lead + own[b], own[e] + 1 - own[b], other_first[i] - lead + its[b],
+                          its[e] + 1 - its[b], e + 1 - b))
+    found = np.array(found, np.int64).reshape(-1, 6).T
+    return np.concatenate((rows, found[0])), [np.concatenate(c) for c in zip(columns, found[1:])]
 
 
 def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER, window=SEED_WINDOW):

@@ -180,6 +180,42 @@ def test_passage_of_which_every_short_part_occurs_before(spark):
     assert all(x["n_words"] >= 86 for x in found)
 
 
+@pytest.mark.parametrize("replaced", [False, True])
+def test_passages_around_an_inserted_block(spark, replaced):
+    r = random.Random(21)
+    words = lambda n: [f"v{r.randint(0, 10 ** 6)}" for _ in range(n)]
+    rows, marks = [], {}
+    for i in range(0, 40, 2):
+        left, right = words(r.randint(52, 58)), words(r.randint(52, 58))
+        rows.append((i, " ".join(words(40) + left + (words(32) if replaced else []) + right + words(40))))
+        rows.append((i + 1, " ".join(words(30) + left + words(32) + right + words(30))))
+        marks[i + 1] = [(30, 30 + len(left)), (62 + len(left), 62 + len(left) + len(right))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    for i, spans in marks.items():
+        own = sorted((x["start"], x["start"] + x["n_words"], x["n_equal"]) for x in found if x["doc_id"] == i)
+        assert [(b, e) for b, e, _ in own] == spans and all(n == e - b for b, e, n in own)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_hold_every_agreeing_stretch(seed):
+    r = random.Random(seed)
+    own, its, i, j = [], [], 0, 0
+    for _ in range(160):
+        share = 0.97 if i // 30 % 2 else 0.6
+        if r.random() < share:
+            own.append(i)
+            its.append(j)
+        turn = r.random()
+        i, j = i + (turn >= 0.05 or own[-1:] == [i]), j + (turn < 0.95 or its[-1:] == [j])
+    own, its = np.array(own), np.array(its)
+    enough = lambda b, e: (own[e] + 1 - own[b] >= 30 and e + 1 - b >= 0.8 * max(
+        own[e] + 1 - own[b], its[e] + 1 - its[b]))
+    found = passages.stretches(own, its, 30, 0.8)
+    want = {m for b in range(len(own)) for e in range(b, len(own)) if enough(b, e) for m in range(b, e + 1)}
+    assert want and all(enough(b, e) for b, e in found)
+    assert {m for b, e in found for m in range(b, e + 1)} == want
+
+
 def test_removal_of_passages(spark):
     schema = "doc_id bigint, text string, n_chars bigint, spans string"
     rows = [(1, "a b\n c  d e", 11, "x"), (2, "a b", 3, None), (3, None, None, None), (None, "z", 1, None),
