@@ -2,7 +2,9 @@
 
 1. Seeds: of every window of word k-mers the ones with the least hash. Equal passages
    have equal seeds, about one word in nine is one. Two neighbouring seeds of a document
-   together are a seed as well, which stays telling where single k-mers are common.
+   together are a seed as well, which stays telling where single k-mers are common. For
+   changed passages, half of all spaced runs are seeds, too: six words with gaps that let a
+   changed word pass, drawn by their hash alone, so that words around them do not matter.
 2. A seed found in several documents meets its first occurrence (smallest id and place),
    so the pairs grow with the occurrences, not with their square. A passage whose seeds
    point to several documents is found again from any one of them by step 4.
@@ -14,8 +16,9 @@
    unequal length by edit distance, and both ends are extended while words agree. For
    that, each document is read once more and gives the ranges of words asked of it, as
    hashes; a range that many chains ask for is given once.
-5. Of a chain that agrees too little as a whole, the longest stretches that agree enough
-   are taken, so that a block inserted or replaced between two passages hides neither.
+5. Of a chain that is too short or agrees too little as a whole, the longest stretches that
+   agree enough are taken, with up to ``MARGIN`` words on both sides, so that a block inserted
+   or replaced between two passages hides neither, and changed words near an end hide nothing.
 
 A passage is reported for the later document if it has ``MIN_WORDS`` words or more there
 and ``IDENTITY`` of them agree. Stretches of one chain may overlap. A passage that several earlier documents have is reported
@@ -30,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..session import discard, stored
+from ..session import stored
 from . import texts
 
 KMER = 6
@@ -39,8 +42,11 @@ MIN_WORDS = 50
 IDENTITY = 0.8
 GAP_COST = 0.15
 MOST_GAP = 60
-MARGIN = 40
+ANCHOR = 2
+MARGIN = MIN_WORDS - ANCHOR
 DROP = 6
+SPACED = (0, 1, 3, 5, 6, 8)
+SPACED_SHARE = 0.5
 
 PASSAGES = ("doc_id bigint, start bigint, n_words bigint, from_doc_id bigint, from_start bigint, "
             "from_n_words bigint, n_equal bigint")
@@ -81,10 +87,26 @@ def seeds_of(hashes, owners, k=KMER, window=SEED_WINDOW):
     return values[chosen], first[chosen]
 
 
+def spaced_seeds_of(hashes, owners, offsets=SPACED, share=SPACED_SHARE):
+    """Hashes and first word numbers of the spaced runs that are drawn: words at ``offsets`` from the first."""
+    size = len(hashes) - offsets[-1]
+    if size <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = np.zeros(size, np.uint64)
+    factor = 3
+    for offset in offsets:
+        total += hashes[offset:offset + size] * np.uint64(factor)
+        factor = factor * texts.BASE % (1 << 64)
+    values = texts.mix(total)
+    drawn = np.flatnonzero((values < np.uint64(int(share * (1 << 64)))) & (owners[:size] == owners[offsets[-1]:]))
+    return values[drawn], drawn
+
+
 def seeds(documents, k=KMER, window=SEED_WINDOW, min_words=MIN_WORDS):
     """(seed, doc_id, at) of every document of at least ``min_words`` words; at counts words.
 
-    Seeds are single k-mers and pairs of neighbours; a pair's place is that of its first k-mer.
+    Seeds are single k-mers, pairs of neighbours, placed at their first k-mer, and spaced runs. Equal
+    seeds have at least ``ANCHOR`` equal words at their place.
     """
     def find(batches):
         for batch in batches:
@@ -92,13 +114,14 @@ def seeds(documents, k=KMER, window=SEED_WINDOW, min_words=MIN_WORDS):
             for start, data, offsets in texts.slices(batch.column(1)):
                 begins, ends, owners = texts.words(data, offsets)
                 first, last = texts.group_bounds(owners, len(offsets) - 1)
-                values, at = seeds_of(texts.word_hashes(data, begins, ends), owners, k, window)
+                hashes = texts.word_hashes(data, begins, ends)
+                values, at = seeds_of(hashes, owners, k, window)
+                pairs, where = texts.runs_of(values, owners[at], 2)
+                spaced, spaced_at = spaced_seeds_of(hashes, owners)
+                values, at = np.concatenate((values, pairs, spaced)), np.concatenate((at, at[where], spaced_at))
                 owner = owners[at]
                 keep = (last - first)[owner] >= min_words
                 owner, values, places = owner[keep], values[keep], (at - first[owner])[keep]
-                pairs, where = texts.runs_of(values, owner, 2)
-                values, places, owner = (np.concatenate(x) for x in (
-                    (values, pairs), (places, places[where]), (owner, owner[where])))
                 yield pa.RecordBatch.from_pydict({
                     "seed": pa.array(values.view(np.int64)), "doc_id": pa.array(ids[start + owner], pa.int64()),
                     "at": pa.array(places.astype(np.int32))})
@@ -108,11 +131,27 @@ def seeds(documents, k=KMER, window=SEED_WINDOW, min_words=MIN_WORDS):
 
 def matches(found):
     """(doc_id, at, from_doc_id, from_at) for seeds and their earlier occurrences in other documents."""
-    first = found.groupBy("seed").agg(F.min(F.struct("doc_id", "at")).alias("first"),
-                                      F.max("doc_id").alias("last_doc")).where("first.doc_id < last_doc")
-    shared = found.join(first.drop("last_doc"), "seed")
-    return shared.where("doc_id > first.doc_id").select(
-        "doc_id", "at", F.col("first.doc_id").alias("from_doc_id"), F.col("first.at").alias("from_at"))
+    def meet(batches):
+        seed, first_doc, first_at = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, docs, at = (batch.column(c).to_numpy() for c in ("seed", "doc_id", "at"))
+            new = np.concatenate(([True], values[1:] != values[:-1]))
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            docs_first, at_first = docs[begin], at[begin]
+            if values[0] == seed:  # goes on from the batch before
+                docs_first, at_first = np.where(begin, docs_first, first_doc), np.where(begin, at_first, first_at)
+            seed, first_doc, first_at = values[-1], docs_first[-1], at_first[-1]
+            later = np.flatnonzero(docs > docs_first)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(docs[later], pa.int64()), "at": pa.array(at[later], pa.int32()),
+                "from_doc_id": pa.array(docs_first[later], pa.int64()),
+                "from_at": pa.array(at_first[later], pa.int32())})
+
+    # rows of a seed come in order, so one shuffle is enough and none of them is held
+    return found.repartition("seed").sortWithinPartitions("seed", "doc_id", "at").mapInArrow(
+        texts.released(meet), "doc_id bigint, at int, from_doc_id bigint, from_at int")
 
 
 class PrefixMaxima:
@@ -338,6 +377,8 @@ def stretches(own, its, min_words, identity):
     agreeing words, as more of the run would only make it agree more. Of the longest ones,
     as few are given as hold all words of them.
     """
+    if not len(own):
+        return []
     edges = np.flatnonzero((np.diff(own) != 1) | (np.diff(its) != 1))
     begins, ends = np.concatenate(([0], edges + 1)), np.concatenate((edges, [len(own) - 1]))
     longest = []
@@ -363,10 +404,11 @@ def _bounds(column):
     return offsets[column.offset:column.offset + len(column) + 1].astype(np.int64)
 
 
-def aligned(batch, k=KMER, min_words=MIN_WORDS, identity=IDENTITY, margin=MARGIN):
+def aligned(batch, k=ANCHOR, min_words=MIN_WORDS, identity=IDENTITY, margin=MARGIN):
     """The passages of a batch of chains: columns as in ``PASSAGES`` but for the ids, and their row numbers.
 
-    A chain is one passage if it agrees enough, and otherwise its ``stretches`` are.
+    A chain is one passage if it is long and agrees enough, and otherwise its ``stretches`` are. Each
+    anchor has ``k`` equal words.
 
     A row has the anchors' places ``at`` and ``from_at``, and the words around them, of which
     the first is at ``low`` and ``from_low``.
@@ -388,27 +430,30 @@ def aligned(batch, k=KMER, min_words=MIN_WORDS, identity=IDENTITY, margin=MARGIN
     def compare(x_places, y_places, room):
         there = step < room[:, None]
         words = [d[np.clip(places, 0, len(d) - 1)] for d, places in ((x, x_places), (y, y_places))]
-        return _extensions((words[0] == words[1]) & there, there)
+        equal = (words[0] == words[1]) & there
+        return *_extensions(equal, there), equal.sum(axis=1)
 
-    before, agree = compare((x_begin - 1)[:, None] - step, (y_begin - 1)[:, None] - step,
-                            np.minimum(x_begin - x_bounds[:-1], y_begin - y_bounds[:-1]))
-    after, agree_after = compare(x_end[:, None] + step, y_end[:, None] + step,
-                                 np.minimum(x_bounds[1:] - x_end, y_bounds[1:] - y_end))
+    room = np.minimum(x_begin - x_bounds[:-1], y_begin - y_bounds[:-1])
+    room_after = np.minimum(x_bounds[1:] - x_end, y_bounds[1:] - y_end)
+    before, agree, most = compare((x_begin - 1)[:, None] - step, (y_begin - 1)[:, None] - step, room)
+    after, agree_after, most_after = compare(x_end[:, None] + step, y_end[:, None] + step, room_after)
     length, other_length = x_end - x_begin + before + after, y_end - y_begin + before + after
     equal = k + agree + agree_after
     rows = np.flatnonzero(length >= min_words)
     for i in rows[edges[1:][rows] - edges[:-1][rows] > 1].tolist():
         equal[i] += _between(at[edges[i]:edges[i + 1]].tolist(), other[other_edges[i]:other_edges[i + 1]].tolist(),
                              x[x_begin[i]:x_end[i]], y[y_begin[i]:y_end[i]], k) - k
-    whole = equal[rows] >= identity * np.maximum(length, other_length)[rows]
-    parted, rows = rows[~whole & (equal[rows] >= identity * min_words)], rows[whole]
+    rows = rows[equal[rows] >= identity * np.maximum(length, other_length)[rows]]
+    # the others, if words enough can agree
+    most = most + most_after + np.minimum(x_end - x_begin, y_end - y_begin)
+    parted = np.setdiff1d(np.flatnonzero(most >= identity * min_words), rows)
     columns = [c[rows] for c in (first - before, length, other_first - before, other_length, equal)]
     found = []
     for i in parted.tolist():
-        lead = int(before[i])
+        lead, tail = min(margin, int(room[i])), min(margin, int(room_after[i]))
         own, its = _agreements(
             at[edges[i]:edges[i + 1]].tolist(), other[other_edges[i]:other_edges[i + 1]].tolist(),
-            x[x_begin[i] - lead:x_end[i] + after[i]], y[y_begin[i] - lead:y_end[i] + after[i]], lead, k)
+            x[x_begin[i] - lead:x_end[i] + tail], y[y_begin[i] - lead:y_end[i] + tail], lead, k)
         for b, e in stretches(own, its, min_words, identity):
             found.append((i, first[i] - lead + own[b], own[e] + 1 - own[b], other_first[i] - lead + its[b],
                           its[e] + 1 - its[b], e + 1 - b))
@@ -420,16 +465,15 @@ def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER,
     """Passages of (doc_id, text) that an earlier document has as well: see ``PASSAGES``; places count words."""
     usable = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("bigint"), "text")
-    found = stored(seeds(usable, k, window, min_words), "seeds")
-    linked = chains(matches(found), k)
-    reach = MARGIN + k
-    span = lambda c: (F.element_at(c, 1) - F.lit(MARGIN), F.element_at(c, -1) + F.lit(reach))
+    linked = chains(matches(seeds(usable, k, window, min_words)), k)
+    margin = max(MARGIN, min_words - ANCHOR)
+    reach = margin + ANCHOR
+    span = lambda c: (F.element_at(c, 1) - F.lit(margin), F.element_at(c, -1) + F.lit(reach))
     (low, high), (from_low, from_high) = span("at"), span("from_at")
     # what a chain can reach at most must be long enough
     linked = stored(
         linked.withColumns({"low": low, "high": high, "from_low": from_low, "from_high": from_high})
         .where(F.least(F.col("high") - F.col("low"), F.col("from_high") - F.col("from_low")) >= min_words), "chains")
-    discard(found)
     asked = linked.select("doc_id", "low", "high").unionByName(
         linked.select(F.col("from_doc_id").alias("doc_id"), F.col("from_low").alias("low"),
                       F.col("from_high").alias("high")))
@@ -443,14 +487,14 @@ def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER,
         names = PASSAGES.replace(" bigint", "").split(", ")
         for batch in batches:
             if batch.num_rows:
-                rows, (start, n_words, from_start, from_n_words, n_equal) = aligned(batch, k, min_words, identity)
+                rows, (start, n_words, from_start, from_n_words, n_equal) = aligned(batch, ANCHOR, min_words, identity, margin)
                 ids, from_ids = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "from_doc_id"))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(start), pa.array(n_words), from_ids, pa.array(from_start), pa.array(from_n_words),
                      pa.array(n_equal)], names)
 
     return both.select("doc_id", "from_doc_id", "at", "from_at", "low", "from_low", "words", "from_words").mapInArrow(
-        texts.released(align), PASSAGES)
+        texts.released(align), PASSAGES).distinct()  # two chains can reach the same words
 
 
 def without_passages(documents, passages):

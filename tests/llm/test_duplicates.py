@@ -180,6 +180,37 @@ def test_passage_of_which_every_short_part_occurs_before(spark):
     assert all(x["n_words"] >= 86 for x in found)
 
 
+def spread_changes(r, words, n):
+    """``n`` of the words replaced, but for the first and the last."""
+    out = list(words)
+    for i in r.sample(range(1, len(words) - 1), n):
+        out[i] = f"x{r.randint(0, 10 ** 9)}"
+    return out
+
+
+def test_changed_passages_are_found(spark):
+    r = random.Random(33)
+    words = lambda n: [f"v{r.randint(0, 10 ** 6)}" for _ in range(n)]
+    rows, marks = [], {}
+    for i in range(0, 600, 2):
+        passage = words((50, 60, 80)[i % 3])
+        if i < 60:  # every sixth word
+            other = [f"x{i}.{j}" if j % 6 == 5 and j + 1 < len(passage) else w for j, w in enumerate(passage)]
+        else:
+            other = spread_changes(r, passage, len(passage) * (10, 15, 20)[i // 6 % 3] // 100)
+        rows += [(i, " ".join(words(60) + passage + words(60))), (i + 1, " ".join(words(70) + other + words(50)))]
+        marks[i + 1] = set(range(70, 70 + len(passage)))
+    found = passages.repeated_passages(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    covered = {}
+    for x in found:
+        assert x["from_doc_id"] + 1 == x["doc_id"] and x["n_words"] >= 50
+        assert x["n_equal"] >= 0.8 * max(x["n_words"], x["from_n_words"])
+        covered.setdefault(x["doc_id"], set()).update(range(x["start"], x["start"] + x["n_words"]))
+    whole = {i for i, mark in marks.items() if len(mark & covered.get(i, set())) >= 0.9 * len(mark)}
+    assert all(i in whole for i in marks if i < 60)
+    assert len(whole) >= 0.98 * len(marks)
+
+
 @pytest.mark.parametrize("replaced", [False, True])
 def test_passages_around_an_inserted_block(spark, replaced):
     r = random.Random(21)
