@@ -8,8 +8,9 @@ always and documents that only have a common line almost never.
 1. Documents with equal sets are one representative, by a 128-bit digest of the set.
 2. In each list every representative meets the smallest one. The union of both sketches
    estimates their similarity; pairs that may belong together, by a wide margin, are
-   kept, and what is left of a list meets once more among itself without that filter.
-   So whoever shares a list ends up in one candidate group, without all pairs of a list.
+   kept, and what is left of a list meets once more among itself without that filter. Those
+   kept by so little that a near-copy may be left meet it there, too. So near-copies that
+   share a list end up in one candidate group, without all pairs of a list.
 3. Each candidate group fetches its documents' whole sets, in chunks, and every pair of
    chunks verifies all of its pairs by exact Jaccard similarity. A task returns a forest
    of the links it found, never the links themselves.
@@ -41,6 +42,7 @@ RETAINED = 64
 LISTED = 34
 RUN = 3
 LOOSE = 0.25
+SAMPLING = 0.1
 CHUNK_SETS = 400
 COLUMN_BLOCK = 4096
 
@@ -120,8 +122,13 @@ def _met(entries):
     return entries.join(least, "entry").where("id <> b").select("entry", F.col("id").alias("a"), "b")
 
 
-def candidate_links(representatives, retained=RETAINED, loose=LOOSE):
-    """Links (a, b) whose components hold every pair that shares a list entry."""
+def candidate_links(representatives, retained=RETAINED, loose=LOOSE, similarity=SIMILARITY, sampling=SAMPLING):
+    """Links (a, b) whose components hold every pair at the threshold that shares a list entry.
+
+    One minus the similarity is a distance: if one of a pair is below ``loose``, the other is
+    less than the pair's distance above it. Estimates add ``sampling``; they are exact for
+    unions of at most ``retained`` values.
+    """
     entries = representatives.select(F.col("rep").alias("id"), F.explode("entries").alias("entry")).distinct()
     met = stored(_met(entries), "met")
     sketches = representatives.select(F.col("rep"), "sketch")
@@ -130,7 +137,8 @@ def candidate_links(representatives, retained=RETAINED, loose=LOOSE):
     pairs = pairs.join(sketches.withColumnsRenamed({"rep": "b", "sketch": "b_sketch"}), "b")
     alike = stored(_estimated(pairs, retained), "estimates")
     near = alike.where(F.col("alike") >= loose).select("a", "b")
-    rest = met.join(alike.where(F.col("alike") < loose).select("a", "b"), ["a", "b"]).select(
+    within = loose + 1 - similarity[0] / similarity[1] + sampling
+    rest = met.join(alike.where(F.col("alike") < within).select("a", "b"), ["a", "b"]).select(
         F.col("a").alias("id"), "entry")
     links = stored(near.unionByName(_met(rest).select("a", "b")), "candidate-links")
     discard(met, alike)
@@ -217,7 +225,7 @@ def near_documents(documents, n_words=SHINGLE_WORDS, similarity=SIMILARITY, chun
     representatives = stored(
         filled.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"),
                                     F.first("entries").alias("entries")), "representatives")
-    links = candidate_links(representatives)
+    links = candidate_links(representatives, similarity=similarity)
     groups = stored(components(links).withColumnRenamed("component_id", "grp"), "groups")
     # sketches and list entries have done their work
     sketches, table = table, stored(table.select("doc_id", *digest), "digests")

@@ -123,6 +123,14 @@ def test_near_documents_of_few_words(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_the_estimate_parts_no_pair(spark):
+    sets = {1: [1, 2, 3, *range(90, 96)], 5: [1, 2, 3, 11, 12, 13], 6: [1, 2, 3, 11, 12, 13, 14]}
+    rows = [(i, bytearray(np.array(values, np.uint64).tobytes()), [77]) for i, values in sets.items()]
+    frame = spark.createDataFrame(rows, "rep bigint, sketch binary, entries array<bigint>")
+    links = [(x["a"], x["b"]) for x in sketches.candidate_links(frame, similarity=(85, 100)).collect()]
+    assert joined([1, 5, 6], links)[5] == joined([1, 5, 6], links)[6]
+
+
 def test_near_documents_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "One  two"), (8, "É x y z"),
             (9, "é x y z"), (None, "one"), (4, "one"), (10, "word " * 100_000), (11, "word " * 99_999), (12, "two one")]
