@@ -2,7 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from . import attribution, languages, mixing, neighbours, packing, pages, passages, retrieval, sketches, suffixes
+from . import (
+    attribution,
+    conversations,
+    languages,
+    mixing,
+    negatives,
+    neighbours,
+    packing,
+    pages,
+    passages,
+    quality,
+    retrieval,
+    sketches,
+    suffixes,
+)
 
 QUERIES = {}
 SQL = {}
@@ -92,6 +106,30 @@ def op10_source_mix(spark, sf_dir):
     return mixing.take_words(sizes)
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Rows of other labels that come close to the positives of every 100th vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.col("embedding").alias("vector"))
+    whole = negatives.integer_rows(vectors)
+    return negatives.hard_negatives(whole, whole.where(F.col("id") % 100 == 0))
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    """Every prefix that rebuilt conversations have, with what sharing it saves."""
+    turns = conversations.turn_sequences(table(spark, sf_dir, "conversations"))
+    return conversations.prefix_trie(conversations.rebuilt(turns)).drop("key")
+
+
+@query
+def op13_quality_rules(spark, sf_dir):
+    """Base counts and a verdict for every document."""
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL["op10_source_mix"] = r"""
 WITH RECURSIVE sized AS (
     SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
@@ -195,3 +233,77 @@ WITH RECURSIVE worded AS (
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+SQL["op11_hard_negatives"] = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+           CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+    FROM whole a JOIN whole c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+WHERE 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+SQL["op12_conversation_trie"] = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+                ORDER BY i) AS t
+    FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))
+), turns AS (
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+               sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(
+        list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1),
+                       lambda i: CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), chosen AS (
+    SELECT c.conv_id, 0 AS part, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+    UNION ALL
+    SELECT c.conv_id, 1, pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h
+), prefixes AS (
+    SELECT conv_id, row_number() OVER path AS depth,
+           list({'role': role, 'text': text}) OVER (path ROWS UNBOUNDED PRECEDING) AS prefix,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+    FROM chosen WINDOW path AS (PARTITION BY conv_id ORDER BY part, pos)
+    UNION ALL
+    SELECT conv_id, 0, [], 0 FROM convs
+), members AS (
+    SELECT conv_id AS member, depth, words, min(conv_id) OVER (PARTITION BY depth, prefix) AS conv_id,
+           depth = max(depth) OVER (PARTITION BY conv_id) AS ends
+    FROM prefixes
+), nodes AS (
+    SELECT conv_id, depth, min(words) AS words, count(*) AS n_convs,
+           string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) FILTER (WHERE ends) AS ended
+    FROM members GROUP BY conv_id, depth
+), linked AS (
+    SELECT n.*, m.conv_id AS parent_conv_id
+    FROM nodes n LEFT JOIN members m ON m.member = n.conv_id AND m.depth = n.depth - 1
+), children AS (
+    SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0
+    GROUP BY ALL
+), counted AS (
+    SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (conv_id, depth)
+), subtrees AS (
+    SELECT m.conv_id, m.depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * c.words) AS saved
+    FROM counted c JOIN members m ON m.member = c.conv_id AND m.depth <= c.depth GROUP BY m.conv_id, m.depth
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ended, '')) AS ends_sha256
+FROM counted JOIN subtrees USING (conv_id, depth)
+"""

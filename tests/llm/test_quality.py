@@ -1,0 +1,126 @@
+"""Quality rules against plain counts, hashes and logarithms."""
+
+import math
+import random
+import re
+import zlib
+
+import xxhash
+from pyspark.sql import functions as F
+
+from reviewloom.llm import quality, queries
+
+SCHEMA = "doc_id bigint, text string, words string, score string"
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def base(text):
+    words, lines = words_of(text), [x for x in (text or "").split("\n") if words_of(x)]
+    seen, covered = {}, set()
+    for i in range(len(words) - 7):
+        seen.setdefault(tuple(words[i:i + 8]), []).append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            covered |= {i + k for i in places for k in range(8)}
+    n = len(words)
+    return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)),
+            len(covered), n < 20 or 100 * len(covered) > 30 * n)
+
+
+def hash_of(data, seed=42):
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def buckets_of(text, n):
+    h = [hash_of(w.encode()) for w in words_of(text)]
+    pairs = [hash_of((b % (1 << 64)).to_bytes(8, "little"), hash_of((a % (1 << 64)).to_bytes(8, "little")) % (1 << 64))
+             for a, b in zip(h, h[1:])]
+    return [x % n for x in h + pairs]
+
+
+def texts(seed, n=160):
+    """Good texts, shouted ones, repeating ones and short ones."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    out = []
+    for i in range(n):
+        words = r.choices(vocabulary, k=r.choice((5, 40, 200)))
+        kind = r.choice(("good", "good", "bad", "loop"))
+        if kind == "bad":
+            words = [w.upper() + "!!" for w in words]
+        if kind == "loop":
+            words += words[:20] * r.randrange(1, 4)
+        out.append((i, "".join(w + r.choice(" \n\t ") for w in words), kind))
+    return out
+
+
+def test_against_plain_counts(spark):
+    rows = texts(3)
+    labels = [(i, int(kind != "bad"), int(i % 17 == 0)) for i, _, kind in rows if i % 3]
+    documents = spark.createDataFrame([(i, t, "clash", "clash") for i, t, _ in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in quality.quality_rules(
+        documents, spark.createDataFrame(labels, LABELS), buckets=512, prior=100).collect()}
+    trusted = {i for i, good, toxic in labels if good and not toxic and zlib.crc32(str(i).encode()) % 2 == 0}
+    raw, target = [0] * 512, [0] * 512
+    for i, text, _ in rows:
+        for b in buckets_of(text, 512):
+            raw[b] += 1
+            target[b] += i in trusted
+    weight = {}
+    for b in range(512):
+        if raw[b]:
+            share = raw[b] / sum(raw)
+            weight[b] = round(math.log((target[b] + 100 * share) / ((sum(target) + 100) * share)), 6)
+    scores = {}
+    for i, text, _ in rows:
+        own = buckets_of(text, 512)
+        scores[i] = sum(weight[b] for b in own) / len(own)
+        assert tuple(got[i])[1:7] == base(text)
+        assert abs(got[i]["score"] - scores[i]) < 1e-6
+    # one threshold parts all of the rest
+    rest = [i for i, *_ in rows if not got[i]["base_failed"]]
+    kept, gone = [scores[i] for i in rest if got[i]["kept"]], [scores[i] for i in rest if not got[i]["kept"]]
+    assert kept and gone and max(gone) < min(kept)
+    assert not any(got[i]["kept"] for i, *_ in rows if got[i]["base_failed"])
+    kind = {i: k for i, _, k in rows}
+    assert all(got[i]["kept"] == (kind[i] != "bad") for i in rest)
+
+
+def test_edge_cases(spark):
+    window = "a b c d e f g h"
+    cases = [None, "", " \t\n\x0b", "one", "\n\nx\nx\r\nx\n x\nx", "#*$%&|<>" * 3, window + " " + window, "a " * 30,
+             "é \U0001f600 ü", "x" * 200_000, " ".join(map(str, range(50_000))), "y z " * 40_000, window * 3,
+             "a b c d"]
+    rows = [(i, t, "clash", "clash") for i, t in enumerate(cases)] + [(None, "null id", "", ""), (3, "one", "", "")]
+    labels = [(0, 1, 0), (0, 0, 0), (None, 1, 0), (1, None, 0), (2, 1, None), (99, 1, 0)]
+    got = quality.quality_rules(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()
+    by_id = sorted(((r[0], tuple(r)[1:7]) for r in got), key=str)
+    assert by_id == sorted(((i, base(t)) for i, t, *_ in rows), key=str)
+    # nothing is trusted, so only the base rules decide
+    assert all(r["score"] == 0 and r["kept"] != r["base_failed"] for r in got)
+
+
+def test_empty(spark):
+    nothing = spark.createDataFrame([], SCHEMA)
+    assert quality.quality_rules(nothing, spark.createDataFrame([(1, 1, 0)], LABELS)).count() == 0
+    one = spark.createDataFrame([(1, "word " * 7 + "a b c d e f g h i j k l m n", "", "")], SCHEMA)
+    assert [r["kept"] for r in quality.quality_rules(one, spark.createDataFrame([], LABELS)).collect()] == [True]
+
+
+def test_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.QUERIES["op13_quality_rules"](spark, sf)
+    documents = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").collect()}
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    for r in rows:
+        assert tuple(r)[1:7] == base(documents[r["doc_id"]])
+    labelled = got.join(queries.table(spark, sf, "labels"), "doc_id").where(~F.col("base_failed"))
+    share = {r["quality"]: r["share"] for r in labelled.groupBy("quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    assert share[1] > 0.98 and share[0] < 0.2

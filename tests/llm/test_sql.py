@@ -20,7 +20,7 @@ def test_query(spark, name):
 
 
 def test_entry_has_all():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([q for q in entry.queries() if q.startswith(f"op{n}_")]) == 1
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert queries.SQL.items() <= entry.oracle_sql().items()
