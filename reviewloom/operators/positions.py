@@ -9,7 +9,7 @@ BLOCK_BITS = 20
 TOP_BITS = 24
 
 
-def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
+def running_total(df, key, weight=None, by=(), out="upto", key_bits=64, keep=False):
     """Add the sum of ``weight`` over all rows of the ``by`` group up to this key.
 
     ``key`` is an integer column that is unique within ``by``; without ``weight``
@@ -19,8 +19,8 @@ def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
     rows, and the one over the outermost blocks 2**24 pairs of numbers, whatever
     the size or the distribution of the table. Where keys are known to stay below
     2**key_bits, a smaller ``key_bits`` saves levels; the totals do not depend on it.
-    The totals of the first level are stored, so ``df`` is computed twice however many
-    levels there are.
+    ``df`` is computed twice, or once more for each further level if its shuffle cannot be
+    used again; ``keep`` stores the totals of the first level, for a ``df`` costly to compute.
     """
     by = list(by)
     rows = df.withColumns({
@@ -32,7 +32,7 @@ def running_total(df, key, weight=None, by=(), out="upto", key_bits=64):
         blocks = levels[-1].groupBy(*by, F.col("_total_block").alias("_total_inner")).agg(
             F.sum("_total_sum").alias("_total_sum")
         )
-        if len(levels) == 1:
+        if keep and len(levels) == 1:
             blocks = stored(blocks, "blocks")
         levels.append(blocks.withColumn("_total_block", F.shiftright("_total_inner", BLOCK_BITS)))
 

@@ -38,7 +38,7 @@ def ascending(stats, stat="stat", key="app_id"):
 
 
 def percentile_cut(
-    stats, p, by=(), method="nearest", ties="cut", stat="stat", key="app_id"
+    stats, p, by=(), method="nearest", ties="cut", stat="stat", key="app_id", counted=None
 ):
     """Rows at or above the p-th percentile of an integer stat.
 
@@ -50,7 +50,8 @@ def percentile_cut(
 
     Only a histogram (one row per distinct stat) is ranked, by running totals of
     bounded blocks; the rows themselves are compared with the cut. ``stats`` is read
-    several times: store it where it is costly to compute.
+    several times: store it where it is costly to compute. ``counted`` is the histogram,
+    with the number of rows per stat as ``games``, where it is known already.
     """
     if not 0 <= p <= 100:
         raise ValueError("p must be between 0 and 100")
@@ -59,7 +60,10 @@ def percentile_cut(
     if ties not in ("cut", "keep"):
         raise ValueError(f"unknown ties rule: {ties}")
     by = list(by)
-    histogram = stats.groupBy(*by, F.col(stat).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    if counted is None:
+        histogram = stats.groupBy(*by, F.col(stat).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        histogram = counted.select(*by, F.col(stat).alias("_value"), F.col("games").alias("_n"))
     sizes = histogram.groupBy(*by).agg(F.sum("_n").alias("_size"))
     upto = running_total(histogram, "_value", "_n", by, out="_upto", key_bits=STAT_BITS)
     ranked = _attach(upto, sizes, by)

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import count_flags, non_empty, percentile_cut, top_n
-from .epochs import latest, log_view, run_epochs, start_log
+from .epochs import answered, epochs_of, folders, latest, log_view, newest_view, run_epochs, start_log, written_view
+from .processors import state_rows, tenant_states
+from .purges import MARK, with_purges
 
 KEYS = ["client_id", "app_id"]
+FIRST = -(1 << 63)
 
 COUNTS = T.StructType([
     T.StructField("client_id", T.LongType()),
@@ -27,7 +30,9 @@ def keyed_counts(tagged):
     ``tagged`` has ``is_review``, and for catalogue rows ``name`` and ``seq``; the
     name with the largest ``seq`` wins. Works on batch and streaming frames.
     """
-    named = F.when(~F.col("is_review"), F.struct("seq", "name"))
+    # never null, so that the state looks the same while one of the inputs is idle
+    seq = F.coalesce("seq", F.lit(FIRST).cast("bigint")).alias("seq")
+    named = F.when(~F.col("is_review"), F.struct(seq, "name"))
     return tagged.groupBy(*KEYS).agg(
         F.max(named)["name"].alias("name"),
         F.count_if("is_review").alias("stat"),
@@ -51,20 +56,21 @@ def run_top(stats, n, path, checkpoint, schema=COUNTS, growing=True, **options):
     values = [name for name in columns if name not in KEYS]
 
     def handle(rows, epoch):
-        old = _newest(log_view(rows.sparkSession, path, schema, before=epoch))
-        both = old.unionByName(
+        old = newest_view(rows.sparkSession, path, schema, before=epoch)
+        both = old.withColumn("epoch", F.lit(epoch - 1).cast("bigint")).unionByName(
             rows.select(*columns).withColumn("epoch", F.lit(epoch).cast("bigint"))
         )
         candidates = latest(both, KEYS, values) if growing else both
         return top_n(candidates, n, by=("client_id",)).select(*columns)
 
     mode = "update" if growing else "append"
-    return run_epochs(stats, handle, path, checkpoint, mode, **options)
+    query = run_epochs(stats, handle, path, checkpoint, mode, **options)
+    return answered(query, lambda: top_view(stats.sparkSession, path, schema))
 
 
 def top_view(spark, path, schema=COUNTS):
     """The rows of the newest epoch of a log that holds a whole answer per epoch."""
-    return _newest(log_view(spark, path, schema)).drop("epoch")
+    return newest_view(spark, path, schema)
 
 
 def compact_top(spark, path, to, schema=COUNTS):
@@ -76,23 +82,115 @@ def compact_top(spark, path, to, schema=COUNTS):
     top_view(spark, path, schema).write.parquet(f"{to}/epoch=-1")
 
 
-def _newest(rows):
-    return rows.filter(F.col("epoch") == rows.agg(F.max("epoch").alias("epoch")).scalar())
-
-
 def run_percentile(counts, p, path, checkpoint, complete=None, **options):
     """Accumulate counts; answer the percentile per tenant once it is complete.
 
     ``complete`` is a frame of the tenants whose stream has ended without gaps;
-    without it, all tenants are taken as complete.
+    without it, all tenants are taken as complete. The log of the counts is compacted
+    by itself. ``run_histograms`` keeps the ranks up to date instead.
     """
     spark = counts.sparkSession
     start_log(spark, path, COUNTS)
     columns = COUNTS.fieldNames()
-    run_epochs(
-        counts, lambda rows, epoch: rows.select(*columns), path, checkpoint, "update", **options
-    )
-    stats = non_empty(latest(log_view(spark, path, COUNTS), KEYS, ["name", "stat"]))
+
+    def view():
+        stats = non_empty(latest(written_view(spark, path, COUNTS), KEYS, ["name", "stat"]))
+        if complete is not None:
+            stats = stats.join(complete.select("client_id"), "client_id", "left_semi")
+        return percentile_cut(stats, p, by=("client_id",))
+
+    return answered(run_epochs(
+        counts, lambda rows, epoch: rows.select(*columns), path, checkpoint, "update", keys=KEYS, **options
+    ), view)
+
+
+CHANGES = "app_id bigint, name string, was bigint, stat bigint"
+HISTOGRAM = T.StructType([
+    T.StructField("client_id", T.LongType()),
+    T.StructField("stat", T.LongType()),
+    T.StructField("games", T.LongType()),
+])
+
+
+class GameCounts:
+    """Name and number of reviews of each game of a lane, and how they changed.
+
+    A game counts once it has a name and a review. ``was`` and ``stat`` are its reviews
+    before and after the micro-batch, 0 while it does not count.
+    """
+
+    states = {"games": ("app_id bigint", "seq bigint, name string, stat bigint")}
+
+    def rows(self, key, frames, state):
+        met = {}
+        for frame in frames:
+            for app_id, part in frame.groupby("app_id"):
+                reviews, seq, name = met.get(app_id, (0, None, None))
+                named = part[~part["is_review"].astype(bool)]
+                for newer in zip(named["seq"], named["name"]):
+                    if seq is None or (newer[0], newer[1] or "") > (seq, name or ""):
+                        seq, name = newer
+                met[app_id] = reviews + len(part) - len(named), seq, name
+        for app_id, (reviews, seq, name) in met.items():
+            app_id = int(app_id)
+            old_seq, old_name, old = state.games.getValue((app_id,)) or (None, None, 0)
+            if seq is None or (old_seq is not None and (old_seq, old_name or "") > (seq, name or "")):
+                seq, name = old_seq, old_name
+            seq = None if seq is None else int(seq)
+            state.games.updateValue((app_id,), (seq, name, old + reviews))
+            yield app_id, name, old if old_name else 0, old + reviews if name else 0
+
+
+def tenant_counts(tagged, lanes=8, control=None):
+    """``keyed_counts`` whose state a purge clears: client_id, lane, purged, app_id, name, was, stat."""
+    rows = tagged.select("client_id", "app_id", "name", "seq", "is_review")
+    marked = rows if control is None else with_purges(rows, control)
+    return tenant_states(marked, GameCounts(), CHANGES, maps=GameCounts.states, lanes=lanes, lane_key="app_id")
+
+
+def run_histograms(tagged, folder, lanes=8, control=None, p=90, **options):
+    """Keep a histogram of review counts per tenant; the p-th percentile is read off it at any time.
+
+    A micro-batch moves the games it changed from their old count to their new one, so
+    its work follows those games and the number of different counts, and an answer reads
+    no older epoch: the cut comes from the newest histogram, the games above it from the
+    state that the counts are kept in. Both are taken at the last finished micro-batch.
+    """
+    spark = tagged.sparkSession
+    log, checkpoint = f"{folder}/histograms", f"{folder}/checkpoint"
+    start_log(spark, log, HISTOGRAM)
+
+    def handle(rows, epoch):
+        session = rows.sparkSession
+        marks = rows.filter(MARK).select("client_id").distinct()
+        moved = rows.filter(~F.col(MARK)).select("client_id", F.inline(F.array(
+            F.struct(F.col("was").alias("stat"), F.lit(-1).cast("bigint").alias("games")),
+            F.struct(F.col("stat").alias("stat"), F.lit(1).cast("bigint").alias("games")))))
+        old = newest_view(session, log, HISTOGRAM, before=epoch)
+        both = old.unionByName(moved.filter("stat > 0")).join(marks, "client_id", "left_anti")
+        return both.groupBy("client_id", "stat").agg(F.sum("games").alias("games")).filter("games > 0")
+
+    def forget(session, epoch):
+        # a repeated epoch needs the one before it
+        system, found = folders(session, f"{log}/epoch=*")
+        for path in found:
+            if int(path.getName()[6:]) < epoch - 1:
+                system.delete(path, True)
+
+    query = run_epochs(
+        tenant_counts(tagged, lanes, control), handle, log, checkpoint, "update", after=forget, once=True, **options)
+    return answered(query, lambda: histogram_percentile(spark, folder, p))
+
+
+def histogram_percentile(spark, folder, p, complete=None):
+    """The percentile answer of ``run_histograms`` at its last finished micro-batch."""
+    _, commits = folders(spark, f"{folder}/checkpoint/commits/*")
+    done = max((int(x.getName()) for x in commits if x.getName().isdigit()), default=None)
+    if done is None or done not in epochs_of(spark, f"{folder}/histograms"):
+        return spark.createDataFrame([], COUNTS)
+    ranks = log_view(spark, f"{folder}/histograms", HISTOGRAM, only=done).drop("epoch")
+    games = state_rows(spark, f"{folder}/checkpoint", "games", done).select(
+        "key.client_id", "user_map_key.app_id", "user_map_value.name", "user_map_value.stat")
     if complete is not None:
-        stats = stats.join(complete.select("client_id"), "client_id", "left_semi")
-    return percentile_cut(stats, p, by=("client_id",))
+        games = games.join(complete.select("client_id"), "client_id", "left_semi")
+    return percentile_cut(non_empty(games), p, by=("client_id",), counted=ranks)

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .epochs import log_view, run_epochs, start_log
+from .epochs import log_view, run_epochs, start_log, write_epoch, written_view
+from .purges import run_purged, with_purges
 
 BATCH_KEYS = ["client_id", "input", "batch_id"]
 BLOCK = 4096
@@ -50,25 +51,32 @@ def once(rows, row_no="row_no", keys=BATCH_KEYS):
     return single.unionByName(several)
 
 
-def accept_new_batches(stream, path, ledger, checkpoint, row_no="row_no", **options):
+def accept_new_batches(stream, path, ledger, checkpoint, row_no="row_no", control=None, **options):
     """Append each row of each batch of a stream once, and keep a ledger of batch numbers.
 
     A batch may arrive in parts over several micro-batches. Rows of batches that no
     earlier epoch knows, which the ledger with its one row per batch tells, only lose
     the repeats inside the micro-batch, by ``once``. For known batches the rows that were
     accepted before are dropped by row number; the log is read for those only within the
-    number range of the micro-batch. The micro-batch is kept while it is worked on.
+    number range of the micro-batch. The micro-batch is kept while it is worked on. The
+    ledger is compacted by itself.
+
+    With a ``control`` stream of purges (see ``purges``) the log and the ledger are kept by
+    tenant, and lose the tenants that it purges.
     """
     schema = stream.schema
-    start_log(stream.sparkSession, path, schema)
-    start_log(stream.sparkSession, ledger, LEDGER)
+    tenants = control is not None
+    start_log(stream.sparkSession, path, schema, tenants)
+    start_log(stream.sparkSession, ledger, LEDGER, tenants)
 
     kept = {}
 
     def handle(rows, epoch):
+        while kept:  # left by an attempt that failed
+            kept.popitem()[1].unpersist()
         kept[epoch] = rows = rows.persist()
-        seen = log_view(rows.sparkSession, ledger, LEDGER, before=epoch)
-        accepted = log_view(rows.sparkSession, path, schema, before=epoch)
+        seen = written_view(rows.sparkSession, ledger, LEDGER, before=epoch)
+        accepted = written_view(rows.sparkSession, path, schema, before=epoch)
         span = rows.agg(F.min("batch_id"), F.max("batch_id")).first()
         if span[0] is not None:
             seen, accepted = (x.filter(F.col("batch_id").between(*span)) for x in (seen, accepted))
@@ -81,9 +89,11 @@ def accept_new_batches(stream, path, ledger, checkpoint, row_no="row_no", **opti
         kept.pop(epoch).unpersist()
         accepted = log_view(spark, path, schema, only=epoch)
         numbers = accepted.groupBy(*BATCH_KEYS).agg(F.bool_or("eof").alias("eof"))
-        numbers.write.mode("overwrite").parquet(f"{ledger}/epoch={epoch}")
+        write_epoch(numbers, ledger, epoch, tenants, keys=LEDGER.fieldNames())
 
-    return run_epochs(stream, handle, path, checkpoint, after=note, **options)
+    if not tenants:
+        return run_epochs(stream, handle, path, checkpoint, after=note, **options)
+    return run_purged(with_purges(stream, control), handle, path, checkpoint, also=[ledger], after=note, **options)
 
 
 def completeness(rows, by=("client_id", "input")):

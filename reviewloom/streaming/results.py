@@ -3,24 +3,25 @@
 from pyspark.sql import functions as F
 
 from ..operators import over_count
-from .epochs import latest, log_view, run_epochs, start_log
+from .epochs import answered, latest, run_epochs, start_log, written_view
 from .keyed import COUNTS, KEYS
 
 
 def progress(counts, n, path, checkpoint, **options):
     """Emit every game over the threshold as soon as, and whenever, it changes.
 
-    The epoch log is the progress; the newest version per key is the result so far.
+    The epoch log is the progress; the newest version per key is the result so far. It
+    is compacted by itself.
     """
     spark = counts.sparkSession
     start_log(spark, path, COUNTS)
     columns = COUNTS.fieldNames()
-    run_epochs(
+    query = run_epochs(
         counts,
         lambda rows, epoch: over_count(rows, n).select(*columns),
-        path, checkpoint, "update", **options,
+        path, checkpoint, "update", keys=KEYS, **options,
     )
-    return latest(log_view(spark, path, COUNTS), KEYS, ["name", "stat"])
+    return answered(query, lambda: latest(written_view(spark, path, COUNTS), KEYS, ["name", "stat"]))
 
 
 def with_finish_rows(results, complete):
@@ -51,9 +52,9 @@ def run_first_results(
     start_log(results.sparkSession, path, schema)
 
     def handle(rows, epoch):
-        delivered = log_view(rows.sparkSession, path, schema, before=epoch).select(*keys)
+        delivered = written_view(rows.sparkSession, path, schema, before=epoch).select(*keys)
         first = first_result(rows, arrival, keys)
         return first.join(delivered, list(keys), "left_anti").select(*schema.fieldNames())
 
-    run_epochs(results, handle, path, checkpoint, **options)
-    return log_view(results.sparkSession, path, schema).drop("epoch")
+    query = run_epochs(results, handle, path, checkpoint, **options)
+    return answered(query, lambda: written_view(results.sparkSession, path, schema).drop("epoch"))

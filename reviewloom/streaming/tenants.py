@@ -7,6 +7,8 @@ A purge control table has rows (action, client_id): ``one`` clears that tenant,
 from pyspark.sql import functions as F
 
 from ..operators import without_listed
+from .epochs import run_epochs, start_log, written_view
+from .purges import MARKS
 
 
 def drop_done(rows, done):
@@ -14,6 +16,22 @@ def drop_done(rows, done):
     return without_listed(rows, done, "client_id")
 
 
+def run_open(stream, done, path, checkpoint, **options):
+    """Append the rows of tenants that are not finished when their micro-batch is worked in.
+
+    ``done`` is an epoch log of the ids of finished tenants. It may grow while the query
+    runs: each micro-batch reads it as it is by then.
+    """
+    spark = stream.sparkSession
+    start_log(spark, path, stream.schema)
+    start_log(spark, done, MARKS)
+
+    def handle(rows, epoch):
+        return drop_done(rows, written_view(rows.sparkSession, done, MARKS).select("client_id").distinct())
+
+    return run_epochs(stream, handle, path, checkpoint, **options)
+
+
 def purged_ids(ids, control):
     """Those of the given tenant ids that a purge clears."""
     one = control.filter(F.col("action") == "one").select("client_id").distinct()

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -471,3 +472,146 @@ def test_long_gaps_are_ranges(spark):
                                  "client_id bigint, input string, batch_id bigint")
     got = sorted(tuple(r) for r in st.missing_ranges(rows).collect())
     assert got == [(1, "a", 2, 3), (1, "a", 5, 4095), (1, "a", 4097, 10 ** 13 - 1), (2, "a", 0, 1)]
+
+
+def test_a_purge_travels_through_all_stages(spark, tmp_path):
+    """State, logs and ledger of a tenant go, rows of the same batch and later ones too; others' files stay."""
+    feed = Feed(spark, tmp_path / "rows", ROWS)
+    purges = Feed(spark, tmp_path / "control", "action string, client_id bigint")
+    purges.add([])
+    for rows in SCRIPT[:2]:
+        feed.add(rows)
+
+    def work():
+        control = purges.stream()
+        st.accept_new_batches(
+            feed.stream(), feed.path("accepted"), feed.path("ledger"), feed.path("ck-a"), control=control)
+        st.run_purged(
+            st.tenant_counts(feed.stream(), 2, control), lambda rows, epoch: rows.select(*COUNTS.fieldNames()),
+            feed.path("counts"), feed.path("ck-c"), mode="update")
+
+    def files():
+        logs = ("accepted", "ledger", "counts")
+        return {str(path): path.stat().st_mtime_ns for log in logs
+                for path in (tmp_path / "rows" / log).glob("epoch=*/client_id=2/*.parquet")}
+
+    def tenants(log, schema):
+        return {row.client_id for row in st.written_view(spark, feed.path(log), schema).collect()}
+
+    work()
+    before = files()
+    assert before and tenants("accepted", feed.schema) == {1, 2}
+    purges.add([("one", 1)])
+    feed.add(SCRIPT[2])
+    work()
+    feed.add(SCRIPT[3])
+    work()
+    for log, schema in (("accepted", feed.schema), ("ledger", LEDGER), ("counts", COUNTS)):
+        assert tenants(log, schema) == {2}
+        assert not list((tmp_path / "rows" / log).glob("epoch=*/client_id=1"))
+    assert {row.client_id for row in st.state_rows(spark, feed.path("ck-c"), "games").select(
+        "key.client_id").collect()} == {2}
+    assert before.items() <= files().items()
+    counts = st.latest(st.written_view(spark, feed.path("counts"), COUNTS), KEYS, ["name", "stat"])
+    assert sorted(tuple(row) for row in counts.filter("stat > 0").collect()) == [r for r in FINAL if r[0] == 2]
+
+
+def test_purge_marks(spark):
+    marks = st.purge_marks(control(spark, ("one", 7), ("upto", 2), ("upto", 0), ("other", 5), ("one", None)))
+    assert sorted((row.client_id for row in marks.collect()), key=str) == [1, 2, 7, None]
+
+
+class Alarm:
+    """Counts rows, and gives the count again when its timer expires."""
+
+    def rows(self, key, frames, state):
+        n = sum(map(len, frames)) + (state.n.get()[0] if state.n.exists() else 0)
+        state.n.update((n,))
+        state.timer(state.now() + 1)
+        yield n, False
+
+    def expired(self, key, at, state):
+        yield state.n.get()[0], True
+
+
+def test_timers(feed):
+    feed.add(SCRIPT[0])
+    feed.add(batch(9, 0, [review(1)]))
+    out = st.tenant_states(feed.stream(), Alarm(), "n bigint, late boolean", values={"n": "n bigint"}, lanes=1,
+                           columns=["app_id"], timers=True)
+    schema = T.StructType.fromDDL("client_id bigint, n bigint, late boolean")
+    st.start_log(feed.spark, feed.path("t"), schema)
+    query = st.run_epochs(out, lambda rows, epoch: rows.select("client_id", "n", "late"), feed.path("t"),
+                          feed.path("ck-t"), "update", every="100 milliseconds")
+    want = {(1, 4, False), (2, 2, False), (1, 4, True), (2, 2, True), (9, 1, True)}
+    got = set()
+    for _ in range(60):
+        if want <= got or not query.isActive:
+            break
+        time.sleep(1)
+        got = {tuple(r) for r in st.written_view(feed.spark, feed.path("t"), schema).drop("epoch").collect()}
+    query.stop()
+    assert want <= got
+
+
+def test_lanes_follow_the_load(spark):
+    rows = spark.createDataFrame([(1,)] * 25 + [(2,)] * 3, "client_id bigint")
+    lanes = st.measured_lanes(rows, per_lane=2)
+    assert sorted(map(tuple, lanes.collect())) == [(1, 13), (2, 2)]
+    known = spark.createDataFrame([(2, 9), (3, 1)], "client_id bigint, lanes int")
+    assert sorted(map(tuple, st.measured_lanes(rows, 2, known, most=10).collect())) == [(1, 10), (2, 9), (3, 1)]
+
+
+def test_ranks_are_kept_up_to_date(feed):
+    """After each file the answer equals the percentile of all counts so far, a purge included."""
+    control = Feed(feed.spark, feed.folder / "control", "action string, client_id bigint")
+    control.add([])
+    folder = feed.path("ranks")
+    files = [*SCRIPT, batch(3, 0, [(5, "five", 1), review(5), (5, "", 2)])]
+    for step, rows in enumerate(files):
+        feed.add(rows)
+        if step == 3:
+            control.add([("one", 2)])
+        got = st.run_histograms(feed.stream(), folder, lanes=2, control=control.stream(), p=50)
+        whole = st.keyed_counts(feed.spark.read.schema(feed.schema).parquet(feed.path("in")))
+        whole = whole.filter("stat > 0 and coalesce(name, '') <> ''")
+        if step >= 3:
+            whole = whole.filter("client_id <> 2")
+        want = percentile_cut(whole, 50, by=("client_id",))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(list((feed.folder / "ranks" / "histograms").glob("epoch=*"))) <= 3
+
+
+def test_a_long_log_is_compacted_by_itself(feed):
+    """Folders that are read stay few, and the newest versions stay what they are."""
+    counts = st.keyed_counts(feed.stream())
+    st.start_log(feed.spark, feed.path("log"), COUNTS)
+    for i in range(14):
+        feed.add(batch(1, i, [(i % 3, f"name {i}", i), review(i % 3)]))
+    st.run_epochs(counts, lambda rows, epoch: rows, feed.path("log"), feed.path("ck"), "update", keys=KEYS,
+                  compact_every=4)
+    assert st.epochs_of(feed.spark, feed.path("log")) == [11, 12, 13]
+    assert len(list((feed.folder / "log").glob("epoch=*"))) <= 7
+    got = st.latest(st.written_view(feed.spark, feed.path("log"), COUNTS), KEYS, ["name", "stat"])
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "name 12", 5), (1, 1, "name 13", 5), (1, 2, "name 11", 4)]
+
+
+def test_a_question_left_running(feed):
+    """Answers on the way, a stop, files while it stands, and the batch answer after going on."""
+    def ask():
+        return st.progress(st.keyed_counts(feed.stream()), 1, feed.path("r"), feed.path("ck-r"), every="200 milliseconds")
+
+    def answer(running):
+        return sorted((r.client_id, r.app_id, r.stat) for r in running.catch_up().answer().collect())
+
+    feed.add(SCRIPT[0])
+    running = ask()
+    assert answer(running) == [(1, 7, 2)]
+    feed.add(SCRIPT[1])
+    assert answer(running) == [(1, 7, 2), (1, 8, 2)]
+    running.stop()
+    feed.add(SCRIPT[2])
+    running = ask()
+    feed.add(SCRIPT[3])
+    assert answer(running) == [(1, 7, 3), (1, 8, 4), (2, 7, 2)]
+    running.stop()
