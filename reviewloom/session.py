@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name="reviewloom", master=None, **conf):
     """A session with the settings the operators are tuned for.
@@ -49,11 +51,19 @@ def stored(df, label):
     """Write a frame to a new table in the shared folder and read it from there.
 
     For an intermediate result that several later steps read: what it was made
-    from is then scanned once, also when executors are lost later on.
+    from is then scanned once, also when executors are lost later on. The shuffle files
+    of the write are removed at its end, as the table stands for them.
     """
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
 
