@@ -184,6 +184,10 @@ def chained(at, other, k=KMER, gap_cost=GAP_COST, most_gap=MOST_GAP):
     parted at gaps of more than ``most_gap`` words on either side.
     """
     n = len(at)
+    if n == 1:
+        return [[0]]
+    if all(at[m] < at[m + 1] and other[m] < other[m + 1] for m in range(n - 1)):
+        return _parted(at, other, *_rising(at, other, k, gap_cost), most_gap)
     ranks = {place: i for i, place in enumerate(sorted(set(other)))}
     tree = PrefixMaxima(len(ranks))
     score, before = [0.0] * n, [-1] * n
@@ -203,6 +207,31 @@ def chained(at, other, k=KMER, gap_cost=GAP_COST, most_gap=MOST_GAP):
         for m in range(i, j):
             tree.put(ranks[other[m]], score[m] + gap_cost * (at[m] + other[m]) - offset, m)
         i = j
+    return _parted(at, other, score, before, most_gap)
+
+
+def _rising(at, other, k, gap_cost):
+    """Scores and predecessors of matches that rise on both sides: all earlier ones are in the prefix."""
+    offset = gap_cost * (at[0] + other[0])
+    score, before = [], []
+    best, previous = -1.0, -1
+    for m, (p, q) in enumerate(zip(at, other)):
+        own, link, way = float(k), -1, gap_cost * (p + q)
+        if previous >= 0:
+            gained = best - way + offset + min(k, p - at[previous], q - other[previous])
+            if gained > k:
+                own, link = gained, previous
+        score.append(own)
+        before.append(link)
+        value = own + way - offset
+        if value >= best:
+            best, previous = value, m
+    return score, before
+
+
+def _parted(at, other, score, before, most_gap):
+    """Chains by score and predecessor, parted at gaps of more than ``most_gap`` words."""
+    n = len(at)
     used, out = [False] * n, []
     for m in sorted(range(n), key=lambda m: (-score[m], m)):
         chain = []
@@ -224,37 +253,42 @@ def chained(at, other, k=KMER, gap_cost=GAP_COST, most_gap=MOST_GAP):
 def chains(matched, k=KMER):
     """Chains of every pair of documents: the anchors' places in both."""
     def chain(batches):
-        key, at, other = None, [], []
-        out = []
-
-        def flush():
-            for number, members in enumerate(chained(at, other, k)):
-                out.append((*key, number, [at[m] for m in members], [other[m] for m in members]))
-
-        def batch_of():
-            table = pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([r[0] for r in out], pa.int64()),
-                "from_doc_id": pa.array([r[1] for r in out], pa.int64()),
-                "number": pa.array([r[2] for r in out], pa.int32()),
-                "at": pa.array([r[3] for r in out], pa.list_(pa.int32())),
-                "from_at": pa.array([r[4] for r in out], pa.list_(pa.int32()))})
-            out.clear()
-            return table
+        held = None
+
+        def found(columns):
+            docs, froms, at, other = columns
+            new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (froms[1:] != froms[:-1])))
+            # by a k-mer and by a pair: once
+            once = np.concatenate(([True], new[1:] | (at[1:] != at[:-1]) | (other[1:] != other[:-1])))
+            begins = np.flatnonzero(new[once])
+            docs, froms, at, other = docs[once], froms[once], at[once].tolist(), other[once].tolist()
+            rows, numbers, places, from_places = [], [], [], []
+            for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(at)]):
+                own, its = at[begin:end], other[begin:end]
+                for number, members in enumerate(chained(own, its, k)):
+                    rows.append(begin)
+                    numbers.append(number)
+                    places.append([own[m] for m in members])
+                    from_places.append([its[m] for m in members])
+            return pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(docs[rows], pa.int64()), "from_doc_id": pa.array(froms[rows], pa.int64()),
+                "number": pa.array(numbers, pa.int32()), "at": pa.array(places, pa.list_(pa.int32())),
+                "from_at": pa.array(from_places, pa.list_(pa.int32()))})
 
         for batch in batches:
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "from_doc_id", "at", "from_at"))):
-                if (a, b) != key:
-                    if at:
-                        flush()
-                    key, at, other = (a, b), [], []
-                elif (x, y) == (at[-1], other[-1]):  # by a k-mer and by a pair
-                    continue
-                at.append(x)
-                other.append(y)
-            yield batch_of()
-        if at:
-            flush()
-            yield batch_of()
+            columns = [batch.column(c).to_numpy() for c in ("doc_id", "from_doc_id", "at", "from_at")]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            if not len(columns[0]):
+                continue
+            # the last pair may go on in the next batch
+            last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0
+            held = [c[whole:] for c in columns]
+            if whole:
+                yield found([c[:whole] for c in columns])
+        if held is not None and len(held[0]):
+            yield found(held)
 
     return (
         matched.select("doc_id", "from_doc_id", "at", "from_at")
@@ -462,7 +496,10 @@ def aligned(batch, k=ANCHOR, min_words=MIN_WORDS, identity=IDENTITY, margin=MARG
 
 
 def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER, window=SEED_WINDOW):
-    """Passages of (doc_id, text) that an earlier document has as well: see ``PASSAGES``; places count words."""
+    """Passages of (doc_id, text) that an earlier document has as well: see ``PASSAGES``; places count words.
+
+    ``made_from`` of the result are stored tables, to be discarded once it is stored itself.
+    """
     usable = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("bigint"), "text")
     linked = chains(matches(seeds(usable, k, window, min_words)), k)
@@ -493,8 +530,11 @@ def repeated_passages(documents, min_words=MIN_WORDS, identity=IDENTITY, k=KMER,
                     [ids, pa.array(start), pa.array(n_words), from_ids, pa.array(from_start), pa.array(from_n_words),
                      pa.array(n_equal)], names)
 
-    return both.select("doc_id", "from_doc_id", "at", "from_at", "low", "from_low", "words", "from_words").mapInArrow(
-        texts.released(align), PASSAGES).distinct()  # two chains can reach the same words
+    passages = both.select(
+        "doc_id", "from_doc_id", "at", "from_at", "low", "from_low", "words", "from_words"
+    ).mapInArrow(texts.released(align), PASSAGES).distinct()  # two chains can reach the same words
+    passages.made_from = linked, ranges
+    return passages
 
 
 def without_passages(documents, passages):
