@@ -7,7 +7,7 @@ shared folder and read again by the next one.
 from pyspark.sql import functions as F
 
 from reviewloom.llm import languages, mixing, packing, passages, sketches
-from reviewloom.session import stored
+from reviewloom.session import discard, stored
 
 
 def language_id(spark, docs, sf_dir):
@@ -25,7 +25,10 @@ def near_duplicates(spark, docs, sf_dir):
 
 def repeated_passages(spark, docs, sf_dir):
     """Remove passages that an earlier document has as well."""
-    return passages.without_passages(docs, stored(passages.repeated_passages(docs), "passages"))
+    found = passages.repeated_passages(docs)
+    kept = stored(found, "passages")
+    discard(*found.made_from)
+    return passages.without_passages(docs, kept)
 
 
 def source_mix(spark, docs, sf_dir):
