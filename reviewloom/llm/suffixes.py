@@ -41,8 +41,8 @@ KMER = 100
 BLOCK = 32
 LARGE_NAME = 20_000
 
-SAMPLES = "text_key bigint, at bigint, name bigint, whole bigint"
-BLOCKS = "name bigint, text_key bigint, at bigint, before binary, after binary, n_before int, n_after int"
+SAMPLES = "text_key binary, at bigint, name bigint, whole bigint"
+BLOCKS = "name bigint, text_key binary, at bigint, before binary, after binary, n_before int, n_after int"
 
 
 def _rolling(data, width):
@@ -266,7 +266,8 @@ def repeated_windows(whole_texts, length=LENGTH, k=KMER):
         (F.col("witness").isNull() | (F.col("witness.text_key") == F.col("text_key"))
          & (F.col("witness.at") == F.col("at"))).alias("open"))
     judged = stored(judged, "judged-samples")
-    per_text = judged.where("open").groupBy("text_key").agg(F.collect_list("at").alias("chosen"))
+    # rows that are equal share a key, and each of their places is listed once
+    per_text = judged.where("open").groupBy("text_key").agg(F.collect_set("at").alias("chosen"))
     chosen = whole_texts.join(per_text.hint("merge"), "text_key").select("text_key", "text", "chosen")
     blocks = stored(_blocks(chosen, length, k).withColumn("block", F.xxhash64("name", "before", "after")), "blocks")
     several = blocks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
@@ -318,38 +319,42 @@ def _remaining(data, spans):
 
 
 def without_repeats(documents, length=LENGTH, k=KMER):
-    """What each row of (doc_id, text) keeps: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
+    """What each row of (doc_id, text) keeps: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text.
+
+    ``kept_text`` has the remaining bytes as text; characters that were cut are left out.
+    """
     keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("text_key", F.xxhash64("doc_id", "text"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text")
+    keyed = keyed.withColumn("text_key", F.unhex(F.md5(named.cast("binary"))))
     found = repeated_windows(
         keyed.where(F.octet_length("text") >= length).select("text_key", "text"), length, k)
-    per_text = stored(found.groupBy("text_key").agg(F.collect_list(F.struct("at", "bits")).alias("found")), "repeats")
+    per_text = stored(found.groupBy("text_key").agg(F.collect_set(F.struct("at", "bits")).alias("found")), "repeats")
     joined = keyed.join(per_text.hint("merge"), "text_key", "left").select("doc_id", "text", "found")
 
     def remove(batches):
         for batch in batches:
             found = batch.column("found")
-            sizes, removed, counts, hashes, lists = [], [], [], [], []
+            sizes, removed, counts, hashes, lists, kept = [], [], [], [], [], []
             for start, data, offsets in texts.slices(batch.column("text")):
                 raw = data.tobytes()
                 for i in range(len(offsets) - 1):
                     own = raw[offsets[i]:offsets[i + 1]]
                     rows = found[start + i].as_py() or []
                     spans = _spans([(r["at"], r["bits"]) for r in rows], length, k)
-                    digest = hashlib.sha256()
-                    for part in _remaining(own, spans):
-                        digest.update(part)
+                    rest = b"".join(_remaining(own, spans))
                     sizes.append(len(own))
                     removed.append(sum(e - b for b, e in spans))
                     counts.append(len(spans))
-                    hashes.append(digest.hexdigest())
+                    hashes.append(hashlib.sha256(rest).hexdigest())
+                    kept.append(rest.decode(errors="ignore"))
                     lists.append([{"start": b, "end": e} for b, e in spans])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(counts, pa.int64()), pa.array(hashes, pa.string()),
-                 pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                 pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(kept, pa.string())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"])
 
     return joined.mapInArrow(
         remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-                "spans array<struct<start: bigint, end: bigint>>")
+                "spans array<struct<start: bigint, end: bigint>>, kept_text string")
