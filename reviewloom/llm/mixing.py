@@ -54,7 +54,9 @@ def source_targets(sizes, weights=WEIGHTS, most=MOST_REPEATS):
         .withColumn("open", F.col("level") * F.col("weight") <= F.col("limit"))
     )
     # the first source below its limit sets the level for itself and all after it
-    level = F.min(F.when(F.col("open"), F.struct(F.col("limit") / F.col("weight"), "level"))).over(everything)["level"]
+    place = F.struct((F.col("limit") / F.col("weight")).alias("ratio"), F.col("source").isNull().alias("last"),
+                     F.encode("source", "UTF-8").alias("name"), "level")
+    level = F.min(F.when(F.col("open"), place)).over(everything)["level"]
     share = F.coalesce(level, F.lit(0.0)) * F.col("weight")
     return shared.select(
         "source", "rows", "source_size",
@@ -111,9 +113,14 @@ def mixed_documents(documents, text="text", **options):
     Keeps the columns of ``documents``; ``n_chars``, if there, is counted anew for a
     row that is cut. The words of a cut row are joined by one space; at most one row
     of a source is cut. Rows that repeat an id are taken alike, each as often as the
-    first of them by source and size; rows with a null id or no words are left out.
+    first of them by source and size; a row without an id goes by its source and text.
+    Rows without words are left out.
     """
-    sizes = documents.select("doc_id", "source", word_count(F.col(text)).alias("size"))
+    content = F.concat(F.coalesce(F.length("source").cast("string"), F.lit("")), F.lit(":"),
+                       F.coalesce("source", F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    # no id has this form, and ids keep the key that take_words gives them
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), F.md5(content.cast("binary"))))
+    sizes = documents.select(name.alias("doc_id"), "source", word_count(F.col(text)).alias("size"))
     first = sizes.groupBy("doc_id").agg(F.min(F.struct("source", "size")).alias("first"))
     taken = take_words(first.select("doc_id", "first.source", "first.size"), **options)
     plan = taken.where("taken > 0").select(
@@ -121,8 +128,8 @@ def mixed_documents(documents, text="text", **options):
         F.floor(F.col("taken") / F.col("size")).alias("copies"),
         (F.col("taken") % F.col("size")).alias("part"))
     names = documents.columns
-    rows = documents.select(F.struct(*names).alias("row"))
-    joined = rows.join(plan, F.col("row.doc_id") == F.col("of"))
+    rows = documents.select(F.struct(*names).alias("row"), name.alias("name"))
+    joined = rows.join(plan, F.col("name") == F.col("of"))
     pieces = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("copies").cast("int")),
                       F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
     copies = joined.select("row", F.explode(pieces).alias("words"))

@@ -1,5 +1,6 @@
 """Source mix: targets by repeated sharing, budgets, edge cases, copies and cuts."""
 
+import hashlib
 import random
 
 import pytest
@@ -63,8 +64,8 @@ def test_edge_cases(spark):
     assert mixing.take_words(empty).count() == 0
     nothing = spark.createDataFrame([(1, "a", 0), (2, None, 0)], SIZES)
     assert [r["taken"] for r in mixing.take_words(nothing).collect()] == [0, 0]
-    twice = spark.createDataFrame([(1, "a", 4), (1, "a", 4), (None, "a", 2)], SIZES + ", key string".replace(
-        ", key string", ""))
+    twice = spark.createDataFrame([(1, "a", 4, "z", "t"), (1, "a", 4, "z", "t"), (None, "a", 2, "z", "t")],
+                                  SIZES + ", key string, target string")
     assert sum(r["taken"] for r in mixing.take_words(twice).collect()) == 10
 
 
@@ -75,11 +76,33 @@ def test_mixed_documents(spark):
     documents = spark.createDataFrame(rows, schema)
     mixed = mixing.mixed_documents(documents)
     assert mixed.schema.names == documents.schema.names
-    sizes = documents.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    # a row without an id goes by its source and text
+    names = {r[0]: str(r[0]) for r in rows} | {None: "no id " + hashlib.md5(b"1:ax y").hexdigest()}
+    sizes = [(names[r[0]], r[3], len((r[1] or "").split())) for r in rows]
+    sizes = spark.createDataFrame(sizes, "doc_id string, source string, size bigint")
     taken = {r["doc_id"]: r["taken"] for r in mixing.take_words(sizes).collect()}
-    got, texts = {}, {r[0]: r[1] for r in rows}
+    got, whole = {}, {r[0]: r for r in rows}
     for r in mixed.collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
-        assert texts[r["doc_id"]].startswith(r["text"])
-        assert r["n_chars"] == (5 if r["text"] == texts[r["doc_id"]] else len(r["text"]))
-    assert got == {i: n for i, n in taken.items() if n and i is not None}
+        name = names[r["doc_id"]]
+        got[name] = got.get(name, 0) + len(r["text"].split())
+        assert whole[r["doc_id"]][1].startswith(r["text"])
+        assert r["n_chars"] == (whole[r["doc_id"]][4] if r["text"] == whole[r["doc_id"]][1] else len(r["text"]))
+    assert got == {name: n for name, n in taken.items() if n} and names[None] in got
+
+
+def test_rows_without_an_id_are_mixed(spark):
+    """They keep their texts and their source's budget, and rows of one source are told apart by text."""
+    rows = [(None, "a b", "x"), (None, "c d e", "x"), (1, "f", "x"), (2, "g h", "y"), (None, None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = [tuple(r) for r in mixing.mixed_documents(frame, weights=(3, 1)).collect()]
+    assert {r for r in got if r[2] == "x"} == {r for r in rows[:3]}
+    assert sum(len(r[1].split()) for r in got if r[2] == "x") == 6
+    assert {r[2] for r in got} == {"x", "y"}
+
+
+def test_equal_limits_by_weight(spark):
+    """Of sources that reach their limits at the same share the first one sets the level."""
+    rows = [(1, "a", 2), (2, "b", 4), (3, "c", 6), (4, None, 2)]
+    got = {r["source"]: (r["target"], r["taken"]) for r in mixing.take_words(spark.createDataFrame(rows, SIZES)).collect()}
+    want = shared_out({s: n for _, s, n in rows})
+    assert got == {s: (want[s], int(want[s])) for _, s, _ in rows}
