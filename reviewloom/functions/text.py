@@ -19,6 +19,25 @@ def char_ngrams(text, n):
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
 
 
+def counted(items):
+    """The distinct items of an array with their numbers: array of (item, times).
+
+    Equal items are neighbours once the array is sorted, so their numbers are the
+    distances between the last ones. Each array made on the way is bound to a name by a
+    one-element ``transform``: written out twice, it would be made again for every item.
+    """
+    def numbered(ordered):
+        size = F.size(ordered)
+        last = F.filter(F.sequence(F.lit(1), size), lambda i: (i == size) | (
+            F.get(ordered, i) != F.get(ordered, i - 1)))
+        return F.transform(F.array(last), lambda ends: F.transform(ends, lambda end, at: F.struct(
+            F.get(ordered, end - 1).alias("item"),
+            (end - F.coalesce(F.get(ends, at - 1), F.lit(0))).alias("times"),
+        )))[0]
+
+    return F.when(F.size(items) > 0, F.transform(F.array(F.sort_array(items)), numbered)[0])
+
+
 def marker_hits(text, words):
     """The marker words among the whitespace-separated words of the text, in order."""
     text = F.col(text) if isinstance(text, str) else text

@@ -1,4 +1,11 @@
-from .aggregates import count_flags, latest_names, review_counts, stage_counts
+from .aggregates import (
+    count_flags,
+    latest_names,
+    observed_counts,
+    review_counts,
+    stage_counts,
+    watched,
+)
 from .comparisons import agreement, compare_ordered, compare_unordered, paired
 from .filters import (
     by_decade,
@@ -53,6 +60,7 @@ __all__ = [
     "latest_names",
     "named_counts",
     "non_empty",
+    "observed_counts",
     "only_if",
     "only_listed",
     "over_count",
@@ -71,5 +79,6 @@ __all__ = [
     "stage_counts",
     "top_n",
     "union_partitions",
+    "watched",
     "without_listed",
 ]

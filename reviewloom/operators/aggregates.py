@@ -1,5 +1,6 @@
 """Aggregations with a map-side partial step."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 
@@ -19,6 +20,22 @@ def stage_counts(df, stages):
     return counts.select(F.inline(F.array(*pairs)))
 
 
+def watched(df, stages):
+    """The same rows, and an observation that counts those that pass each condition.
+
+    The counts come with the first action over the returned frame, without a scan of
+    their own: ``observed_counts`` gives them once it has ended. Put it right above the
+    scan and write without a shuffle behind it, so that a task run again counts once.
+    """
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(condition).alias(name) for name, condition in stages.items()]), seen
+
+
+def observed_counts(spark, seen, label="stage"):
+    """(label, n) of an observation whose action has ended."""
+    return spark.createDataFrame(sorted(seen.get.items()), f"{label} string, n bigint")
+
+
 def review_counts(reviews, by=()):
     """Reviews per game. A hot game shrinks to one row per task before the shuffle."""
     return reviews.groupBy(*by, "app_id").agg(F.count(F.lit(1)).alias("stat"))

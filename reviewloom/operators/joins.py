@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .aggregates import latest_names, review_counts
 from .filters import non_empty, only_if
 
+#: 256 kB: of a million listed keys' bitmap about 60% stays empty
+FILTER_BITS = 1 << 21
+
 
 def game_review_counts(games, reviews, names="last", seq=None, by=()):
     """(app_id, name, stat) for every game with at least one review.
@@ -67,25 +70,47 @@ def without_listed(df, ids, key="client_id"):
     return df.join(ids.select(key), key, "left_anti")
 
 
-def prefilter(df, ids, by=(), most=1_000_000, mark="_listings"):
-    """Drop rows early whose app_id a later join with ``ids`` would drop anyway.
+def maybe_listed(df, ids, by=(), bits=FILTER_BITS):
+    """A condition on the rows of ``df``, false only where ``ids`` lacks the key.
 
-    Done only where the list has at most ``most`` keys: such a list is small enough
-    to be broadcast. For a longer one the rows stay, because restricting them here
-    would shuffle them whole. Adds the column ``mark``, always positive.
+    An aggregation hashes the keys of ``ids`` into a bitmap, which the scan of ``df``
+    reads as one value of ``bits`` / 8 bytes, however long the list is; the more keys,
+    the more rows of other keys pass. Nothing runs before the action.
     """
     keys = [*by, "app_id"]
-    listed = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias(mark))
-    if listed.count() > most:
-        return df.withColumn(mark, F.lit(1).cast("bigint"))
-    return df.join(F.broadcast(listed), keys).select(*df.columns, mark)
+    listed = ids.select(_place(ids, df, keys, bits).alias("_place")).select(
+        F.shiftright("_place", 6).alias("_word"),
+        F.expr("shiftleft(1L, CAST(_place & 63 AS INT))").alias("_marks"),
+    )
+    every = ids.sparkSession.range(bits // 64).select(
+        F.col("id").alias("_word"), F.lit(0).cast("bigint").alias("_marks"))
+    words = listed.unionByName(every).groupBy("_word").agg(F.bit_or("_marks").alias("_marks"))
+    bitmap = words.agg(
+        F.sort_array(F.collect_list(F.struct("_word", "_marks")))["_marks"]  # bits / 64 of them
+    ).scalar()
+    place = _place(df, ids, keys, bits)
+    word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
+    return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _place(df, other, keys, bits):
+    """The bit of a row's keys; keys of different types are compared as text."""
+    alike = [
+        F.col(key) if df.schema[key].dataType == other.schema[key].dataType else F.col(key).cast("string")
+        for key in keys
+    ]
+    return F.pmod(F.xxhash64(*alike), F.lit(bits))
+
+
+def prefilter(df, ids, by=(), bits=FILTER_BITS):
+    """Drop most rows early whose app_id a later join with ``ids`` drops anyway."""
+    return df.filter(maybe_listed(df, ids, by, bits))
 
 
-def for_listed(df, ids, cheap, costly, by=(), most=1_000_000):
+def for_listed(df, ids, cheap, costly, by=(), bits=FILTER_BITS):
     """Rows that satisfy both conditions, for a later join with ``ids``.
 
-    The costly condition is evaluated last: after the cheap one and ``prefilter``.
+    The costly condition is evaluated last, for rows that satisfy the cheap one and
+    that ``prefilter`` would keep.
     """
-    known = prefilter(df.filter(cheap), ids, by, most)
-    # With a value of the list in it, the condition cannot be checked before the join.
-    return known.filter(only_if(cheap & (F.col("_listings") > 0), costly)).select(*df.columns)
+    return df.filter(only_if(cheap & maybe_listed(df, ids, by, bits), costly))

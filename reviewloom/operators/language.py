@@ -1,15 +1,16 @@
 """Language identification as dataflow: fit profiles, classify, evaluate.
 
 A profile holds, per character n-gram, one smoothed log-frequency per candidate
-language. Documents are exploded into n-grams, meet the profile by gram and are
-summed per document. All grams of a document sit in one task, so the sums are
-complete before the shuffle: it moves a few numbers per document, never text.
+language. The n-grams of a document meet the profile by gram and are summed per
+document. With a profile small enough to be broadcast all
+grams of a document sit in one task, so the sums are complete before the shuffle: it
+moves a few numbers per document, never text.
 """
 
 from pyspark.sql import functions as F
 
 from ..functions import char_ngrams
-from ..functions.text import best_language
+from ..functions.text import best_language, counted
 
 CANDIDATES = ("en", "es")
 
@@ -44,26 +45,27 @@ def fit_profiles(counts, languages=CANDIDATES):
     ])
 
 
-def classify(
-    docs, profiles, languages=CANDIDATES, n=3, text="text", keys=("doc_id",), most=5_000_000
-):
+def classify(docs, profiles, languages=CANDIDATES, n=3, text="text", keys=("doc_id",), count_first=False):
     """(keys, predicted) for every document, ``unknown`` if no gram is known.
 
-    Extra ``keys`` ride along with the document id. A profile of at most ``most``
-    grams, some hundred megabytes, is broadcast. For a larger one the grams are
-    counted per document first and then shuffled to the profile by gram, where
-    adaptive execution splits the frequent ones.
+    Extra ``keys`` ride along with the document id. Whether the profile is broadcast is
+    left to its bytes (store it, so that they are known); a larger one is joined by
+    sort-merge, where adaptive execution splits the frequent grams. ``count_first``
+    counts the grams of a document inside its row, so that each distinct one is looked up
+    once: for long documents and for profiles too large to be broadcast, where every
+    looked-up gram is shuffled.
     """
-    grams = docs.select(*keys, F.explode_outer(char_ngrams(text, n)).alias("_gram"))
+    grams = char_ngrams(text, n)
+    if count_first:
+        grams = docs.select(*keys, F.explode_outer(counted(grams)).alias("_counted")).select(
+            *keys, F.col("_counted.item").alias("_gram"), F.col("_counted.times").alias("_times")
+        )
+    else:
+        grams = docs.select(*keys, F.explode_outer(grams).alias("_gram")).withColumn("_times", F.lit(1))
     known = profiles.select(
         F.xxhash64("gram").alias("_known_hash"), F.col("gram").alias("_known_gram"), *languages
     )
-    if profiles.count() <= most:
-        weighed = _weigh(grams, F.broadcast(known)).withColumn("_times", F.lit(1))
-    else:
-        counted = grams.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_times"))
-        weighed = _weigh(counted, known)
-    scores = weighed.groupBy(*keys).agg(*[
+    scores = _weigh(grams, known).groupBy(*keys).agg(*[
         F.sum(F.col(name) * F.col("_times")).alias(name) for name in languages
     ])
     predicted = best_language({name: F.col(name) for name in languages})

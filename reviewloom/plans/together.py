@@ -36,7 +36,7 @@ def all_answers(
     counts = stored(count_flags(asked, {
         "positive": is_polarity("positive"),
         "negative": is_negative,
-        "in_language": only_if(is_negative & (F.col("_listings") > 0), in_language),
+        "in_language": only_if(is_negative, in_language),
     }, by=("app_id",)), "review-counts")
 
     def counted(chosen, which):

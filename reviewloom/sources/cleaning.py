@@ -9,8 +9,12 @@ missing; ``NA`` and ``null`` are ordinary text.
 from pyspark.sql import functions as F
 
 from ..functions import release_year, strict_long, strict_tinyint, true_flag
+from ..operators.aggregates import observed_counts, watched
 from ..schema import GAME_WIDTH, REVIEW_WIDTH
 
+GAME_REASONS = ("width", "bad app_id", "bad release date", "bad playtime", "empty name", "empty genres")
+REVIEW_REASONS = ("width", "bad app_id", "bad score", "empty text")
+
 
 def judge_games(raw):
     app_id = strict_long("app_id")
@@ -65,6 +69,27 @@ def reason_counts(judged):
     )
 
 
+def write_judged(judged, path, reasons=(*GAME_REASONS, *REVIEW_REASONS)):
+    """Write clean rows and quarantine in one job: (clean, quarantine, counts per reason).
+
+    The folder has a part per ``accepted``, so each of the two frames reads its own. The
+    counts are seen by that job on its way, as in ``reason_counts``.
+    """
+    spark = judged.sparkSession
+    good = F.col("reason").isNull()
+    stages = {"accepted": good} | {reason: F.col("reason") == reason for reason in reasons}
+    rows, seen = watched(judged, stages)
+    rows.select(
+        good.alias("accepted"), "reason", F.when(good, F.col("row")).alias("row"),
+        F.when(~good, F.col("source")).alias("source"),
+    ).write.mode("overwrite").partitionBy("accepted").parquet(path)
+    fields = judged.select("reason", "row", "source").schema.add("accepted", "boolean")
+    written = spark.read.schema(fields).parquet(path)
+    counts = observed_counts(spark, seen, "reason").filter(F.col("n") > 0)
+    clean = written.filter(F.col("accepted")).select("row.*")
+    return clean, written.filter(~F.col("accepted")).select("reason", "source.*"), counts
+
+
 def _judged(raw, row, reason):
     return raw.select(row.alias("row"), reason.alias("reason"), F.struct("*").alias("source"))
 

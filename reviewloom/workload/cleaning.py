@@ -21,6 +21,7 @@ from ..sources import (
     read_reviews,
     reason_counts,
     write_copy,
+    write_judged,
     write_result,
 )
 from .questions import IS_ENGLISH_SQL, top_reviewed
@@ -149,12 +150,15 @@ def quarantine(spark, sf_dir):
     return rejected.select("reason", "app_id", "name", "release_date", "avg_playtime", "genres")
 
 
-@query("reject_reasons", f"""
+REASONS_SQL = f"""
 WITH {RAW_GAMES_SQL}, {RAW_REVIEWS_SQL}
 SELECT 'games' AS input, coalesce(reason, 'accepted') AS reason, count(*) AS n
 FROM judged_games GROUP BY ALL
 UNION ALL
-SELECT 'reviews', coalesce(reason, 'accepted'), count(*) FROM judged_reviews GROUP BY ALL""")
+SELECT 'reviews', coalesce(reason, 'accepted'), count(*) FROM judged_reviews GROUP BY ALL"""
+
+
+@query("reject_reasons", REASONS_SQL)
 def reject_reasons(spark, sf_dir):
     counted = [
         reason_counts(judged).withColumn("input", F.lit(name))
@@ -166,6 +170,20 @@ def reject_reasons(spark, sf_dir):
     return reduce(lambda left, right: left.unionByName(right), counted)
 
 
+@query("reject_reasons_observed", REASONS_SQL)
+def reject_reasons_observed(spark, sf_dir):
+    """The same, counted by the jobs that write the clean rows and the quarantine."""
+    folder = shared_dir(spark, "judged")
+    counted = []
+    for name, judged in (
+        ("games", judge_games(_raw_games(spark, sf_dir))),
+        ("reviews", judge_reviews(_raw_reviews(spark, sf_dir))),
+    ):
+        _, _, counts = write_judged(judged, f"{folder}/{name}")
+        counted.append(counts.withColumn("input", F.lit(name)))
+    return reduce(lambda left, right: left.unionByName(right), counted)
+
+
 @query("csv_games", """
 SELECT p_partkey AS app_id, p_name || ', "' || p_brand || '"' || chr(10) || p_type AS name,
        CAST(1990 + p_size AS INTEGER) AS release_year, p_size % 2 = 0 AS windows,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..session import shared_dir
-from ..sources import write_buckets
+from ..sources import write_buckets, write_copy
 from .registry import query
 from .tables import (
     GAMES_SQL,
@@ -137,17 +137,28 @@ def _stages():
     }
 
 
-@query("stage_counts", f"""
+STAGES_SQL = f"""
 WITH {GAMES_SQL}
 SELECT 'all' AS stage, count(*) AS n FROM games
 UNION ALL SELECT 'small', count(*) FROM games WHERE list_contains(genres, 'small')
 UNION ALL SELECT 'small and cheap', count(*) FROM games
   WHERE list_contains(genres, 'small') AND avg_playtime < 10
-UNION ALL SELECT 'linux', count(*) FROM games WHERE linux""")
+UNION ALL SELECT 'linux', count(*) FROM games WHERE linux"""
+
+
+@query("stage_counts", STAGES_SQL)
 def stage_counts(spark, sf_dir):
     return op.stage_counts(games(spark, sf_dir), _stages())
 
 
+@query("stage_counts_observed", STAGES_SQL)
+def stage_counts_observed(spark, sf_dir):
+    """The same, counted by the job that writes the rows of one stage."""
+    rows, seen = op.watched(games(spark, sf_dir), _stages())
+    write_copy(rows.filter("linux"), shared_dir(spark, "linux-games"), "parquet")
+    return op.observed_counts(spark, seen)
+
+
 @query("reduced_reviews", f"""
 WITH {REVIEWS_SQL}
 SELECT app_id, CAST(score AS TINYINT) AS score FROM reviews

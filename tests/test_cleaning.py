@@ -3,7 +3,14 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import field_count, release_year, strict_long, strict_tinyint, true_flag
 from reviewloom.schema import GAMES, REVIEWS
-from reviewloom.sources import clean_games, clean_reviews, judge_games, reason_counts
+from reviewloom.sources import (
+    clean_games,
+    clean_reviews,
+    judge_games,
+    judge_reviews,
+    reason_counts,
+    write_judged,
+)
 
 
 def values(spark, texts, parse):
@@ -105,3 +112,21 @@ def test_clean_reviews(spark):
     assert {row.reason: row.n for row in reasons} == {
         "bad score": 2, "empty text": 2, "bad app_id": 1, "width": 1
     }
+
+
+def test_written_and_counted_in_one_job(spark, tmp_path):
+    raw = raw_games(spark, {}, {"genres": "RPG, Indie"}, {"name": ""}, {"app_id": "x"}).repartition(3)
+    judged = judge_games(raw)
+    clean, quarantine, counts = write_judged(judged, str(tmp_path / "judged"))
+    wanted, rejected = clean_games(raw)
+    assert clean.dtypes == wanted.dtypes
+    assert sorted(map(tuple, clean.collect())) == sorted(map(tuple, wanted.collect()))
+    assert quarantine.columns == rejected.columns
+    assert sorted(map(str, quarantine.collect())) == sorted(map(str, rejected.collect()))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, reason_counts(judged).collect()))
+
+
+def test_written_from_an_empty_table(spark, tmp_path):
+    raw = spark.createDataFrame([], "app_id string, text string, score string, n_fields int")
+    clean, quarantine, counts = write_judged(judge_reviews(raw), str(tmp_path / "judged"))
+    assert (clean.count(), quarantine.count(), counts.count()) == (0, 0, 0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import operators as op
 from reviewloom.functions import char_ngrams, marker_language
+from reviewloom.functions.text import counted
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
@@ -78,18 +79,32 @@ def test_ties_go_to_the_first_name(spark):
     assert op.classify(asked, profiles).first().predicted == "en"
 
 
-def test_a_large_profile_is_not_broadcast(spark, documents, tmp_path):
-    """Beyond the limit the join is by sort-merge, with the same answer."""
+@pytest.mark.parametrize("count_first", [False, True])
+def test_a_large_profile_is_not_broadcast(spark, documents, tmp_path, count_first):
+    """Bytes decide; beyond the limit the join is by sort-merge, with the same answer."""
     op.fit_profiles(op.gram_counts(documents)).write.parquet(str(tmp_path / "profiles"))
     profiles = spark.read.parquet(str(tmp_path / "profiles"))
-    small = op.classify(documents, profiles)
+    small = op.classify(documents, profiles, count_first=count_first)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     want = sorted(map(tuple, small.collect()))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
-        large = op.classify(documents, profiles, most=100)
+        large = op.classify(documents, profiles, count_first=count_first)
         plan = large._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         assert sorted(map(tuple, large.collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_classification_runs_nothing_before_the_action(spark, documents):
+    profiles = op.fit_profiles(op.gram_counts(documents))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    op.classify(documents, profiles)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+
+
+def test_counted(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, None), (4, ["x"])], "id int, xs array<string>")
+    got = {r.id: None if r.c is None else [tuple(c) for c in r.c] for r in df.select("id", counted("xs").alias("c")).collect()}
+    assert got == {1: [("a", 1), ("b", 3)], 2: None, 3: None, 4: [("x", 1)]}
