@@ -13,7 +13,9 @@ hash of the id; that is the only bound, prediction reads every whole text.
 
 Null or letterless texts get ``und`` with score 0. Rows that repeat an id are
 predicted one by one. Without labelled rows everything is ``und``. Words of more than
-``LONGEST_WORD`` bytes are read as several.
+about ``LONGEST_WORD`` bytes are read as several, cut where a character begins; the
+vocabulary's pieces are all used. Probabilities are carried times ``SCALE`` per byte, so
+that a word of unseen bytes stays above 0.
 """
 
 import base64
@@ -29,19 +31,30 @@ from . import texts
 
 SAMPLE_TEXTS = 3000
 ROUNDS = 3
-LONGEST_PIECE = 10
 LONGEST_WORD = 40
+SCALE = 2.0 ** 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
 KNOWN_WORDS = 400_000
 _BLOCK = 4096
 
 
-def vocabulary(name="byte_bpe_50k.tiktoken", longest=LONGEST_PIECE):
-    """The pieces of a public vocabulary of at most ``longest`` bytes; all single bytes are among them."""
+def vocabulary(name="byte_bpe_50k.tiktoken"):
+    """All pieces of a public vocabulary; all single bytes are among them."""
     with open(public_tokenizers.path(name), "rb") as lines:
         pieces = {base64.b64decode(line.split()[0]) for line in lines}
-    return sorted(p for p in pieces | {bytes([b]) for b in range(256)} if len(p) <= longest)
+    return sorted(pieces | {bytes([b]) for b in range(256)})
+
+
+def scaled(pieces, probability):
+    """Probabilities times ``SCALE`` per byte; the last row stands for what is no piece.
+
+    A sum over segmentations of a word is then its probability times ``SCALE`` per byte
+    of the word, and the factors cancel in shares of it. Pieces longer than any word
+    meet none, so their factor only has to be finite.
+    """
+    sizes = np.minimum([len(p) for p in pieces], LONGEST_WORD + 4)
+    return np.vstack([probability * SCALE ** sizes[:, None], np.zeros(probability.shape[1])])
 
 
 class Pieces:
@@ -58,14 +71,15 @@ class Pieces:
     def of_words(self, words):
         """Numbers of the parts of words of one length (rows of bytes): [word, start, length - 1].
 
-        A part that is no piece has the number ``count``.
+        Lengths go up to that of the word or of the longest piece. A part that is no piece has the number ``count``.
         """
         n, size = words.shape
         flat = np.ascontiguousarray(words).reshape(-1)
         sums = texts.prefix_hashes(flat)
-        found = np.full((n, size, self.longest), self.count, np.int32)
+        longest = min(size, self.longest)
+        found = np.full((n, size, longest), self.count, np.int32)
         rows = np.arange(n)[:, None] * size
-        for length in range(1, min(size, self.longest) + 1):
+        for length in range(1, longest + 1):
             starts = (rows + np.arange(size - length + 1)).reshape(-1)
             hashes = texts.part_hashes(sums, starts, starts + length)
             at = np.minimum(np.searchsorted(self.hashes, hashes), self.count - 1)
@@ -74,25 +88,28 @@ class Pieces:
         return found
 
 
+def _spans(numbers, probability):
+    """(start, length) of the parts that are a piece in at least one of the words, by start."""
+    return np.argwhere((numbers != len(probability) - 1).any(axis=0)) + (0, 1)
+
+
 def forward(numbers, probability):
     """Sums over all segmentations of the first i bytes: [word, i, language]."""
-    n, size, longest = numbers.shape
+    n, size, _ = numbers.shape
     total = np.zeros((n, size + 1, probability.shape[1]))
     total[:, 0] = 1
-    for end in range(1, size + 1):
-        for length in range(1, min(end, longest) + 1):
-            total[:, end] += total[:, end - length] * probability[numbers[:, end - length, length - 1]]
+    for start, length in _spans(numbers, probability):  # all that ends at start is summed before
+        total[:, start + length] += total[:, start] * probability[numbers[:, start, length - 1]]
     return total
 
 
 def backward(numbers, probability):
     """Sums over all segmentations of what follows the first i bytes."""
-    n, size, longest = numbers.shape
+    n, size, _ = numbers.shape
     total = np.zeros((n, size + 1, probability.shape[1]))
     total[:, size] = 1
-    for start in range(size - 1, -1, -1):
-        for length in range(1, min(size - start, longest) + 1):
-            total[:, start] += total[:, start + length] * probability[numbers[:, start, length - 1]]
+    for start, length in _spans(numbers, probability)[::-1]:
+        total[:, start] += total[:, start + length] * probability[numbers[:, start, length - 1]]
     return total
 
 
@@ -113,15 +130,18 @@ def spaced(data, starts, size):
 
 
 def letter_words(data, offsets):
-    """Starts, ends and text numbers of the words; long ones are cut."""
+    """Starts, ends and text numbers of the words; long ones are cut where a character begins."""
     starts, ends, owners = texts.words(data, offsets, texts.LETTERS)
     sizes = ends - starts
     if len(sizes) and sizes.max() > LONGEST_WORD:
         parts = -(-sizes // LONGEST_WORD)
         at = np.repeat(np.arange(len(sizes)), parts)
         number = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, owners = starts[at] + number * LONGEST_WORD, owners[at]
-        ends = np.minimum(starts + LONGEST_WORD, ends[at])
+        cuts = starts[at] + number * LONGEST_WORD
+        for _ in range(3):  # a character has at most three bytes after its first
+            cuts = cuts - ((number > 0) & ((data[cuts] & 0xC0) == 0x80))
+        last = number == parts[at] - 1
+        starts, ends, owners = cuts, np.where(last, ends[at], np.append(cuts[1:], 0)), owners[at]
     return starts, ends, owners
 
 
@@ -151,7 +171,7 @@ def expected_uses(counts, pieces, probability):
     """Expected uses of every piece by language over all segmentations: (piece, uses)."""
     def use(batches):
         table = Pieces(pieces)
-        padded = np.vstack([probability, np.zeros(probability.shape[1])])
+        padded = scaled(pieces, probability)
         uses = np.zeros_like(padded)
         for batch in batches:
             rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else None
@@ -207,7 +227,7 @@ class Scorer:
 
     def __init__(self, pieces, probability):
         self.table = Pieces(pieces)
-        self.padded = np.vstack([probability, np.zeros(probability.shape[1])])
+        self.padded = scaled(pieces, probability)
         self.keys = np.zeros(0, np.uint64)
         self.values = np.zeros((0, probability.shape[1]), np.float32)
 
@@ -223,7 +243,8 @@ class Scorer:
         sizes = (ends - starts)[some[new]]
         for chosen in by_length(sizes):
             rows = spaced(data, starts[some[new[chosen]]], int(sizes[chosen[0]]))
-            scores[new[chosen]] = np.log(forward(self.table.of_words(rows), self.padded)[:, -1])
+            sums = forward(self.table.of_words(rows), self.padded)[:, -1]
+            scores[new[chosen]] = np.log(sums) - rows.shape[1] * np.log(SCALE)
         if len(self.keys) + len(new) > KNOWN_WORDS:
             self.keys, self.values = key, scores
         else:

@@ -28,6 +28,47 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(languages.backward(numbers, padded)[0, 0], want)
 
 
+def test_scaling_cancels():
+    pieces = [b" ", b"a", b"b", b"ab", b" a", b"ba", b"aba"]
+    probability = np.random.default_rng(2).random((len(pieces), 2))
+    rows = np.frombuffer(b" ababa", np.uint8)[None, :]
+    numbers = languages.Pieces(pieces).of_words(rows)
+    plain = languages.forward(numbers, np.vstack([probability, np.zeros(2)]))[0, -1]
+    large = languages.forward(numbers, languages.scaled(pieces, probability))[0, -1]
+    assert np.allclose(np.log(large) - rows.shape[1] * np.log(languages.SCALE), np.log(plain))
+
+
+def test_words_of_rare_bytes_keep_a_probability():
+    pieces = languages.vocabulary()
+    assert max(map(len, pieces)) > 40  # none is left out
+    probability = np.full((len(pieces), 2), 3e-11)
+    probability[:, 1] = 3e-10
+    scorer = languages.Scorer(pieces, probability)
+    data = np.frombuffer("ⴰⴱⵎⴷ".encode() * 4 + b"x" * 40, np.uint8)[:43]
+    scores, at = scorer.words(data, np.array([0]), np.array([len(data)]))
+    assert np.isfinite(scores).all() and scores[at[0], 1] > scores[at[0], 0]
+
+
+def test_long_words_are_cut_where_characters_begin():
+    for text in ("жук" * 100, "ⴰⴱⵎ" * 77, "x𐍈" * 60, "a" * 41, "é" * 20, "ab c" + "日本" * 50 + " d"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, owners = languages.letter_words(data, np.array([0, len(data)]))
+        raw = data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(starts, ends)]  # fails if a character is cut
+        assert "".join(words) == text.replace(" ", "")
+        assert 0 < min(ends - starts) and max(ends - starts) <= languages.LONGEST_WORD + 3
+        assert not owners.any()
+
+
+def test_a_long_word_of_an_unseen_script(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")] * 50
+    model = languages.fit(spark.createDataFrame(rows, SCHEMA))
+    letters = np.random.default_rng(3).integers(0x2D30, 0x2D68, 1_700_000)
+    text = "".join(map(chr, letters))
+    got = languages.predict(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model).first()
+    assert got["lang_pred"] in ("en", "fr") and 0 <= got["score"] <= 1
+
+
 def test_held_out_accuracy(spark):
     gold = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     found = queries.QUERIES["op2_language_id"](spark, SF_DIR).collect()
