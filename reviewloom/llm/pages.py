@@ -33,19 +33,20 @@ from pyspark.sql import functions as F
 
 #: Elements without main text, elements that begin a new line, elements without an end tag.
 SKIPPED = frozenset("script style noscript template head title nav header footer aside form button select option "
-                    "textarea iframe object svg canvas dialog menu figcaption audio video".split())
-BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figure h1 h2 h3 "
+                    "textarea iframe object svg canvas dialog menu audio video".split())
+BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 "
                    "h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title noscript template iframe".split())
 #: Words of a class, id or role that mark what is not the main text.
 MARKS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent "
-                  "disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice "
-                  "pagination popup promo promoted related replies share sharing sidebar signup social sponsor "
-                  "sponsored subscribe toolbar widget contentinfo search complementary alert discussion "
-                  "disqus".split())
-#: A class of an article's own title is not a page header.
+                  "footer login masthead menu modal nav navbar navigation newsletter notice pagination popup promo "
+                  "promoted replies share sharing sidebar signup sponsor sponsored subscribe toolbar widget "
+                  "contentinfo search complementary alert disqus".split())
+#: Whole names of page headers; a section-header inside an article is none.
+HEADERS = frozenset("header site-header page-header top-header global-header main-header".split())
+#: An element of these names is never left out for its class.
 OWN_PARTS = frozenset({"article", "main"})
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -56,6 +57,7 @@ SPACE = re.compile(r"\s+")
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 COPY_SHARE = 0.5
+TABLE_CELLS = 4_000_000
 PAGES_PER_RANGE = 2000
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"
 
@@ -76,7 +78,7 @@ def _unwanted(name, attributes):
         if key in ("class", "id", "role") and name not in ("html", "body", *OWN_PARTS):
             for value in values:
                 words = WORDS.findall(value.lower())
-                if not MARKS.isdisjoint(words):
+                if not MARKS.isdisjoint(words) or not HEADERS.isdisjoint(value.lower().replace("_", "-").split()):
                     return True
         if key == "style" and "display:none" in "".join(values).replace(" ", "").lower():
             return True
@@ -86,11 +88,19 @@ def _unwanted(name, attributes):
 def page_lines(source):
     """The lines of a page's main part, and whether they lie in article elements.
 
-    White space is one space, character references are decoded.
+    White space is one space, character references are decoded. A left-out element that
+    is never closed ends where an article or main element begins.
     """
     lines, current = [], []
     inside = {"article": 0, "main": 0}
     stack, skipping = [], 0
+    last_ends = {}
+
+    def is_open(name, place):
+        """No end tag of the name comes after the place."""
+        if name not in last_ends:
+            last_ends[name] = max((m.start() for m in re.finditer(f"</{re.escape(name)}\\b", source, re.I)), default=-1)
+        return last_ends[name] < place
 
     def end_line():
         if current:
@@ -135,6 +145,11 @@ def page_lines(source):
             continue
         own = name in inside
         if own:
+            if skipping:
+                for i, (open_, skipped, kind) in enumerate(stack):
+                    if skipped and is_open(open_, place):
+                        skipping -= 1
+                        stack[i] = (open_, False, kind)
             inside[name] += 1
         stack.append((name, unwanted, own))
         skipping += unwanted
@@ -162,23 +177,46 @@ def shared_lines(a, b):
     rows = [i for i in range(low, len(x) - high) if x[i] in there]
     known = set(x[i] for i in rows)
     columns = np.array([v for v in y[low:len(y) - high] if v in known], np.int64)
-    if len(rows):
-        table = np.zeros((len(rows) + 1, len(columns) + 1), np.int32)
-        for i, r in enumerate(rows, 1):
-            table[i, 1:] = np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (columns == x[r]))
-            np.maximum.accumulate(table[i], out=table[i])
-        i, j = len(rows), len(columns)
-        while i and j:
-            if table[i, j] == table[i - 1, j]:
-                i -= 1
-            elif table[i, j] == table[i, j - 1]:
-                j -= 1
-            else:
-                found.append(rows[i - 1])
-                i, j = i - 1, j - 1
+    found += [rows[i] for i in _common_rows(np.array([x[i] for i in rows], np.int64), columns)]
     return sorted(found)
 
 
+def _lengths(x, y):
+    """Lengths of the longest common subsequences of x with the first 0, 1, ... of y."""
+    lengths = np.zeros(len(y) + 1, np.int32)
+    for value in x:
+        lengths[1:] = np.maximum.accumulate(np.maximum(lengths[1:], lengths[:-1] + (y == value)))
+    return lengths
+
+
+def _common_rows(x, y, cells=TABLE_CELLS):
+    """Positions in x of a longest common subsequence with y, in a table of at most ``cells`` numbers.
+
+    A larger table is halved: the lengths from both ends say where in y the halves of x meet.
+    """
+    if not len(x) or not len(y):
+        return []
+    if len(x) > 1 and (len(x) + 1) * (len(y) + 1) > cells:
+        middle = len(x) // 2
+        ahead, behind = _lengths(x[:middle], y), _lengths(x[:middle - 1:-1], y[::-1])
+        cut = int(np.argmax(ahead + behind[::-1]))
+        return _common_rows(x[:middle], y[:cut], cells) + [
+            middle + i for i in _common_rows(x[middle:], y[cut:], cells)]
+    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i, value in enumerate(x, 1):
+        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (y == value)))
+    found, i, j = [], len(x), len(y)
+    while i and j:
+        if table[i, j] == table[i - 1, j]:
+            i -= 1
+        elif table[i, j] == table[i, j - 1]:
+            j -= 1
+        else:
+            found.append(i - 1)
+            i, j = i - 1, j - 1
+    return found[::-1]
+
+
 def without_shared(lines, other, copy_share=COPY_SHARE):
     """The lines of a page without those that it shares with another page of its site."""
     if not lines or not other:

@@ -3,6 +3,7 @@
 import html
 import re
 
+import numpy as np
 import pytest
 
 from reviewloom.llm import pages, queries
@@ -36,6 +37,19 @@ def test_unclosed_elements(texts):
     assert texts((1, "http://a/b", source)) == {1: "Head\nx < y\nend"}
 
 
+def test_a_menu_that_is_never_closed_ends_at_the_article(texts):
+    assert texts((1, "http://a/b", "<body><nav><a>menu</a><article><p>text</p></article>")) == {1: "text"}
+    closed = "<article><p>text</p></article><aside><p>side</p><article><p>teaser</p></article></aside>"
+    assert texts((1, "http://a/b", closed)) == {1: "text"}
+
+
+def test_parts_of_the_article_stay(texts):
+    source = ("<header class='site-header'>site</header><article><div class='header'>bar</div>"
+              "<h2 class='section-header'>Part</h2><figure><img src=x><figcaption>a view</figcaption></figure>"
+              "<section class='discussion'><p>we discuss</p></section><p class='related-work'>others</p></article>")
+    assert texts((1, "http://a/b", source)) == {1: "Part\na view\nwe discuss\nothers"}
+
+
 def test_shared_lines_of_unmarked_pages_go(texts):
     def page(*lines):
         return "".join(f"<div>{line}</div>" for line in lines)
@@ -77,6 +91,24 @@ def test_shared_lines_is_a_longest_common_subsequence():
     assert pages.shared_lines([], ["a"]) == []
 
 
+def test_alignment_in_a_small_table_is_as_long():
+    def longest(x, y):
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, one in enumerate(x, 1):
+            for j, other in enumerate(y, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if one == other else max(table[i - 1][j], table[i][j - 1])
+        return table[-1][-1]
+
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = (draw.integers(0, 5, draw.integers(0, 30)) for _ in "xy")
+        for cells in (4, 40, 10_000):
+            rows = pages._common_rows(x, y, cells)
+            assert rows == sorted(set(rows)) and len(rows) == longest(x, y)
+            rest = iter(y.tolist())
+            assert all(value in rest for value in x[rows].tolist())  # a subsequence of y
+
+
 def test_whole_table(spark):
     """Brute force: the article of each page, all tags taken off."""
     sources = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
