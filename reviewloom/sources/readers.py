@@ -6,8 +6,7 @@ the record had; ``cleaning`` turns them into typed rows.
 Records may hold quoted line breaks, so Spark cannot cut a file anywhere. The
 ``layout`` says how to read in parallel:
 
-* ``auto``    ``blocks`` if a file is larger than LARGE_FILE, else ``files``
-* ``files``   one task per file; for exports of many files of moderate size
+* ``files``   one task per file; the default, for exports of many files
 * ``blocks``  files of any size, cut into blocks whose records are put together
 * ``lines``   files of any size without quoted line breaks
 """
@@ -20,7 +19,6 @@ from ..schema import GAME_FIELDS, GAME_WIDTH, REVIEW_FIELDS, REVIEW_WIDTH
 from .records import read_records
 
 RAW_RECORD = "_raw_record"
-LARGE_FILE = 1 << 30
 CSV_OPTIONS = {
     "quote": '"',
     "escape": '"',
@@ -29,12 +27,12 @@ CSV_OPTIONS = {
 }
 
 
-def read_games(spark, path, width=None, layout="auto", original=False, place=False):
+def read_games(spark, path, width=None, layout="files", original=False, place=False):
     """See the module; ``original`` and ``place`` as in ``read_reviews``."""
     return _read(spark, path, GAME_FIELDS, GAME_WIDTH, width, layout, original, place)
 
 
-def read_reviews(spark, path, width=None, layout="auto", original=False, place=False):
+def read_reviews(spark, path, width=None, layout="files", original=False, place=False):
     """Text fields, and on demand what a whole copy or a sample in file order needs.
 
     ``original`` adds a struct of all fields of the record, named by the header;
@@ -66,8 +64,6 @@ def spread(table, key):
 def _read(spark, path, fields, least, width, layout, original, place):
     header = _header(spark, path) if original or not width else []
     width = width or max(least, len(header))
-    if layout == "auto":
-        layout = "blocks" if _largest_file(spark, path) > LARGE_FILE else "files"
     if layout == "blocks":
         parsed = F.from_csv("record", _schema(width).simpleString(), CSV_OPTIONS)
         # A generator, so that a record is parsed once and not once per use of a field.
@@ -105,12 +101,6 @@ def _schema(width):
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
-def _largest_file(spark, path):
-    """Bytes; the contents are not read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
-
-
 def _header(spark, path):
     """Names in the header line; their number tells which records are ragged."""
     return spark.read.options(header=True, quote='"', escape='"').csv(path).columns

@@ -66,13 +66,14 @@ def test_one_task_per_file(spark, review_files):
     assert as_read(read_reviews(spark, folder, layout="files")) == want
 
 
-@pytest.mark.parametrize("limit, windows", [(1 << 30, False), (1000, True)])
-def test_large_files_are_read_by_blocks(spark, review_files, monkeypatch, limit, windows):
+def test_size_does_not_choose_the_reader(spark, review_files):
+    """Files are read one by one unless the caller names another layout."""
     folder, want = review_files
-    monkeypatch.setattr("reviewloom.sources.readers.LARGE_FILE", limit)
     frame = read_reviews(spark, folder)
-    assert ("Window" in frame._jdf.queryExecution().optimizedPlan().toString()) == windows
+    assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
     assert as_read(frame) == want
+    with pytest.raises(ValueError):
+        read_reviews(spark, folder, layout="auto")
 
 
 @pytest.mark.parametrize("block_bytes", [134217728, 700, 64])
