@@ -107,32 +107,67 @@ def take_words(documents, weights=WEIGHTS, most=MOST_REPEATS, seed="", rows_per_
     )
 
 
-def mixed_documents(documents, text="text", **options):
+def _row_names(documents, text):
+    """Columns that name a row: its id, or what stands for a missing one, and a digest of all its columns."""
+    content = F.concat(F.coalesce(F.length("source").cast("string"), F.lit("")), F.lit(":"),
+                       F.coalesce("source", F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    # no id has this form, and ids keep the key that take_words gives them
+    base = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), F.md5(content.cast("binary"))))
+    rest = F.to_json(F.struct(*[name for name in documents.columns if name != text]))
+    whole = F.concat(F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("no text")), rest)
+    return base, F.md5(whole.cast("binary"))
+
+
+def mixed_documents(documents, text="text", copies_per_lot=1_000, **options):
     """The mix itself: every row as often as it is taken whole, and its first words where it is taken in part.
 
     Keeps the columns of ``documents``; ``n_chars``, if there, is counted anew for a
     row that is cut. The words of a cut row are joined by one space; at most one row
-    of a source is cut. Rows that repeat an id are taken alike, each as often as the
-    first of them by source and size; a row without an id goes by its source and text.
-    Rows without words are left out.
+    of a source is cut. Rows that repeat an id are rows of their own: the one with the
+    least digest of all columns has the id's place in the mix, the others have places by
+    id and digest. Wholly equal rows have one place, by the words of all of them, and
+    are copied from one of them in lots of ``copies_per_lot`` where they cannot be taken
+    alike. A row without an id goes by its source and text. Rows without words are left out.
     """
-    content = F.concat(F.coalesce(F.length("source").cast("string"), F.lit("")), F.lit(":"),
-                       F.coalesce("source", F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    # no id has this form, and ids keep the key that take_words gives them
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id "), F.md5(content.cast("binary"))))
-    sizes = documents.select(name.alias("doc_id"), "source", word_count(F.col(text)).alias("size"))
-    first = sizes.groupBy("doc_id").agg(F.min(F.struct("source", "size")).alias("first"))
-    taken = take_words(first.select("doc_id", "first.source", "first.size"), **options)
-    plan = taken.where("taken > 0").select(
-        F.col("doc_id").alias("of"),
-        F.floor(F.col("taken") / F.col("size")).alias("copies"),
-        (F.col("taken") % F.col("size")).alias("part"))
     names = documents.columns
-    rows = documents.select(F.struct(*names).alias("row"), name.alias("name"))
-    joined = rows.join(plan, F.col("name") == F.col("of"))
-    pieces = F.concat(F.array_repeat(F.lit(0).cast("bigint"), F.col("copies").cast("int")),
-                      F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    copies = joined.select("row", F.explode(pieces).alias("words"))
+    base, digest = _row_names(documents, text)
+    distinct = documents.select(
+        base.alias("base"), digest.alias("digest"), "source", word_count(F.col(text)).alias("size")
+    ).groupBy("base", "digest").agg(F.min("source").alias("source"), F.min("size").alias("size"),
+                                    F.count("*").alias("rows"))
+    distinct = stored(distinct, "mix-rows")
+    # a left join on both columns, as one id may have any number of rows
+    leaders = distinct.groupBy("base").agg(F.min("digest").alias("digest")).withColumn("leads", F.lit(True))
+    entries = distinct.join(leaders, ["base", "digest"], "left").withColumn(
+        "name", F.when(F.col("leads"), F.col("base")).otherwise(F.concat_ws(" ", "base", "digest")))
+    taken = take_words(entries.select(F.col("name").alias("doc_id"), "source",
+                                      (F.col("size") * F.col("rows")).alias("size")), **options)
+    left = F.col("taken") % (F.col("size") * F.col("rows"))
+    plan = (
+        entries.select("name", "base", "digest", "size", "rows")
+        .join(taken.where("taken > 0").select(F.col("doc_id").alias("name"), "taken"), "name")
+        .select(F.col("base").alias("of"), F.col("digest").alias("like"), (F.col("rows") > 1).alias("several"),
+                F.floor(F.col("taken") / (F.col("size") * F.col("rows"))).alias("each"),
+                F.floor(left / F.col("size")).alias("extra"), (left % F.col("size")).alias("part"))
+    )
+    rows = documents.select(F.struct(*names).alias("row"), base.alias("base"), digest.alias("digest"))
+    joined = rows.join(plan, (F.col("base") == F.col("of")) & (F.col("digest") == F.col("like")))
+    none = F.array().cast("array<bigint>")
+    last = F.when(F.col("part") > 0, F.array("part")).otherwise(none)
+
+    def repeated(times):
+        return F.array_repeat(F.lit(0).cast("bigint"), times.cast("int"))
+
+    alike = joined.select("row", F.explode(F.concat(
+        repeated(F.col("each")), F.when(F.col("several"), none).otherwise(last))).alias("words"))
+    # what equal rows cannot share evenly comes from one of them, the cut row in the first lot
+    lot = F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("extra"), F.lit(copies_per_lot).cast("bigint")))
+    one = joined.where("several").groupBy("of", "like").agg(
+        F.first("row").alias("row"), F.first("extra").alias("extra"), F.first("part").alias("part"))
+    uneven = one.select("row", "extra", "part", lot.alias("lot", "start")).select("row", F.explode(F.concat(
+        repeated(F.least(F.lit(copies_per_lot), F.col("extra") - F.col("start"))),
+        F.when(F.col("lot") == 0, last).otherwise(none))).alias("words"))
+    copies = alike.unionByName(uneven)
     whole = F.col("row")[text]
     first_words = F.array_join(F.slice(F.filter(F.split(whole, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
                                        F.lit(1), F.greatest(F.lit(1), F.col("words")).cast("int")), " ")

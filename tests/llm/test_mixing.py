@@ -106,3 +106,24 @@ def test_equal_limits_by_weight(spark):
     got = {r["source"]: (r["target"], r["taken"]) for r in mixing.take_words(spark.createDataFrame(rows, SIZES)).collect()}
     want = shared_out({s: n for _, s, n in rows})
     assert got == {s: (want[s], int(want[s])) for _, s, _ in rows}
+
+
+@pytest.mark.parametrize("lot", [1_000, 3])
+def test_rows_that_repeat_an_id_stay_within_the_budget(spark, lot):
+    """Other rows of an id have places of their own, equal rows share one; no source takes more than its target."""
+    rows = [(7, f"t{i} u{i} v{i}", "a", "de") for i in range(9)] + [(7, "t0 u0 v0", "a", "fr")]   # one id, ten rows
+    rows += [(8, "p q r s", "b", "de")] * 40 + [(8, "p q r s", "c", "de")] * 3                   # equal rows
+    rows += [(None, "n m", "c", None)] * 11 + [(i, f"w{i}", "c", "en") for i in range(20, 40)]
+    rows += [(9, None, "c", None), (9, "", "c", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    sizes = {s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in "abc"}
+    want = shared_out(sizes)
+    got = [tuple(r) for r in mixing.mixed_documents(frame, copies_per_lot=lot).collect()]
+    words = {s: sum(len(t.split()) for _, t, x, _ in got if x == s) for s in "abc"}
+    assert words == {s: int(want[s]) for s in "abc"}
+    for s in "abc":
+        counts = {row: (sum(row == g for g in got), sum(row == r for r in rows)) for row in rows if row[2] == s and row[1]}
+        whole = int(want[s] // sizes[s])
+        assert all(whole * n <= found <= (whole + 1) * n for found, n in counts.values())
+        cut = [g for g in got if g[2] == s and g not in counts]
+        assert len(cut) <= 1 and all(any(r[1].startswith(g[1]) for r in counts) for g in cut)
