@@ -22,17 +22,17 @@ from .epochs import latest
 from .purges import MARK
 
 ROWS_PER_LANE = 1_000_000
-MOST_LANES = 4096
 
 
-def measured_lanes(rows, per_lane=ROWS_PER_LANE, known=None, most=MOST_LANES):
+def measured_lanes(rows, per_lane=ROWS_PER_LANE, known=None, most=None):
     """(client_id, lanes) for the rows of each tenant so far, one lane for each ``per_lane`` of them.
 
     ``known`` are the lanes of an earlier run: lanes are added and never taken away, as
-    they hold state.
+    they hold state. A tenant has no more than ``most``, if that is given.
     """
+    asked = F.ceil(F.count("*") / F.lit(per_lane))
     lanes = rows.groupBy("client_id").agg(
-        F.least(F.lit(most), F.ceil(F.count("*") / F.lit(per_lane))).cast("int").alias("lanes"))
+        (asked if most is None else F.least(F.lit(most), asked)).cast("int").alias("lanes"))
     both = lanes if known is None else lanes.unionByName(known.select("client_id", "lanes"))
     return both.groupBy("client_id").agg(F.max("lanes").alias("lanes"))
 

@@ -562,6 +562,12 @@ def test_lanes_follow_the_load(spark):
     assert sorted(map(tuple, st.measured_lanes(rows, 2, known, most=10).collect())) == [(1, 10), (2, 9), (3, 1)]
 
 
+def test_lanes_are_not_capped(spark):
+    """A tenant has a lane for every ``per_lane`` rows, however many these are."""
+    rows = spark.range(30_001).select(F.lit(1).cast("bigint").alias("client_id"))
+    assert list(map(tuple, st.measured_lanes(rows, per_lane=3).collect())) == [(1, 10_001)]
+
+
 def test_ranks_are_kept_up_to_date(feed):
     """After each file the answer equals the percentile of all counts so far, a purge included."""
     control = Feed(feed.spark, feed.folder / "control", "action string, client_id bigint")
