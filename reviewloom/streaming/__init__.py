@@ -13,6 +13,7 @@ from .handlers import handle_batches, stateful_handlers
 from .keyed import (
     GameCounts,
     compact_top,
+    held_games,
     histogram_percentile,
     keyed_counts,
     run_histograms,
@@ -58,6 +59,7 @@ __all__ = [
     "first_delivery",
     "first_result",
     "handle_batches",
+    "held_games",
     "histogram_percentile",
     "keyed_counts",
     "latest",

@@ -5,6 +5,7 @@ aggregations run in update mode: a micro-batch emits the keys it changed, and th
 epoch log holds their versions.
 """
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,8 @@ from .purges import MARK, with_purges
 
 KEYS = ["client_id", "app_id"]
 FIRST = -(1 << 63)
+BLOCK_BITS = 9  # a block of state has the games of 512 neighbouring ids, those of its lane
+MERGE_ROWS = 1 << 20
 
 COUNTS = T.StructType([
     T.StructField("client_id", T.LongType()),
@@ -116,35 +119,81 @@ class GameCounts:
     """Name and number of reviews of each game of a lane, and how they changed.
 
     A game counts once it has a name and a review. ``was`` and ``stat`` are its reviews
-    before and after the micro-batch, 0 while it does not count.
+    before and after the micro-batch, 0 while it does not count. The rows of a frame are
+    counted at once, and the state is read and written by blocks of neighbouring ids, as
+    each call costs far more than what it brings; ``held_games`` gives its games.
     """
 
-    states = {"games": ("app_id bigint", "seq bigint, name string, stat bigint")}
+    states = {"games": ("block bigint", "ids array<bigint>, seqs array<bigint>, names array<string>, stats array<bigint>")}
 
     def rows(self, key, frames, state):
-        met = {}
+        ids, reviews, names = self._met(frames)
+        blocks = ids >> BLOCK_BITS
+        starts = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+        for start, end in zip(starts, [*starts[1:], len(ids)]):
+            block = (int(blocks[start]),)
+            before = state.games.getValue(block)
+            held = {} if before is None else {app_id: game for app_id, *game in zip(*before)}
+            changes = []
+            for app_id, more in zip(ids[start:end].tolist(), reviews[start:end].tolist()):
+                old_seq, old_name, old = held.get(app_id, (None, None, 0))
+                seq, name = names.get(app_id, (None, None))
+                if seq is None or (old_seq is not None and (old_seq, old_name or "") > (seq, name or "")):
+                    seq, name = old_seq, old_name
+                held[app_id] = seq, name, old + more
+                changes.append((app_id, name, old if old_name else 0, old + more if name else 0))
+            state.games.updateValue(block, (list(held), *map(list, zip(*held.values()))))
+            yield from changes
+
+    def _met(self, frames):
+        """The games of all frames in order of their ids, their reviews, and their newest (seq, name)."""
+        parts, size, names = [], 0, {}
         for frame in frames:
-            for app_id, part in frame.groupby("app_id"):
-                reviews, seq, name = met.get(app_id, (0, None, None))
-                named = part[~part["is_review"].astype(bool)]
-                for newer in zip(named["seq"], named["name"]):
-                    if seq is None or (newer[0], newer[1] or "") > (seq, name or ""):
-                        seq, name = newer
-                met[app_id] = reviews + len(part) - len(named), seq, name
-        for app_id, (reviews, seq, name) in met.items():
-            app_id = int(app_id)
-            old_seq, old_name, old = state.games.getValue((app_id,)) or (None, None, 0)
-            if seq is None or (old_seq is not None and (old_seq, old_name or "") > (seq, name or "")):
-                seq, name = old_seq, old_name
-            seq = None if seq is None else int(seq)
-            state.games.updateValue((app_id,), (seq, name, old + reviews))
-            yield app_id, name, old if old_name else 0, old + reviews if name else 0
+            review = frame["is_review"].to_numpy(dtype=bool)
+            parts.append(_summed([(frame["app_id"].to_numpy(), review.astype("int64"))]))
+            size += len(parts[-1][0])
+            if size > MERGE_ROWS + 2 * len(parts[0][0]):
+                parts = [_summed(parts)]
+                size = len(parts[0][0])
+            named = frame[~review]
+            for app_id, seq, name in zip(named["app_id"].tolist(), named["seq"].tolist(), named["name"].tolist()):
+                if app_id not in names or (seq, name or "") > (names[app_id][0], names[app_id][1] or ""):
+                    names[app_id] = seq, name
+        ids, reviews = _summed(parts)
+        return ids, reviews, names
+
+
+def _summed(parts):
+    """The numbers of each id, summed over all parts (ids, numbers)."""
+    if not parts:
+        return np.zeros(0, "int64"), np.zeros(0, "int64")
+    ids, places = np.unique(np.concatenate([part[0] for part in parts]), return_inverse=True)
+    sums = np.zeros(len(ids), "int64")
+    np.add.at(sums, places, np.concatenate([part[1] for part in parts]))
+    return ids, sums
+
+
+def held_games(spark, checkpoint, epoch=None):
+    """client_id, app_id, name and stat of the games in the state of ``tenant_counts``."""
+    blocks = state_rows(spark, checkpoint, "games", epoch)
+    games = F.arrays_zip(*[F.col(f"user_map_value.{name}").alias(name) for name in ("ids", "names", "stats")])
+    return blocks.select("key.client_id", F.explode(games).alias("game")).select(
+        "client_id", F.col("game.ids").alias("app_id"), F.col("game.names").alias("name"),
+        F.col("game.stats").alias("stat"))
 
 
 def tenant_counts(tagged, lanes=8, control=None):
-    """``keyed_counts`` whose state a purge clears: client_id, lane, purged, app_id, name, was, stat."""
-    rows = tagged.select("client_id", "app_id", "name", "seq", "is_review")
+    """``keyed_counts`` whose state a purge clears: client_id, lane, purged, app_id, name, was, stat.
+
+    Rows without an app_id belong to no game.
+    """
+    rows = tagged.filter("app_id is not null").select("client_id", "app_id", "name", "seq", "is_review")
     marked = rows if control is None else with_purges(rows, control)
+    # a null, also that of a mark, would turn the numbers next to it into floating point in Python
+    marked = marked.withColumns({
+        "app_id": F.coalesce("app_id", F.lit(0)),
+        "seq": F.coalesce("seq", F.lit(FIRST).cast("bigint")),
+        "is_review": F.coalesce("is_review", F.lit(False))})
     return tenant_states(marked, GameCounts(), CHANGES, maps=GameCounts.states, lanes=lanes, lane_key="app_id")
 
 
@@ -189,8 +238,7 @@ def histogram_percentile(spark, folder, p, complete=None):
     if done is None or done not in epochs_of(spark, f"{folder}/histograms"):
         return spark.createDataFrame([], COUNTS)
     ranks = log_view(spark, f"{folder}/histograms", HISTOGRAM, only=done).drop("epoch")
-    games = state_rows(spark, f"{folder}/checkpoint", "games", done).select(
-        "key.client_id", "user_map_key.app_id", "user_map_value.name", "user_map_value.stat")
+    games = held_games(spark, f"{folder}/checkpoint", done)
     if complete is not None:
         games = games.join(complete.select("client_id"), "client_id", "left_semi")
     return percentile_cut(non_empty(games), p, by=("client_id",), counted=ranks)

@@ -22,6 +22,7 @@ from .epochs import latest
 from .purges import MARK
 
 ROWS_PER_LANE = 1_000_000
+OUTPUT_ROWS = 10_000
 
 
 def measured_lanes(rows, per_lane=ROWS_PER_LANE, known=None, most=None):
@@ -67,18 +68,25 @@ class Tenant(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        marked = False
+        marked = ended = False
 
         def frames():
-            nonlocal marked
+            nonlocal marked, ended
             for frame in rows:
                 marked = marked or bool(frame[MARK].any())
                 if not marked:
                     yield frame[self.keep]
-
-        out = list(self.handler.rows(key, frames(), self) or ())
-        for _ in rows:
-            pass
+            ended = True
+
+        out = []
+        for row in self.handler.rows(key, frames(), self) or ():
+            out.append(row)
+            # no mark can come any more that would take back what is given
+            if ended and not marked and len(out) >= OUTPUT_ROWS:
+                yield self._frame(key, False, out)
+                out = []
+        for frame in rows:
+            marked = marked or bool(frame[MARK].any())
         if marked:
             for state in self.states.values():
                 state.clear()

@@ -318,7 +318,7 @@ def _purged_stream(spark, sf_dir, action, client_id):
         "accepted": st.written_view(spark, f"{folder}/accepted", ARRIVING),
         "ledger": st.written_view(spark, f"{folder}/ledger", LEDGER).select("client_id", "input", "batch_id").distinct(),
         "counts": counts.filter("stat > 0"),
-        "state": st.state_rows(spark, f"{folder}/count", "games").select("key.client_id"),
+        "state": st.held_games(spark, f"{folder}/count"),
     }
     stages = [
         rows.groupBy("client_id").agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "client_id", "n")

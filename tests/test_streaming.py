@@ -568,6 +568,43 @@ def test_lanes_are_not_capped(spark):
     assert list(map(tuple, st.measured_lanes(rows, per_lane=3).collect())) == [(1, 10_001)]
 
 
+def test_game_counts_call_the_state_by_blocks():
+    """A call of the state costs far more than a game, so there are a few for a thousand games."""
+    held, calls = {}, []
+
+    class Games:
+        def getValue(self, key):
+            calls.append(key)
+            return held.get(key)
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            held[key] = value
+
+    class State:
+        games = Games()
+
+    def frame(apps, names=None):
+        return pd.DataFrame({"app_id": apps, "name": names, "seq": 0, "is_review": names is None})
+
+    apps = list(range(1000))
+    for turn in (1, 2):
+        frames = [frame(apps), frame([*apps, 7], [*map(str, apps), "x"]), frame(apps[::-1])]
+        out = sorted(st.GameCounts().rows((1, 0), iter(frames), State()))
+        assert out == [(a, "x" if a == 7 else str(a), 2 * turn - 2, 2 * turn) for a in apps]
+    assert len(calls) <= 16
+
+
+def test_ranks_with_rows_that_lack_numbers(feed):
+    """A name without a ``seq`` is older than any with one; a number above 2**53 stays what it is."""
+    large = (1 << 60) + 1
+    feed.add(batch(1, 0, [(7, "seven", None), review(7), (large, "large", 2), review(large)]))
+    feed.add(batch(1, 1, [(None, "none", 4), review(None), (7, "first", 1)]))
+    feed.add(batch(1, 2, [(large, "larger", 3), review(9)]))
+    got = st.run_histograms(feed.stream(), feed.path("ranks"), lanes=2, p=0)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, "first", 1), (1, large, "larger", 1)]
+
+
 def test_ranks_are_kept_up_to_date(feed):
     """After each file the answer equals the percentile of all counts so far, a purge included."""
     control = Feed(feed.spark, feed.folder / "control", "action string, client_id bigint")
