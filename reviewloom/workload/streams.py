@@ -450,8 +450,9 @@ UNION ALL SELECT 3, CAST(client_id AS BIGINT), NULL, NULL, NULL, true FROM (SELE
 def stream_live_over(spark, sf_dir):
     """Question 4 left running while reviews arrive: two answers on the way, a restart, and the last answer.
 
-    The reviews come in three files, each of which is a batch of every tenant; the last
-    one ends their streams, which adds the finish rows.
+    The reviews come in three turns, each of which is a batch of every tenant; the last
+    one ends their streams, which adds the finish rows. A turn is written by all tasks that
+    read the table, as many files, which the stream may meet apart.
     """
     folder = shared_dir(spark, "live")
     path = f"{folder}/arriving"
@@ -476,7 +477,7 @@ def stream_live_over(spark, sf_dir):
     for number in (1, 2, 3):
         if number in (1, 3):  # asked, and asked again after a stop
             over, ledger = ask()
-        lines.filter(batch == number - 1).coalesce(1).write.mode("append").parquet(path)
+        lines.filter(batch == number - 1).write.mode("append").parquet(path)
         complete = ledger.catch_up().answer().filter("complete")
         answer = st.with_finish_rows(over.catch_up().answer(), complete)
         readings.append(stored(answer.select(F.lit(number).alias("reading"), *answer.columns), "reading"))
