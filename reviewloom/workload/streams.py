@@ -268,7 +268,7 @@ def _arriving(spark, sf_dir, folder, schema):
     st.start_log(spark, path, None, tenants=True)
 
     def arrive(condition):
-        stored_event_rows(spark, sf_dir).select(*schema.fieldNames()).filter(condition).coalesce(1).write.mode(
+        stored_event_rows(spark, sf_dir).select(*schema.fieldNames()).filter(condition).write.mode(
             "append").parquet(path)
 
     return spark.readStream.schema(schema).parquet(path), arrive
