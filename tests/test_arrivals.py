@@ -14,6 +14,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("query, table, key, turns", [
     ("stream_live_over", "lineitem", "l_linenumber", 3),
     ("stream_purge_upto", "events", "event_id", 2),
+    ("stream_purge_one", "events", "event_id", 2),
 ])
 def test_arriving_rows_are_written_by_several_tasks(spark, tmp_path, monkeypatch, query, table, key, turns):
     given = tmp_path / "given"
